@@ -29,32 +29,12 @@ def long_enough(text: Column, min_chars: int = MIN_CHARS) -> Column:
     return F.char_length(text) > min_chars
 
 
-def byte_symbols(text: Column) -> Column:
-    """The UTF-8 bytes of a text as a string of one symbol per byte.
+def byte_ids(text: Column) -> Column:
+    """Token ids of the UTF-8 bytes of a text, before any merge.
 
-    Symbols are characters: byte ``b`` is U+00``b``, and ``symbol`` gives the
-    character of a merged token. Merging a pair is then a plain ``replace``.
+    Decoding the bytes as Latin-1 gives one character per byte.
     """
-    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
-
-
-def symbol(token_id: int) -> str:
-    """The one-character stand-in of a (non-special) token id."""
-    point = token_id - BYTE_BASE
-    return chr(point if point < 0xD800 else point + 0x800)
-
-
-def token_id(char: str) -> int:
-    """Inverse of :func:`symbol`."""
-    point = ord(char)
-    return (point if point < 0xD800 else point - 0x800) + BYTE_BASE
-
-
-def symbol_ids(symbols: Column) -> Column:
-    """Token ids of a symbol string."""
-    def one(c: Column) -> Column:
-        point = F.ascii(c)
-        return (F.when(point < 0xD800, point).otherwise(point - 0x800) + BYTE_BASE).cast("int")
-    return F.when(F.length(symbols) == 0, F.array().cast("array<int>")).otherwise(
-        F.transform(F.split(symbols, ""), one)
+    one_per_byte = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    return F.when(F.length(text) == 0, F.array().cast("array<int>")).otherwise(
+        F.transform(F.split(one_per_byte, ""), lambda c: (F.ascii(c) + BYTE_BASE).cast("int"))
     )

@@ -66,6 +66,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on a small input all cores.
+
+    A large input already has more splits than cores and passes through
+    without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > 2 * cores else df.repartition(cores)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of every executor."""
     app = spark.sparkContext.applicationId
