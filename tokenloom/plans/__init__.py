@@ -1 +1,6 @@
+"""Registered queries; importing the modules fills the registry."""
 
+from tokenloom.plans import corpus  # noqa: F401
+from tokenloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

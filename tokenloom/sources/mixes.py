@@ -122,3 +122,11 @@ def read_sources(spark: SparkSession, mix: Mix, ids: Sequence[str] = ("doc_id",)
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
+
+
+def tokenizer_mix(code_frac: float = 0.1) -> Mix:
+    """Text and code fractions for vocabulary training; no code source at fraction 0."""
+    sources = [Source("text", 1 - code_frac)]
+    if code_frac > 0:
+        sources.append(Source("code", code_frac))
+    return Mix(tuple(sources), 0, 0, "tokenizer")
