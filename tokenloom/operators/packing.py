@@ -82,8 +82,8 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
 def _entries(tables: DataFrame, n_blocks: int) -> DataFrame:
     """Fill and row number each block starts with, chaining at most FANOUT tables at a time."""
     if n_blocks <= FANOUT:
-        started = tables.withColumn("fill", F.lit(0)).withColumn("base", F.lit(0).cast("long"))
-        return started.groupBy(F.lit(0)).applyInPandas(_walk, _ENTRY)
+        started = tables.select("*", F.lit(0).alias("fill"), F.lit(0).cast("long").alias("base"))
+        return started.groupBy().applyInPandas(_walk, _ENTRY)
     above = tables.withColumn("super", F.floor(F.col("block") / FANOUT).cast("long"))
     upper = stage(above.groupBy("super").applyInPandas(_super_table, _TABLE), "pack-tables")
     starts = _entries(upper, -(-n_blocks // FANOUT)).withColumnRenamed("block", "super")

@@ -192,11 +192,53 @@ for _tag in MIXES:
     cte(f"batches_of_{_tag}", f"select *, {before('n_batches', 'partition by split order by shard_idx')} as first_batch from "
         f"(select split, shard_idx, (sum(n_tok)::BIGINT - 1) // {BATCH_SEQS * SEQ_LEN} as n_batches from carved_{_tag} "
         "group by split, shard_idx)", f"carved_{_tag}", materialized=True)
-cte("seq_parts", "select split, shard_idx, seq, greatest(shard_pos, seq * {t}) as at, substr(syms, "
+cte("seq_parts", "select split, shard_idx, seq, greatest(shard_pos, seq * {t}) as spot, substr(syms, "
     "(greatest(shard_pos, seq * {t}) - shard_pos) * 7 + 1, (least(shard_pos + n_tok, seq * {t} + {t} + 1) - "
     "greatest(shard_pos, seq * {t})) * 7) as syms from (select *, unnest(generate_series(greatest(shard_pos - 1, 0) // {t}, "
     "(shard_pos + n_tok - 1) // {t})) as seq from chunks_train)".format(t=SEQ_LEN), "chunks_train")
 cte("windows", "select split, shard_idx, first_batch + seq // {b} as batch_id, seq // {b} as in_shard, (seq % {b})::INT as row, "
-    "syms from (select split, shard_idx, seq, string_agg(syms, '' order by at) as syms from seq_parts group by all) "
+    "syms from (select split, shard_idx, seq, string_agg(syms, '' order by spot) as syms from seq_parts group by split, shard_idx, seq) "
     "join batches_of_train using (split, shard_idx) where seq // {b} < n_batches".format(b=BATCH_SEQS),
     "seq_parts", "batches_of_train", materialized=True)
+
+# -- conversations ----------------------------------------------------------
+
+CHAT_LEN, MAX_PAIR = 2048, 1024
+cte("turn_pieces", "select conv_id, turn, part, generate_subscripts(t, 1) as pos, unnest(t) as piece from "
+    f"(select conv_id, turn, 0 as part, regexp_extract_all(role || chr(10), '{SPLIT}') as t from conversations union all "
+    f"select conv_id, turn, 1, regexp_extract_all(text, '{SPLIT}') from conversations)", materialized=True)
+encoded("turn_words", "select piece from turn_pieces union select chr(10)", "turn_pieces")
+cte("turn_text", "select conv_id, turn, coalesce(string_agg(syms, '' order by pos) filter (where part = 0), '') as head, "
+    "coalesce(string_agg(syms, '' order by pos) filter (where part = 1), '') as body "
+    "from turn_pieces join turn_words using (piece) group by conv_id, turn", "turn_pieces", "turn_words")
+cte("turn_tokens", "select conv_id, turn, role, '<00001>' || coalesce(head, '') || coalesce(body, '') || '<00002>' || nl as syms, "
+    "repeat('0,', 1 + length(coalesce(head, ''))::INT // 7) || repeat(case when role = 'assistant' then '1,' else '0,' end, "
+    "1 + length(coalesce(body, ''))::INT // 7) || repeat('0,', length(nl)::INT // 7) as mask "
+    "from conversations left join turn_text using (conv_id, turn), "
+    "(select syms as nl from turn_words where piece = chr(10))", "turn_text", "turn_words", materialized=True)
+cte("chat_all", "select conv_id, string_agg(syms, '' order by turn) as syms, string_agg(mask, '' order by turn) as mask "
+    "from turn_tokens group by conv_id", "turn_tokens", materialized=True)
+cte("chats", f"select conv_id, substr(syms, 1, {(CHAT_LEN + 1) * 7}) as syms, substr(mask, 1, {(CHAT_LEN + 1) * 2}) as mask, "
+    "row_number() over (order by md5('1:' || conv_id), conv_id) - 1 as place from chat_all", "chat_all", materialized=True)
+cte("packed_at", "with recursive walk(place, row_id, fill) as (select place, 0::BIGINT, (length(syms) // 7)::BIGINT from chats "
+    "where place = 0 union all select c.place, w.row_id + (case when w.fill + length(c.syms) // 7 > {w} then 1 else 0 end), "
+    "case when w.fill + length(c.syms) // 7 > {w} then length(c.syms) // 7 else w.fill + length(c.syms) // 7 end "
+    "from walk w join chats c on c.place = w.place + 1) select place, row_id from walk".format(w=CHAT_LEN + 1),
+    "chats", materialized=True)
+cte("packed", "select row_id, count(*)::INT as items, (sum(length(syms)) // 7)::INT as used, "
+    "string_agg(syms, '' order by place) as syms, string_agg(mask, '' order by place) as mask "
+    "from packed_at join chats using (place) group by row_id", "packed_at", "chats", materialized=True)
+
+cte("turn_offsets", "select conv_id, turn, role, syms, mask, length(syms) // 7 as n_tok, "
+    "coalesce(sum(length(syms) // 7) over (partition by conv_id order by turn rows between unbounded preceding and "
+    "1 preceding), 0)::BIGINT as at from turn_tokens", "turn_tokens", materialized=True)
+cte("replies", "select conv_id, reply_turn, row_number() over (order by conv_id) - 1 as nr, count(*) over () as n from "
+    "(select conv_id, min(turn) as reply_turn from conversations where role = 'assistant' group by conv_id)")
+cte("pairs", "select a.conv_id, b.conv_id as other_id, a.reply_turn, b.reply_turn as other_turn, "
+    "(x.at + x.n_tok)::BIGINT as chosen_len, (x.at + y.n_tok)::BIGINT as rejected_len from replies a "
+    "join replies b on b.nr = (a.nr + 1) % a.n join turn_offsets x on x.conv_id = a.conv_id and x.turn = a.reply_turn "
+    "join turn_offsets y on y.conv_id = b.conv_id and y.turn = b.reply_turn", "replies", "turn_offsets", materialized=True)
+cte("kept_pairs", f"select *, row_number() over (order by md5('0:' || conv_id), conv_id) - 1 as place from pairs "
+    f"where chosen_len <= {MAX_PAIR} and rejected_len <= {MAX_PAIR}", "pairs", materialized=True)
+cte("planned_pairs", "select *, place // 8 as step, ((place % 8) // 2)::INT as micro from kept_pairs "
+    "where place // 8 < (select count(*) // 8 from kept_pairs)", "kept_pairs", materialized=True)
