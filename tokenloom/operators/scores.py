@@ -75,7 +75,7 @@ def score_matrix(scores: DataFrame, tasks: Sequence[str] | None = None) -> DataF
 
 
 def one_decimal(x: Column) -> Column:
-    """Text of a non-negative double with one decimal, rounded by its exact binary value.
+    """Text of a non-negative double with one decimal, rounded by its exact binary value; null stays null.
 
     The comparison with the midpoint is exact: the two products by powers of
     two do not round, and their differences from it are representable.
@@ -84,7 +84,8 @@ def one_decimal(x: Column) -> Column:
     mid = low * 2 + 1
     side = (x * 16 - mid) + x * 4
     up = (side > 0) | ((side == 0) & (low % 2 == 1))
-    return F.format_string("%.1f", (low + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / 10)
+    text = F.format_string("%.1f", (low + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / 10)
+    return F.when(x.isNotNull(), text)
 
 
 def leaderboard(matrix: DataFrame, tasks: Sequence[str] | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries; importing the modules fills the registry."""
 
-from tokenloom.plans import batches, chats, corpus  # noqa: F401
+from tokenloom.plans import batches, chats, corpus, reports, streams  # noqa: F401
 from tokenloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -68,6 +68,14 @@ def shard_stats(spark, sf_dir):
     return carving.shard_stats(train_carved(spark, sf_dir)[1])
 
 
+@query("shard_stats_anneal", sql(
+    "select split, shard_idx, printf('%s_%05d.bin', split, shard_idx) as name, sum(n_tok)::BIGINT as tokens, "
+    "count(*)::BIGINT as chunks from carved_anneal group by split, shard_idx", "carved_anneal"))
+def shard_stats_anneal(spark, sf_dir):
+    """The anneal mix: no validation part, its own file names."""
+    return carving.shard_stats(anneal_carved(spark, sf_dir)[1]).drop("written")
+
+
 @query("shard_scan", sql(
     "select split, shard_idx, sum(n_tok)::BIGINT as tokens, sum(list_sum(list_transform(regexp_extract_all(syms, "
     "'<([0-9]+)>', 1), lambda x: x::BIGINT)))::BIGINT as id_sum from chunks_train group by split, shard_idx",
@@ -190,6 +198,31 @@ def step_plan(spark, sf_dir):
         rounded(F.col("lr"), 9).alias("lr_factor"))
 
 
+CUT, REWARM, MIN_FRAC = 0.9, 0.5, 0.1
+
+
+@query("step_plan_resumed", sql(
+    f"with run as (select ((select sum(n_tok)::BIGINT from carved_train where split = 'train') * {EPOCHS}) // {STEP} as total), "
+    f"cut as (select total, greatest(1, floor(total * {DECAY}::DOUBLE)::BIGINT) as d, floor(total * {REWARM}::DOUBLE)::BIGINT as since, "
+    f"floor(total * {CUT}::DOUBLE)::BIGINT as ends from run), "
+    "steps as (select unnest(generate_series(since, ends - 1)) as step, total - d as begins, d, since from cut) "
+    f"select step, step % n as batch_id, round((case when step < {WARMUP} then (step + 1) / {WARMUP}::DOUBLE "
+    f"when step < begins then 1.0::DOUBLE else {MIN_FRAC}::DOUBLE + {1 - MIN_FRAC!r}::DOUBLE * (1.0::DOUBLE - "
+    "sqrt(least(1.0::DOUBLE, (step - begins) / d::DOUBLE))) end) * "
+    f"least(1.0::DOUBLE, (step - since + 1) / {max(1, WARMUP // 4)}::DOUBLE), 9) as lr_factor from steps, "
+    "(select sum(n_batches)::BIGINT as n from batches_of_train where split = 'train')", "batches_of_train", "carved_train"
+).replace("\nwith run as", ",\nrun as", 1))
+def step_plan_resumed(spark, sf_dir):
+    """A run without anneal stream, resumed half way in another framework and cut short."""
+    tokens = train_carved(spark, sf_dir)[1].where(F.col("split") == "train").agg(F.sum("n_tok")).first()[0]
+    steps = stepplan.total_steps(tokens * EPOCHS, BATCH_SEQS, SEQ_LEN)
+    since = int(steps * REWARM)
+    plan = stepplan.step_plan(
+        spark, steps, sequences.stream_batches(train_batches(spark, sf_dir)), lr=1.0, warmup=WARMUP, decay_frac=DECAY,
+        min_frac=MIN_FRAC, rewarm_from=since, max_steps=int(steps * CUT), anneal=False)
+    return plan.where(F.col("step") >= since).select("step", "batch_id", rounded(F.col("lr"), 9).alias("lr_factor"))
+
+
 @query("worker_rows_torch", sql(
     f"select {_ROW}, (row // 4)::INT as rank, ((row % 4) // 2)::INT as accum from windows where split = 'train'", "windows"))
 def worker_rows_torch(spark, sf_dir):

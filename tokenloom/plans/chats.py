@@ -65,6 +65,17 @@ def chat_encode(spark, sf_dir):
                         digest(F.col("mask")).alias("mask_md5"))
 
 
+@query("chat_prompt", sql(
+    "select conv_id, (length(c.syms || p) // 7)::BIGINT as n_tok, "
+    f"md5({ids_text('p')}) as prompt_md5 from chat_all c, (select '<00001>' || a.syms || n.syms as p from turn_words a, turn_words n "
+    "where a.piece = 'assistant' and n.piece = chr(10))", "chat_all", "turn_words"))
+def chat_prompt(spark, sf_dir):
+    """Length of each conversation with the prompt for the next reply, and the prompt."""
+    prompt = chat.generation_prompt(merges(spark, sf_dir))
+    sizes = chat.conversation_sizes(encoded_turns(spark, sf_dir))
+    return sizes.select("conv_id", (F.col("n_tok") + F.size(prompt)).alias("n_tok"), digest(prompt).alias("prompt_md5"))
+
+
 @query("chat_sizes", sql(
     "select conv_id, (length(syms) // 7)::BIGINT as n_tok, (length(mask) - length(replace(mask, '1', '')))::BIGINT as supervised "
     "from chat_all", "chat_all"))

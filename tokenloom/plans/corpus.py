@@ -176,6 +176,14 @@ def bpe_train(spark, sf_dir):
     return train_vocabulary(spark, sf_dir)
 
 
+@query("vocabulary", sql(f"select id, token_hex, id < 4 as special from v{MERGES}", f"v{MERGES}"))
+def vocabulary(spark, sf_dir):
+    """Special tokens, bytes and merged tokens with the bytes they stand for."""
+    pairs = merges(spark, sf_dir)
+    rows = spark.createDataFrame([(i, a, b, FIRST_MERGE + i) for i, (a, b) in enumerate(pairs)], bpe.MERGES_SCHEMA)
+    return bpe.vocabulary(spark, rows).select("id", F.hex("token_bytes").alias("token_hex"), "special")
+
+
 @query("vocabulary_usage", sql(
     "select id, count(*)::BIGINT as uses, count(distinct doc_id)::BIGINT as docs from (select doc_id, "
     "unnest(regexp_extract_all(syms, '<([0-9]+)>', 1))::INT as id from doc_tokens where length(syms) > 7) group by id",
