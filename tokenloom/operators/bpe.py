@@ -22,7 +22,7 @@ from pyspark.storagelevel import StorageLevel
 from tokenloom.functions.encode import PieceEncoder
 from tokenloom.functions.text import FIRST_MERGE, SPECIAL_TOKENS, byte_ids, pieces
 from tokenloom.operators.filters import check_vocabulary
-from tokenloom.session import spread, stage
+from tokenloom.session import stage, wide_partitions
 
 MERGES_SCHEMA = "rank int, left int, right int, new_id int"
 # Pairs looked at per round; a batch is a prefix of them, so a small number
@@ -33,7 +33,7 @@ CANDIDATES = 1024
 def piece_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """Distinct pre-tokens of the corpus with their counts (pre-aggregated per task)."""
     return (
-        spread(texts.select(text)).select(F.explode(pieces(F.col(text))).alias("piece"))
+        texts.select(F.explode(pieces(F.col(text))).alias("piece"))
         .groupBy("piece")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -127,7 +127,7 @@ def train_bpe(
                 step = PieceEncoder(merges[staged:], FIRST_MERGE + staged)
                 words = held.mapInArrow(_apply(step), "ids array<int>, n long")
             # Each round is work for every core, however small the table.
-            fresh = stage(spread(words), "bpe-words").persist(StorageLevel.MEMORY_AND_DISK)
+            fresh = stage(words.repartition(wide_partitions(spark)), "bpe-words").persist(StorageLevel.MEMORY_AND_DISK)
             if held is not None:
                 held.unpersist()
             held, staged = fresh, len(merges)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom.operators.ordering import running_totals
 
 SHARD_KEY = ("split", "shard_idx")
+USES_PER_KEY = 64
 
 
 def stream_need(total_tokens: int, shard_tokens: int, val_tokens: int = 0) -> int:
@@ -70,8 +71,16 @@ def shard_chunks(tokens: DataFrame, carved: DataFrame, ids: Sequence[str] = ("do
     ``tokens`` holds one ``ids`` array per document; arrays never grow beyond
     a document, however large the shard.
     """
-    narrow = carved.select(*ids, *SHARD_KEY, "shard_pos", "skip", F.col("n_tok").alias("_n"))
-    return tokens.select(*ids, "ids").join(narrow, list(ids)).select(
+    key = list(ids)
+    narrow = carved.select(*key, *SHARD_KEY, "shard_pos", "skip", F.col("n_tok").alias("_n"), "epoch")
+    texts = tokens.select(*key, "ids")
+    if (carved.agg(F.max("epoch")).first()[0] or 0) >= USES_PER_KEY:
+        # A small source read over and over: spread the uses of a document
+        # over several copies of it, one per USES_PER_KEY epochs.
+        narrow = narrow.withColumn("_salt", F.floor(F.col("epoch") / USES_PER_KEY))
+        texts = texts.join(narrow.select(*key, "_salt").distinct(), key)
+        key = [*key, "_salt"]
+    return texts.join(narrow, key).select(
         *SHARD_KEY, "shard_pos", F.col("_n").alias("n_tok"),
         F.slice("ids", F.col("skip") + 1, F.col("_n")).alias("ids"),
     )

@@ -50,14 +50,14 @@ def generation_prompt(merges: list[tuple[int, int]]) -> Column:
 
 
 def turn_offsets(encoded: DataFrame) -> DataFrame:
-    """Adds ``offset``, the token position of a turn in its conversation.
+    """Adds ``n_tok`` and ``offset``, the token position of a turn in its conversation.
 
     Works for a conversation of any length: its turns are spread over tasks.
+    ``encoded`` should be a stored table; only sizes go through the ordering.
     """
-    return running_totals(
-        encoded.withColumn("n_tok", F.size("ids").cast("long")), ["turn"], {"n_tok": "offset"},
-        group_by=["conv_id"], label="turns",
-    )
+    sizes = encoded.select("conv_id", "turn", F.size("ids").cast("long").alias("n_tok"))
+    placed = running_totals(sizes, ["turn"], {"n_tok": "offset"}, group_by=["conv_id"], label="turns")
+    return encoded.join(placed, ["conv_id", "turn"])
 
 
 def conversation_sizes(offsets: DataFrame) -> DataFrame:

@@ -25,13 +25,13 @@ def sampled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of the sampled conversations."""
     convs = turns(spark, sf_dir).select("conv_id").distinct()
     taken = ordering.seeded_sample(convs, 0, ["conv_id"], MAX_CHATS).select("conv_id")
-    return turns(spark, sf_dir).join(taken, "conv_id", "left_semi")
+    return spread(turns(spark, sf_dir)).join(taken, "conv_id", "left_semi")
 
 
 @artifact
 def encoded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids, masks and offsets of every sampled turn."""
-    coded = chat.encode_turns(spread(sampled_turns(spark, sf_dir)), merges(spark, sf_dir))
+    coded = stage(chat.encode_turns(sampled_turns(spark, sf_dir), merges(spark, sf_dir)), "coded")
     return stage(chat.turn_offsets(coded), "turns")
 
 

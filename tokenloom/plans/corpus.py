@@ -50,15 +50,16 @@ def char_mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 def byte_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text and code documents for vocabulary training, unfiltered."""
-    text = table(spark, sf_dir, "documents").select(F.lit("text").alias("source"), "doc_id", "text")
-    code = table(spark, sf_dir, "pages").select(
+    text = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.lit("text").alias("source"), "doc_id", "text")
+    code = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(
         F.lit("code").alias("source"), F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
     return mixing.union_sources([text, code])
 
 
 def byte_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = byte_sources(spark, sf_dir).select(
-        "source", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
+    # Stored first: ordering samples its input, and the texts are read once.
+    sizes = stage(byte_sources(spark, sf_dir).select(
+        "source", "doc_id", F.octet_length("text").cast("long").alias("n_bytes")), "sizes")
     return mixing.byte_budget_mix(sizes, tokenizer_mix())
 
 
@@ -168,7 +169,7 @@ def epoch_permutation(spark, sf_dir):
     f"select piece, count(*)::BIGINT as n from (select unnest(regexp_extract_all(text, '{SPLIT}')) as piece from documents) "
     "group by piece"))
 def pretokenize_counts(spark, sf_dir):
-    return bpe.piece_counts(table(spark, sf_dir, "documents"))
+    return bpe.piece_counts(spread(table(spark, sf_dir, "documents").select("text")))
 
 
 @query("bpe_train", sql('select rank, l as "left", r as "right", new_id from merges', "merges"))
@@ -184,17 +185,6 @@ def vocabulary(spark, sf_dir):
     return bpe.vocabulary(spark, rows).select("id", F.hex("token_bytes").alias("token_hex"), "special")
 
 
-@query("vocabulary_usage", sql(
-    "select id, count(*)::BIGINT as uses, count(distinct doc_id)::BIGINT as docs from (select doc_id, "
-    "unnest(regexp_extract_all(syms, '<([0-9]+)>', 1))::INT as id from doc_tokens where length(syms) > 7) group by id",
-    "doc_tokens"))
-def vocabulary_usage(spark, sf_dir):
-    """How often the vocabulary's tokens occur in the corpus."""
-    ids = encode_documents(spark, sf_dir).select("doc_id", F.explode("ids").alias("id"))
-    per_doc = ids.groupBy("doc_id", "id").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("id").agg(F.sum("n").cast("long").alias("uses"), F.count(F.lit(1)).alias("docs"))
-
-
 @query("bpe_encode", sql(
     f"select doc_id, (length(syms) // 7)::INT as n_tok, md5({ids_text('syms')}) as ids_md5 from doc_tokens", "doc_tokens"))
 def bpe_encode(spark, sf_dir):

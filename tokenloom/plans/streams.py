@@ -9,7 +9,7 @@ from tokenloom.functions.text import long_enough, pieces
 from tokenloom.plans.corpus import merges
 from tokenloom.plans.registry import query
 from tokenloom.plans.sqltext import sql, cte, SPLIT
-from tokenloom.session import staging_path
+from tokenloom.session import spread, staging_path
 from tokenloom.streaming import ingest
 
 cte("piece_sizes", f"select source, len(regexp_extract_all(text, '{SPLIT}'))::BIGINT as n_tok from documents where length(text) > 50")
@@ -35,7 +35,7 @@ def stream_tokenise(spark, sf_dir):
     encode = encoder(merges(spark, sf_dir))
 
     def prepare(batch):
-        kept = batch.where(long_enough(F.col("text")))
+        kept = spread(batch).where(long_enough(F.col("text")))
         ids = with_end_of_text(encode(F.col("text")))
         return kept.select("doc_id", "source", ids.alias("ids"))
 

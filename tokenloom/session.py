@@ -67,15 +67,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work on a small input all cores.
+    """Give CPU-heavy work on a small table all cores.
 
-    A large input already has more splits than cores and passes through
-    without a shuffle.
+    For plain scans only, where counting the splits runs nothing. A large table
+    has more splits than cores and passes through without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() > 2 * cores else df.repartition(cores)
 
 
+def wide_partitions(spark: SparkSession) -> int:
+    """Partitions for CPU-heavy rounds over a stored table: at least one per core."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of every executor."""
     app = spark.sparkContext.applicationId

@@ -1,4 +1,4 @@
-"""Score files, one folder of JSON per model label, and the Markdown table."""
+"""Score files, a JSON record per model label, and the Markdown table."""
 
 from __future__ import annotations
 
@@ -21,8 +21,13 @@ def score_rows(scores: DataFrame, models: DataFrame, limit: int | None = None) -
         F.coalesce("scores", F.create_map().cast("map<string,double>")).alias("scores"))
 
 
-def write_scores(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("label").json(path)
+def write_scores(rows: DataFrame, path: str, folders: bool = False) -> None:
+    """Append score records; ``folders`` gives every label a folder of its own,
+    which suits tens of models rather than millions."""
+    if folders:
+        rows.repartition("label").write.mode("append").partitionBy("label").json(path)
+    else:
+        rows.write.mode("append").json(path)
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
