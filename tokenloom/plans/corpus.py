@@ -71,6 +71,7 @@ def train_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @artifact
 def merges(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
+    """The trained vocabulary, at most 65,536 pairs."""
     return bpe.merge_list(train_vocabulary(spark, sf_dir))
 
 
@@ -133,13 +134,6 @@ def mix_shares(spark, sf_dir):
     return mixing.mix_shares(char_mix(spark, sf_dir)[0]).withColumn("share", rounded(F.col("share")))
 
 
-@query("source_repeat", sql(
-    "select source, (max(epoch) + 1)::INT as epochs, count(*)::BIGINT as uses, sum(n_tok)::BIGINT as tokens "
-    "from mix_anneal group by source", "mix_anneal"))
-def source_repeat(spark, sf_dir):
-    return mixing.source_repeats(mixed_tokens(spark, sf_dir, "anneal")[0])
-
-
 @query("mix_byte_budget", sql("select source, doc_id, n_bytes, start from byte_mix", "byte_mix"))
 def mix_byte_budget(spark, sf_dir):
     return byte_mix(spark, sf_dir)
@@ -174,7 +168,10 @@ def pretokenize_counts(spark, sf_dir):
 
 @query("bpe_train", sql('select rank, l as "left", r as "right", new_id from merges', "merges"))
 def bpe_train(spark, sf_dir):
-    return train_vocabulary(spark, sf_dir)
+    """Always trains; the later queries take over what was trained."""
+    trained = train_vocabulary(spark, sf_dir)
+    merges.keep(spark, sf_dir, bpe.merge_list(trained))
+    return trained
 
 
 @query("vocabulary", sql(f"select id, token_hex, id < 4 as special from v{MERGES}", f"v{MERGES}"))
@@ -197,3 +194,10 @@ def bpe_roundtrip(spark, sf_dir):
     decode = decoder(bpe.token_bytes(merges(spark, sf_dir)))
     back = encode_documents(spark, sf_dir).select("doc_id", "text", decode(F.col("ids")).alias("back"))
     return back.select("doc_id", F.md5("back").alias("text_md5"), (F.col("back") == F.col("text")).alias("same"))
+
+
+@query("source_repeat", sql(
+    "select source, (max(epoch) + 1)::INT as epochs, count(*)::BIGINT as uses, sum(n_tok)::BIGINT as tokens "
+    "from mix_anneal group by source", "mix_anneal"))
+def source_repeat(spark, sf_dir):
+    return mixing.source_repeats(mixed_tokens(spark, sf_dir, "anneal")[0])

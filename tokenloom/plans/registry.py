@@ -36,7 +36,11 @@ def artifact(fn: Callable) -> Callable:
         if key not in _held:
             _held[key] = fn(spark, sf_dir)
         return _held[key]
-    get.fresh = fn
+
+    def keep(spark: SparkSession, sf_dir: str, value: object) -> None:
+        _held[(spark.sparkContext.applicationId, sf_dir, fn.__name__)] = value
+
+    get.fresh, get.keep = fn, keep
     return get
 
 

@@ -73,7 +73,7 @@ def spec_frame(spark: SparkSession, mix: Mix) -> DataFrame:
     """The mix as a table, one row per source."""
     shares = mix.shares
     return spark.createDataFrame(
-        [(i, s.name, s.weight, shares[s.name], s.min_score) for i, s in enumerate(mix.sources)],
+        [(i, s.name, float(s.weight), shares[s.name], None if s.min_score is None else float(s.min_score)) for i, s in enumerate(mix.sources)],
         "ord int, source string, weight double, share double, min_score double",
     )
 

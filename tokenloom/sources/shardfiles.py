@@ -12,6 +12,7 @@ import posixpath
 import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -94,17 +95,29 @@ class ShardWriter(DataSourceArrowWriter):
                 system.delete_file(temp)
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, split: str, shard: int, begin: int, end: int):
-        super().__init__((path, begin))
-        self.path, self.split, self.shard, self.begin, self.end = path, split, shard, begin, end
+@dataclass(frozen=True)
+class _Range:
+    """Tokens ``begin … end-1`` of one shard file."""
+
+    path: str
+    split: str
+    shard: int
+    begin: int
+    end: int
+
+
+class _Ranges(InputPartition):
+    """What one task reads: part of a large file, or several small ones."""
+
+    def __init__(self, ranges: list[_Range]):
+        super().__init__(ranges)
 
 
 class ShardReader(DataSourceReader):
     def __init__(self, path: str, pattern: str, chunk: int, per_task: int):
         self.path, self.pattern, self.chunk, self.per_task = path, pattern, chunk, per_task
 
-    def partitions(self) -> list[_Range]:
+    def partitions(self) -> list[_Ranges]:
         system, base = _filesystem(self.path)
         out = []
         for info in system.get_file_info(fs.FileSelector(base)):
@@ -116,9 +129,20 @@ class ShardReader(DataSourceReader):
                         for b in range(0, size, self.per_task)]
         if not out:
             raise FileNotFoundError(f"no shard matches {self.pattern!r} in {self.path!r}")
-        return sorted(out, key=lambda r: r.value)
-
-    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
+        groups, size = [], self.per_task
+        for r in sorted(out, key=lambda r: (r.path, r.begin)):
+            if size + r.end - r.begin > self.per_task:
+                groups.append([])
+                size = 0
+            groups[-1].append(r)
+            size += r.end - r.begin
+        return [_Ranges(g) for g in groups]
+
+    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.value:
+            yield from self._read(part)
+
+    def _read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         system, _ = _filesystem(self.path)
         schema = pa.schema([("split", pa.string()), ("shard_idx", pa.int32()), ("shard_pos", pa.int64()),
                             ("n_tok", pa.int32()), ("ids", pa.list_(pa.int32()))])
@@ -149,7 +173,7 @@ class TokenShards(DataSource):
     def reader(self, schema) -> ShardReader:
         o = self.options
         return ShardReader(o["path"], o.get("pattern", "*.bin"), int(o.get("chunk", 4096)),
-                           int(o.get("perTask", 8_388_608)))
+                           int(o.get("perTask", 4_194_304)))
 
     def writer(self, schema, overwrite: bool) -> ShardWriter:
         return ShardWriter(self.options["path"])
