@@ -52,6 +52,19 @@ def test_shift_and_resume(spark):
     assert sequences.cursor_of(batches, {"shard_idx": 4, "pos": 0, "epoch": 2}, 2, 16) == 2 * 93 + 31
 
 
+@pytest.mark.parametrize("options", [{}, {"perTask": 70}])
+def test_sequences_from_files_equal_the_loop(spark, tmp_path, options):
+    path = str(tmp_path / "shards")
+    shardfiles.write_shards(_shards(spark, 3, 1000).unionByName(_shards(spark, 1, 100).withColumn("split", F.lit("val"))), path)
+    rows = shardfiles.read_sequences(spark, path, 2, 16, **options).collect()
+    want = _stream(3, 1000, 2, 16)
+    assert len([r for r in rows if r["split"] == "val"]) == 2 * 3 and len(rows) == 2 * (93 + 3)
+    for r in rows:
+        assert r["ids"] == (want[r["batch_id"]][r["row"]] if r["split"] == "train" else
+                            [32 * r["batch_id"] + 16 * r["row"] + i for i in range(17)])
+        assert r["in_shard"] == (r["batch_id"] - 31 * r["shard_idx"])
+
+
 def test_wrapping_and_val_batches(spark):
     reads = {r["read"]: (r["epoch"], r["batch_id"]) for r in sequences.cursor_batches(spark, 60, 45, 40).collect()}
     assert reads[44] == (0, 44) and reads[45] == (1, 0) and reads[99] == (2, 9)

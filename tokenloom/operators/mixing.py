@@ -134,6 +134,20 @@ def byte_budget_mix(docs: DataFrame, mix: Mix, budget: int | None = None,
     return ordered.where(F.col("start") < budget).select("source", *ids, "n_bytes", "start")
 
 
+def taken_rows(rows: DataFrame, mixed: DataFrame, order_id: str) -> DataFrame:
+    """The rows of ``rows(source, order_id, …)`` that a mix without restart took.
+
+    A mix takes a prefix of every source, so the last id per source (one row
+    each) says it all: a pushed-down filter, no join that moves the texts.
+    """
+    last = {r["source"]: r["last"] for r in
+            mixed.groupBy("source").agg(F.max(order_id).alias("last")).collect()}
+    hit = F.lit(False)
+    for name, bound in last.items():
+        hit = hit | ((F.col("source") == name) & (F.col(order_id) <= bound))
+    return rows.where(hit)
+
+
 def mix_shares(mixed: DataFrame, amount: str = "n_tok") -> DataFrame:
     """Tokens per source and their share of all tokens (never dividing by zero)."""
     per = mixed.groupBy("source").agg(

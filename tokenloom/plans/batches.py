@@ -142,6 +142,15 @@ def shift_windows(spark, sf_dir):
         digest(sequences.targets(F.col("ids"), SEQ_LEN)).alias("y_md5"))
 
 
+@query("sequence_scan", sql(f"select {_ROW}, md5({ids_text('syms')}) as ids_md5 from windows", "windows"))
+def sequence_scan(spark, sf_dir):
+    """The same sequences, read from the binary shards without a shuffle."""
+    path = staging_path(spark, "shards")
+    shardfiles.write_shards(train_chunks(spark, sf_dir), path)
+    return shardfiles.read_sequences(spark, path, BATCH_SEQS, SEQ_LEN).select(
+        "split", "shard_idx", "batch_id", "in_shard", "row", digest(F.col("ids")).alias("ids_md5"))
+
+
 @query("val_batches", sql(
     f"select read, (read // n)::INT as epoch, read % n as batch_id, row, md5({ids_text('syms')}) as ids_md5 from "
     "(select sum(n_batches)::BIGINT as n from batches_of_train where split = 'val'), "

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.encode import decoder, encoder, with_end_of_text
 from tokenloom.functions.text import FIRST_MERGE, long_enough
 from tokenloom.operators import bpe, carving, mixing, ordering
-from tokenloom.operators.filters import keep_documents
+from tokenloom.operators.filters import score_at_least
 from tokenloom.plans.registry import artifact, digest, query, rounded, table
 from tokenloom.plans.sqltext import MERGES, PER_BATCH, SHARD, SPLIT, VAL, ids_text, sql
 from tokenloom.session import spread, stage
@@ -19,20 +19,25 @@ MIXES = table_mixes(SHARD, VAL)
 
 # -- artifacts ------------------------------------------------------------
 
-def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the optional quality score."""
+def with_scores(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """Add the optional quality score. Texts and ids stay out of this join."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("score"))
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "source").join(labels, "doc_id", "left")
+    return docs.join(labels, "doc_id", "left")
 
 
 def passing(spark: SparkSession, sf_dir: str, mix: str) -> DataFrame:
-    return keep_documents(with_mix_source(scored_documents(spark, sf_dir), choose_mix(MIXES, mix)))
+    """``source, doc_id, score, n_chars`` of the documents a mix may use."""
+    docs = table(spark, sf_dir, "documents").where(long_enough(F.col("text"))).select(
+        "doc_id", "source", F.char_length("text").alias("n_chars"))
+    named = with_mix_source(docs, choose_mix(MIXES, mix))
+    scored = with_scores(spark, sf_dir, named)
+    return scored.where(score_at_least(F.col("min_score"), F.col("score"))).drop("min_score")
 
 
 def char_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passing documents with one token per character, plus the end-of-text."""
     return passing(spark, sf_dir, "train").select(
-        "source", "doc_id", (F.char_length("text") + 1).cast("long").alias("n_tok"))
+        "source", "doc_id", (F.col("n_chars") + 1).cast("long").alias("n_tok"))
 
 
 def need_tokens(docs: DataFrame, mix: str) -> tuple[int, int]:
@@ -64,8 +69,7 @@ def byte_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = byte_mix(spark, sf_dir).select("source", "doc_id")
-    texts = byte_sources(spark, sf_dir).join(taken, ["source", "doc_id"], "left_semi")
+    texts = mixing.taken_rows(byte_sources(spark, sf_dir), byte_mix(spark, sf_dir), "doc_id")
     return bpe.train_bpe(spark, bpe.piece_counts(texts), FIRST_MERGE + MERGES)
 
 
@@ -84,17 +88,14 @@ def encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @artifact
 def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as token ids, end-of-text included: what all later jobs read."""
-    coded = encode_documents(spark, sf_dir)
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("score"))
-    return stage(
-        coded.where(long_enough(F.col("text"))).select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tok"))
-        .join(labels, "doc_id", "left"), "tokens")
+    coded = encode_documents(spark, sf_dir).where(long_enough(F.col("text")))
+    return stage(coded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tok")), "tokens")
 
 
 def mixed_tokens(spark: SparkSession, sf_dir: str, mix: str) -> tuple[DataFrame, int]:
-    tokens = with_mix_source(token_table(spark, sf_dir).select("doc_id", "source", "n_tok", "score"), MIXES[mix])
-    low = F.col("min_score")
-    docs = tokens.where(low.isNull() | (F.coalesce("score", low) >= low)).select("source", "doc_id", "n_tok")
+    sizes = with_mix_source(token_table(spark, sf_dir).select("doc_id", "source", "n_tok"), MIXES[mix])
+    docs = with_scores(spark, sf_dir, sizes).where(score_at_least(F.col("min_score"), F.col("score")))
+    docs = stage(docs.select("source", "doc_id", "n_tok"), f"sizes-{mix}")
     total, need = need_tokens(docs, mix)
     return stage(mixing.token_deficit_mix(docs, MIXES[mix], need, PER_BATCH), f"mix-{mix}"), total
 
@@ -104,7 +105,7 @@ def mixed_tokens(spark: SparkSession, sf_dir: str, mix: str) -> tuple[DataFrame,
 @query("quality_filter", sql(
     "select source, doc_id, score, length(text)::INT as n_chars from passing_train", "passing_train"))
 def quality_filter(spark, sf_dir):
-    return passing(spark, sf_dir, "train").select("source", "doc_id", "score", F.char_length("text").alias("n_chars"))
+    return passing(spark, sf_dir, "train").select("source", "doc_id", "score", "n_chars")
 
 
 @query("corpus_mix_schedule", sql(

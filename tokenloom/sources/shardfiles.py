@@ -27,6 +27,7 @@ from tokenloom.operators.carving import shard_name
 from tokenloom.session import ship_package
 
 FORMAT = "tokenshards"
+SEQUENCES = "tokensequences"
 CHUNK = "split string, shard_idx int, shard_pos long, n_tok int, ids array<int>"
 _NAME = re.compile(r"^(.*)_(\d{5,})\.bin$")
 
@@ -117,20 +118,23 @@ class ShardReader(DataSourceReader):
     def __init__(self, path: str, pattern: str, chunk: int, per_task: int):
         self.path, self.pattern, self.chunk, self.per_task = path, pattern, chunk, per_task
 
-    def partitions(self) -> list[_Ranges]:
+    def files(self) -> list[tuple[str, str, int, int]]:
+        """(path, split, shard, tokens) of the matching files by split and shard."""
         system, base = _filesystem(self.path)
         out = []
         for info in system.get_file_info(fs.FileSelector(base)):
             name = posixpath.basename(info.path)
             m = _NAME.match(name)
             if info.type == fs.FileType.File and m and fnmatch.fnmatch(name, self.pattern):
-                size = info.size // 2
-                out += [_Range(info.path, m[1], int(m[2]), b, min(b + self.per_task, size))
-                        for b in range(0, size, self.per_task)]
+                out.append((info.path, m[1], int(m[2]), info.size // 2))
         if not out:
             raise FileNotFoundError(f"no shard matches {self.pattern!r} in {self.path!r}")
+        return sorted(out, key=lambda f: f[1:3])
+
+    def partitions(self) -> list[_Ranges]:
         groups, size = [], self.per_task
-        for r in sorted(out, key=lambda r: (r.path, r.begin)):
+        for r in (_Range(path, split, shard, b, min(b + self.per_task, n))
+                  for path, split, shard, n in self.files() for b in range(0, n, self.per_task)):
             if size + r.end - r.begin > self.per_task:
                 groups.append([])
                 size = 0
@@ -179,9 +183,72 @@ class TokenShards(DataSource):
         return ShardWriter(self.options["path"])
 
 
+class SequenceReader(ShardReader):
+    """Whole batches of training sequences, cut straight out of the files.
+
+    The shards are in name order, so the batch number of a sequence follows
+    from the file sizes alone; neighbouring sequences overlap by one token.
+    """
+
+    def __init__(self, path: str, pattern: str, batch_seqs: int, seq_len: int, per_task: int):
+        super().__init__(path, pattern, 0, per_task)
+        self.batch_seqs, self.seq_len = batch_seqs, seq_len
+
+    def partitions(self) -> list[_Ranges]:
+        step = self.batch_seqs * self.seq_len
+        per_part = max(1, self.per_task // step)
+        first: dict[str, int] = {}
+        groups, size = [], per_part
+        for path, split, shard, tokens in self.files():
+            base, n = first.get(split, 0), max(0, tokens - 1) // step
+            first[split] = base + n
+            for b in range(0, n, per_part):
+                e = min(b + per_part, n)
+                if size + e - b > per_part:
+                    groups.append([])
+                    size = 0
+                groups[-1].append((_Range(path, split, shard, b, e), base))
+                size += e - b
+        return [_Ranges(g) for g in groups]
+
+    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
+        b, t = self.batch_seqs, self.seq_len
+        for part, base in partition.value:
+            system, _ = _filesystem(part.path)
+            with system.open_input_file(part.path) as f:
+                for batch in range(part.begin, part.end):
+                    raw = f.read_at((b * t + 1) * 2, batch * b * t * 2)
+                    ids = np.frombuffer(raw, dtype="<u2").astype(np.int32)
+                    rows = np.lib.stride_tricks.sliding_window_view(ids, t + 1)[::t]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([part.split] * b), pa.array([part.shard] * b, pa.int32()),
+                        pa.array([base + batch] * b, pa.int64()), pa.array([batch] * b, pa.int64()),
+                        pa.array(range(b), pa.int32()),
+                        pa.ListArray.from_arrays(
+                            pa.array(np.arange(b + 1, dtype=np.int32) * (t + 1)), pa.array(rows.ravel())),
+                    ], names=["split", "shard_idx", "batch_id", "in_shard", "row", "ids"])
+
+
+class TokenSequences(DataSource):
+    """Options: ``batchSeqs`` and ``seqLen``, ``pattern``, and ``perTask`` in tokens."""
+
+    @classmethod
+    def name(cls) -> str:
+        return SEQUENCES
+
+    def schema(self) -> str:
+        return "split string, shard_idx int, batch_id long, in_shard long, row int, ids array<int>"
+
+    def reader(self, schema) -> SequenceReader:
+        o = self.options
+        return SequenceReader(o["path"], o.get("pattern", "*.bin"), int(o["batchSeqs"]), int(o["seqLen"]),
+                              int(o.get("perTask", 4_194_304)))
+
+
 def register(spark: SparkSession) -> None:
     ship_package(spark)
     spark.dataSource.register(TokenShards)
+    spark.dataSource.register(TokenSequences)
 
 
 def write_shards(chunks: DataFrame, path: str) -> None:
@@ -204,6 +271,21 @@ def read_shards(spark: SparkSession, path: str, pattern: str = "*.bin", **option
     return reader.load(path)
 
 
+def read_sequences(spark: SparkSession, path: str, batch_seqs: int, seq_len: int, pattern: str = "*.bin",
+                   **options) -> DataFrame:
+    """Training sequences straight from shard files, without a shuffle.
+
+    The same rows as :func:`tokenloom.operators.sequences.shift_windows` over
+    the same shards.
+    """
+    register(spark)
+    reader = spark.read.format(SEQUENCES).option("pattern", pattern).option("batchSeqs", batch_seqs).option(
+        "seqLen", seq_len)
+    for key, value in options.items():
+        reader = reader.option(key, value)
+    return reader.load(path)
+
+
 def list_shards(spark: SparkSession, path: str, pattern: str = "*.bin") -> DataFrame:
     """Shard files by name with their token counts; none at all is an error."""
     found = (
