@@ -42,32 +42,51 @@ class PieceEncoder:
         return ranks
 
     def merge(self, ids: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merge flat ids of many words; ``word`` is the ascending word of each id."""
-        done_ids, done_word = [], []
-        while len(ids):
-            ranks = self._ranks(ids, word)
-            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            best = np.repeat(np.minimum.reduceat(ranks, starts), np.diff(np.r_[starts, len(ids)]))
+        """Merge flat ids of many words; ``word`` is the ascending word of each id.
+
+        Only words in which some pair merges are touched, round by round.
+        """
+        ranks = self._ranks(ids, word)
+        hits = np.flatnonzero(ranks != _NONE)
+        if not len(hits):
+            return ids, word
+        busy = np.zeros(int(word[-1]) + 1, dtype=bool)
+        busy[word[hits]] = True
+        inside = busy[word]
+        work_ids, work_word, ranks = ids[inside], word[inside], ranks[inside]
+        done_ids, done_word = [ids[~inside]], [word[~inside]]
+        while len(work_ids):
+            starts = np.flatnonzero(np.r_[True, work_word[1:] != work_word[:-1]])
+            best = np.repeat(np.minimum.reduceat(ranks, starts), np.diff(np.r_[starts, len(work_ids)]))
             active = best != _NONE
-            done_ids.append(ids[~active])
-            done_word.append(word[~active])
-            ids, word, ranks, best = ids[active], word[active], ranks[active], best[active]
-            if not len(ids):
-                break
+            if not active.all():
+                done_ids.append(work_ids[~active])
+                done_word.append(work_word[~active])
+                work_ids, work_word, ranks, best = work_ids[active], work_word[active], ranks[active], best[active]
+                if not len(work_ids):
+                    break
             # A pair of equal tokens can overlap itself: merge from the left,
             # so only even places of a run of hits.
             where = np.flatnonzero(ranks == best)
             begins = np.r_[True, np.diff(where) != 1]
             where = where[(where - where[begins][np.cumsum(begins) - 1]) % 2 == 0]
-            ids[where] = self._first + best[where]
-            keep = np.ones(len(ids), dtype=bool)
+            work_ids[where] = self._first + best[where]
+            keep = np.ones(len(work_ids), dtype=bool)
             keep[where + 1] = False
-            ids, word = ids[keep], word[keep]
-        if not done_ids:
-            return ids, word
-        ids, word = np.concatenate(done_ids), np.concatenate(done_word)
-        place = np.argsort(word, kind="stable")
-        return ids[place], word[place]
+            work_ids, work_word = work_ids[keep], work_word[keep]
+            ranks = self._ranks(work_ids, work_word)
+        # Every word is whole in one part: put the parts back by word offset.
+        size = np.zeros(len(busy), dtype=np.int64)
+        for w in done_word:
+            size += np.bincount(w, minlength=len(size))
+        begin = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), dtype=np.int64)
+        for i, w in zip(done_ids, done_word):
+            if len(w):
+                first = np.r_[True, w[1:] != w[:-1]]
+                at = np.flatnonzero(first)
+                out[begin[w] + np.arange(len(w)) - at[np.cumsum(first) - 1]] = i
+        return out, np.repeat(np.arange(len(size)), size)
 
     def encode_many(self, words: list[bytes]) -> list[np.ndarray]:
         sizes = np.array([len(w) for w in words], dtype=np.int64)

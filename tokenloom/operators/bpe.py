@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,13 +68,11 @@ def _count_pairs(merger: PieceEncoder):
             same = np.flatnonzero(word[:-1] == word[1:])
             if not len(same):
                 continue
-            pair = (ids[same] << 20) | ids[same + 1]
-            place = np.argsort(pair, kind="stable")
-            pair = pair[place]
-            starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-            total = np.add.reduceat(n[word[same]][place], starts)
+            group, pair = pd.factorize((ids[same] << 20) | ids[same + 1])
+            total = np.zeros(len(pair), dtype=np.int64)
+            np.add.at(total, group, n[word[same]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pair[starts] >> 20, pa.int32()), pa.array(pair[starts] & 0xFFFFF, pa.int32()),
+                [pa.array(pair >> 20, pa.int32()), pa.array(pair & 0xFFFFF, pa.int32()),
                  pa.array(total, pa.int64())], ["left", "right", "n"])
     return run
 
