@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tokenloom.functions import models
@@ -124,7 +123,7 @@ def test_scores_and_leaderboard(spark, tmp_path):
         assert {r["label"] for r in scorefiles.scored_labels(spark, target).collect()} == {"m1", "m2", "m3"}
     scorefiles.write_markdown(chosen, tasks, str(tmp_path / "md"))
     lines = [line for f in sorted((tmp_path / "md").glob("part-*")) for line in f.read_text().splitlines()]
-    assert lines[:3] == ["| Model | piqa | winogrande | Mean |", "|---|---|---|---|", "| m1 | 51.2 | 60.0 | **55.6** |"] and len(lines) == 5
+    assert lines[:3] == ["| Modèle | piqa | winogrande | Moyenne |", "|---|---|---|---|", "| m1 | 51.2 | 60.0 | **55.6** |"] and len(lines) == 5
 
 
 def test_one_decimal_equals_exact_formatting(spark):

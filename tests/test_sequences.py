@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.functions import schedule
-from tokenloom.operators import sequences, stepplan
+from tokenloom.operators import carving, sequences, stepplan
 from tokenloom.sources import shardfiles
 
 
@@ -103,6 +103,25 @@ def test_shard_files(spark, tmp_path):
         shardfiles.read_shards(spark, path, "nothing_*.bin").collect()
 
 
+def test_interrupted_write_continues(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    chunks = _shards(spark, 4, 300)
+    shardfiles.write_shards(chunks.where("shard_idx in (0, 2)"), path)
+    done = shardfiles.read_shards(spark, path)
+    shardfiles.write_shards(carving.unwritten(chunks, done), path)
+    back = shardfiles.read_shards(spark, path).select("shard_idx", F.posexplode("ids").alias("i", "id"), "shard_pos")
+    assert back.count() == 1200
+    assert back.where(F.col("id") != F.col("shard_idx") * 300 + F.col("shard_pos") + F.col("i")).count() == 0
+
+
+def test_state_after_a_step_points_at_the_next(spark):
+    batches = sequences.shard_batches(sequences.shard_lengths(_shards(spark, 3, 1000)), 2, 16)
+    plan = stepplan.step_plan(spark, 200, sequences.stream_batches(batches), anneal=False)
+    for r in stepplan.locate(plan, batches, 2, 16).where("step in (0, 30, 31, 92, 93, 150)").collect():
+        state = {"shard_idx": r["shard_idx"], "pos": r["pos"], "epoch": r["epoch"]}
+        assert sequences.cursor_of(batches, state, 2, 16) == r["step"] + 1
+
+
 def test_shard_writer_refuses_gaps_and_wide_ids(spark, tmp_path):
     rows = "split string, shard_idx int, shard_pos long, n_tok int, ids array<int>"
     gap = spark.createDataFrame([("train", 0, 0, 1, [1]), ("train", 0, 5, 1, [2])], rows)

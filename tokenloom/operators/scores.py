@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Benchmark tasks with the metric each is judged by, in table
@@ -99,7 +99,11 @@ def leaderboard(matrix: DataFrame, tasks: Sequence[str] | None = None) -> DataFr
     return matrix.withColumn("line", line).orderBy(F.desc("mean_score"), "label")
 
 
-def table_head(spark: SparkSession, tasks: Sequence[str] | None = None, label: str = "Model",
-               mean: str = "Mean") -> list[str]:
+# First and last heading of the table.
+LABEL_HEAD, MEAN_HEAD = "Modèle", "Moyenne"
+
+
+def table_head(tasks: Sequence[str] | None = None) -> list[str]:
+    """Heading and rule of the Markdown table."""
     names = list(TASKS if tasks is None else tasks)
-    return [f"| {label} | " + " | ".join(names) + f" | {mean} |", "|---|" + "---|" * (len(names) + 1)]
+    return ["| " + " | ".join([LABEL_HEAD, *names, MEAN_HEAD]) + " |", "|---|" + "---|" * (len(names) + 1)]

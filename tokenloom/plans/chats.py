@@ -25,7 +25,8 @@ def sampled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of the sampled conversations."""
     convs = turns(spark, sf_dir).select("conv_id").distinct()
     taken = ordering.seeded_sample(convs, 0, ["conv_id"], MAX_CHATS).select("conv_id")
-    return spread(turns(spark, sf_dir)).join(taken, "conv_id", "left_semi")
+    # At most MAX_CHATS ids, some 3 MB: no shuffle, so a long conversation stays spread out.
+    return spread(turns(spark, sf_dir)).join(F.broadcast(taken), "conv_id", "left_semi")
 
 
 @artifact

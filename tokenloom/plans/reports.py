@@ -241,7 +241,7 @@ def leaderboard(spark, sf_dir):
 
 
 @query("leaderboard_markdown", sql(
-    f"select line as value from board union all select '| Model | {' | '.join(TASKS)} | Mean |' union all "
+    f"select line as value from board union all select '| {scores.LABEL_HEAD} | {' | '.join(TASKS)} | {scores.MEAN_HEAD} |' union all "
     f"select '|---|{'---|' * (len(TASKS) + 1)}'", "board"))
 def leaderboard_markdown(spark, sf_dir):
     """The Markdown file of the leaderboard, read back as lines."""

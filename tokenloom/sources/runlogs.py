@@ -20,8 +20,12 @@ def append_log(lines: DataFrame, path: str, order: str = "line") -> None:
     long run may fill several files.
     """
     keys = ["session", "run", order]
+    fields = [
+        "step", "split", F.round("loss", 5).alias("loss"), "lr", F.round("gnorm", 4).alias("gnorm"),
+        F.col("tok_s").cast("long").alias("tok_s"),
+    ]
     (
-        lines.select(*keys, *_FIELDS).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(order)
+        lines.select(*keys, *fields).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(order)
         .write.mode("append").partitionBy("session", "run").csv(path, emptyValue="", nullValue="")
     )
 

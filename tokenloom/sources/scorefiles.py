@@ -43,7 +43,7 @@ def scored_labels(spark: SparkSession, path: str) -> DataFrame:
 def markdown(scores: DataFrame, tasks: Sequence[str]) -> DataFrame:
     """The leaderboard as text lines in order, head first."""
     spark = scores.sparkSession
-    head = spark.createDataFrame(list(enumerate(table_head(spark, tasks))), "ord int, value string")
+    head = spark.createDataFrame(list(enumerate(table_head(tasks))), "ord int, value string")
     body = leaderboard(score_matrix(scores, tasks), tasks)
     lines = head.select(F.lit(0).alias("part"), "ord", F.lit(0.0).alias("down"), F.lit("").alias("label"), "value")
     rows = body.select(
