@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.encode import PieceEncoder
 from tokenloom.functions.text import BYTE_BASE, IM_END, IM_START, PAD
-from tokenloom.operators import chat, packing
+from tokenloom.operators import chat, packing, prefs
 
 MERGES = [(101, 102), (260, 103)]
 
@@ -102,3 +102,19 @@ def test_pack_golden(spark):
     assert got[1]["ids"] == [200, 201, 202, 203] + [PAD] * 4 and got[1]["mask"] == [0, 1, 0, 1, 0, 0, 0, 0]
     report = chat.packing_report(packing.pack(df, 7)).first()
     assert report["rows"] == 5 and report["filled"] == 29 / 40 and report["supervised"] == 2 + 1 + 2 + 4 + 4 + 0
+
+
+def test_message_pairs(spark):
+    def rows(messages):
+        return [{"role": r, "content": t} for r, t in messages]
+
+    sides = {5: (CHATS[1], CHATS[2]), 6: (CHATS[3], CHATS[1]), 7: (CHATS[2], CHATS[3])}
+    schema = "pair_id long, chosen array<struct<role:string,content:string>>, rejected array<struct<role:string,content:string>>"
+    df = spark.createDataFrame([(p, rows(c), rows(r)) for p, (c, r) in sides.items()], schema)
+    limit = max(len(_encode(CHATS[c])[0]) for c in (1, 2))
+    assert limit < len(_encode(CHATS[3])[0])
+    kept, tokens = prefs.encode_message_pairs(df, MERGES, max_len=limit)
+    assert [(r["conv_id"], r["chosen_len"], r["rejected_len"]) for r in kept.collect()] == [
+        (5, len(_encode(CHATS[1])[0]), len(_encode(CHATS[2])[0]))]
+    got = {(r["conv_id"], r["side"]): (r["ids"], r["mask"]) for r in tokens.collect()}
+    assert got == {(5, 0): _encode(CHATS[1]), (5, 1): _encode(CHATS[2])}

@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import PAD
-from tokenloom.operators.chat import ASSISTANT
+from tokenloom.operators.chat import (
+    ASSISTANT, assemble, conversation_sizes, encode_turns, turn_offsets, turns_of,
+)
+from tokenloom.operators.filters import short_pairs
 from tokenloom.operators.ordering import running_totals
+from tokenloom.session import stage
 
 
 def reply_pairs(turns: DataFrame) -> DataFrame:
@@ -65,6 +69,34 @@ def pair_tokens(pairs: DataFrame, offsets: DataFrame, max_len: int = 1024) -> Da
     )
 
 
+def encode_message_pairs(rows: DataFrame, merges: list[tuple[int, int]], pair_id: str = "pair_id",
+                         max_len: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """Pairs given as message lists ``chosen`` and ``rejected``, encoded and filtered.
+
+    Returns the kept pairs ``conv_id, chosen_len, rejected_len`` and their
+    token rows ``conv_id, side, ids, mask``, ready for a plan and :func:`collate`.
+    """
+    sides = rows.select(
+        F.col(pair_id).cast("long").alias("_pair"),
+        F.explode(F.array(
+            F.struct(F.lit(0).alias("side"), F.col("chosen").alias("said")),
+            F.struct(F.lit(1).alias("side"), F.col("rejected").alias("said")))).alias("_s"),
+    ).select((F.col("_pair") * 2 + F.col("_s.side")).alias("_row"), F.col("_s.said").alias("said"))
+    coded = stage(encode_turns(turns_of(sides, "_row", "said"), merges), "pair-turns")
+    offsets = turn_offsets(coded)
+    pair, side = F.floor(F.col("conv_id") / 2).cast("long"), (F.col("conv_id") % 2).cast("int")
+
+    def length(of: int) -> Column:
+        return F.coalesce(F.max(F.when(F.col("side") == of, F.col("n_tok"))), F.lit(0))
+
+    sizes = conversation_sizes(offsets).select(pair.alias("conv_id"), side.alias("side"), "n_tok")
+    kept = short_pairs(
+        sizes.groupBy("conv_id").agg(length(0).alias("chosen_len"), length(1).alias("rejected_len")),
+        "chosen_len", "rejected_len", max_len)
+    tokens = assemble(offsets, max_len).select(pair.alias("conv_id"), side.alias("side"), "ids", "mask")
+    return kept, tokens.join(kept.select("conv_id"), "conv_id", "left_semi")
+
+
 def collate(planned: DataFrame, tokens: DataFrame, pad: int = PAD) -> DataFrame:
     """Pad the rows of each micro-batch to its longest: chosen rows first, then rejected.
 

@@ -65,7 +65,7 @@ def sequence_logprobs(spark, sf_dir):
 # -- run logs: one line per event, twenty runs -------------------------------
 # Steps come again in later sessions, as when a resumed run repeats them.
 
-cte("run_log", "select 'run-' || (user_id % 20) as run, (day(ts) // 10)::INT as session, event_id as line, "
+cte("run_log", "select 'run-' || (user_id % 20) as run, ((event_id // 97) % 4)::INT as session, event_id as line, "
     "(event_id % 997)::INT as step, case when event_type in ('signup', 'purchase') then 'val' else 'train' end as split, "
     "value as loss, value / 1000.0::DOUBLE as lr, case when event_type in ('signup', 'purchase') then null else value / 2.0::DOUBLE "
     "end as gnorm, case when event_type in ('signup', 'purchase') then null else event_id % 5000 end as tok_s from events")
@@ -77,7 +77,7 @@ def run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     val = F.col("event_type").isin("signup", "purchase")
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit("run-"), F.col("user_id") % 20).alias("run"),
-        F.floor(F.dayofmonth("ts") / 10).cast("int").alias("session"),
+        (F.floor(F.col("event_id") / 97) % 4).cast("int").alias("session"),
         F.col("event_id").alias("line"), (F.col("event_id") % 997).cast("int").alias("step"),
         F.when(val, "val").otherwise("train").alias("split"), F.col("value").alias("loss"),
         (F.col("value") / 1000.0).alias("lr"),
