@@ -44,23 +44,32 @@ def _write_all(out, ids: np.ndarray) -> None:
     out.write(ids.astype("<u2").tobytes())
 
 
-class _Done(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]]):
-        self.files = files
+def _finish(system: fs.FileSystem, temp: str, final: str) -> None:
+    """Give a whole shard its name. A repeated task replaces it by the same bytes."""
+    try:
+        system.move(temp, final)
+    except OSError:
+        if system.get_file_info(final).type != fs.FileType.File:
+            raise
+        system.delete_file(final)
+        system.move(temp, final)
 
 
 class ShardWriter(DataSourceArrowWriter):
-    """Streams sorted chunks to files; names become final only when the job commits."""
+    """Streams sorted chunks to files, one shard after the other.
+
+    A task names each shard as soon as it is whole, so the driver has nothing
+    to do per file, and what an interrupted job has written can be kept.
+    """
 
     def __init__(self, path: str):
         self.path = path
 
-    def write(self, batches: Iterator[pa.RecordBatch]) -> _Done:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, base = _filesystem(self.path)
         pending = posixpath.join(base, "_pending")
         system.create_dir(pending, recursive=True)
-        files: list[tuple[str, str]] = []
-        out, current, expected = None, None, 0
+        out, current, temp, expected = None, None, "", 0
         try:
             for batch in batches:
                 split, shard, pos, lists = (
@@ -70,30 +79,23 @@ class ShardWriter(DataSourceArrowWriter):
                     if key != current:
                         if out is not None:
                             out.close()
+                            _finish(system, temp, posixpath.join(base, "%s_%05d.bin" % current))
                         temp = posixpath.join(pending, uuid.uuid4().hex)
                         out, current, expected = system.open_output_stream(temp), key, 0
-                        files.append((temp, posixpath.join(base, "%s_%05d.bin" % key)))
                     if pos[i].as_py() != expected:
                         raise ValueError(f"shard {key} is not whole at position {expected}")
                     ids = lists[i].values.to_numpy()
                     _write_all(out, ids)
                     expected += len(ids)
-        finally:
+        except BaseException:
             if out is not None:
                 out.close()
-        return _Done(files)
-
-    def commit(self, messages) -> None:
-        system, _ = _filesystem(self.path)
-        for message in messages:
-            for temp, final in message.files:
-                system.move(temp, final)
-
-    def abort(self, messages) -> None:
-        system, _ = _filesystem(self.path)
-        for message in messages:
-            for temp, _final in (message.files if message else []):
                 system.delete_file(temp)
+            raise
+        if out is not None:
+            out.close()
+            _finish(system, temp, posixpath.join(base, "%s_%05d.bin" % current))
+        return WriterCommitMessage()
 
 
 @dataclass(frozen=True)
