@@ -14,6 +14,7 @@ from tokenloom.llm.chat_render import format_chats, read_turns, unescape
 from tokenloom.llm.quality import quality_rules
 from tokenloom.llm.secret_scan import scan_secrets
 from tokenloom.llm.sharding import shard_records
+from tokenloom.llm.warc_zip import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +87,9 @@ def op6_chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(turns.unionByName(check)).mapInArrow(
         _read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
                     "formatted_chars long, rewrites_history boolean")
+
+
+@query("op9_zip_warc")
+def op9_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archive_round_trip(spark, table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
