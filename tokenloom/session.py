@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from urllib.parse import unquote, urlsplit
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
@@ -54,6 +56,24 @@ def staging_path(spark: SparkSession, label: str) -> str:
     return f"{staging_root(spark)}/tokenloom/{app}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark itself gives it, so that tasks open the same place."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a qualified path, for reading and writing inside tasks."""
+    if uri.startswith(("s3a://", "s3n://")):
+        uri = "s3://" + uri.split("://", 1)[1]
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), unquote(urlsplit(uri).path)
+    if "://" in uri:
+        return fs.FileSystem.from_uri(uri)
+    raise ValueError(f"{uri} has no scheme; qualify it on the driver first")
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage and fixes row values.
 
