@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm.best_fit import pack_best_fit
+from tokenloom.llm.bloom_lm import score_documents
 from tokenloom.llm.chat_render import format_chats, read_turns, unescape
 from tokenloom.llm.quality import quality_rules
 from tokenloom.llm.secret_scan import scan_secrets
@@ -93,3 +94,8 @@ def op6_chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = archive_round_trip(spark, table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_bloom_lm")
+def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
