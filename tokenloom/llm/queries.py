@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenloom.llm.best_fit import pack_best_fit
 from tokenloom.llm.bloom_lm import score_documents
 from tokenloom.llm.chat_render import format_chats, read_turns, unescape
+from tokenloom.llm.positional_index import contamination
 from tokenloom.llm.quality import quality_rules
 from tokenloom.llm.secret_scan import scan_secrets
 from tokenloom.llm.sharding import shard_records
@@ -99,3 +100,40 @@ def op9_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_bloom_lm")
 def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + 9], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM iw),
+hit AS (
+  SELECT r, s, n, win
+  FROM (SELECT r, n, s, array_to_string(w[s:s + n - 1], ' ') AS win
+        FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n))
+  WHERE win IN (SELECT win FROM iw)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hit) GROUP BY r),
+found AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items
+          FROM (SELECT DISTINCT r, win FROM hit) JOIN iw USING (win) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+"""
+
+
+@query("op4_positional_index", OP4_SQL)
+def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
