@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenloom.llm.best_fit import pack_best_fit
 from tokenloom.llm.bloom_lm import score_documents
 from tokenloom.llm.chat_render import format_chats, read_turns, unescape
+from tokenloom.llm.ngram_join import jaccard_join
 from tokenloom.llm.positional_index import contamination
 from tokenloom.llm.quality import quality_rules
 from tokenloom.llm.secret_scan import scan_secrets
@@ -137,3 +138,8 @@ def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op2_ngram_jaccard")
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
