@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenloom.llm.best_fit import pack_best_fit
 from tokenloom.llm.bloom_lm import score_documents
 from tokenloom.llm.chat_render import format_chats, read_turns, unescape
+from tokenloom.llm.line_dedup import dedup_lines
 from tokenloom.llm.ngram_join import jaccard_join
 from tokenloom.llm.positional_index import contamination
 from tokenloom.llm.quality import quality_rules
@@ -143,3 +144,37 @@ def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_ngram_jaccard")
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH l AS (
+  SELECT doc_id, s AS line, ls[s] AS content, len(regexp_extract_all(ls[s], '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS s
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+sums AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY line) AS upto FROM l),
+-- Runs with 10 words that lose one line's words too many without their first or last line.
+runs AS (
+  SELECT a.doc_id, a.line, b.line - a.line + 1 AS size,
+    (SELECT string_agg(c.content, chr(10) ORDER BY c.line) FROM l c
+     WHERE c.doc_id = a.doc_id AND c.line BETWEEN a.line AND b.line) AS body
+  FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.line >= a.line
+   AND b.upto - a.upto + a.words >= 10
+   AND (b.upto - b.words - a.upto + a.words < 10 OR b.upto - a.upto < 10)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY size, body ORDER BY doc_id, line) AS n FROM runs),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(line, line + size)) AS line FROM ranked WHERE n > 1)
+SELECT d.doc_id, CAST(coalesce(t.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(t.g, 0) AS BIGINT) AS n_deleted,
+  CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.body, '') END AS text
+FROM documents d LEFT JOIN (
+  SELECT l.doc_id, count(*) AS n, count(gone.line) AS g,
+    string_agg(l.content, chr(10) ORDER BY l.line) FILTER (WHERE gone.line IS NULL) AS body
+  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.line = gone.line GROUP BY l.doc_id) t ON d.doc_id = t.doc_id
+"""
+
+
+@query("op5_line_dedup", OP5_SQL)
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_deleted").alias("n_deleted"), "text")
