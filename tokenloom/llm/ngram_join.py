@@ -43,6 +43,8 @@ RECALL = 0.9995
 #: A tile's members and shingles, on average.
 TILE_ROWS, TILE_SHINGLES = 1024, 1 << 20
 _COLUMNS = 8192
+#: A plan of at most so many narrow rows (some 100 MB) is broadcast.
+BROADCAST_ROWS = 500_000
 _FACTORS = mix(np.arange(1, TREES * DEPTH + 1, dtype=U64)) | U64(1)
 _SHIFTS = mix(np.arange(1001, TREES * DEPTH + 1001, dtype=U64))
 
@@ -120,17 +122,20 @@ def signatures(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame) -> DataFrame:
-    """(member, shingles) of (member, text) rows."""
+    """The rows with their shingles for text; a task sends each member once, however often it holds its row."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
+            members = batch.column(0).to_pylist()
+            fresh = [i for i, m in enumerate(members) if m not in sent and not sent.add(m)]
+            batch = batch.take(pa.array(fresh, pa.int64()))
             for group in hashed_groups(byte_texts(batch), lower=True):
                 shingles, cuts = shingle_sets(group)
                 count = len(cuts) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(group.first, count),
-                     pa.array([shingles[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())],
-                    names=["member", "shingles"])
-    return docs.select("member", "text").mapInArrow(read, "member long, shingles binary")
+                rest = [c.slice(group.first, count) for c in batch.columns[:-1]]
+                sets = pa.array([shingles[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*rest, sets], names=[*batch.schema.names[:-1], "shingles"])
+    return docs.mapInArrow(read, "member long, root long, copies long, parts long, tile long, shingles binary")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -197,7 +202,7 @@ def _verify(units: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for _, own in groupby(rows(batches), key=lambda r: r[:3]):
-            own = list(own)
+            own = list({r[4]: r for r in own}.values())  # a repeated row comes from several tasks
             members = np.array([r[4] for r in own], dtype=np.int64)
             copies = np.array([r[5] for r in own], dtype=np.int64)
             sets = [np.frombuffer(r[6], dtype="<u8") for r in own]
@@ -239,10 +244,11 @@ def _join_rows(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFr
     plan = stage(plan.join(sizes, "root").select(
         "member", "root", "copies", "parts", F.col("first.doc").alias("m_doc"), F.col("first.key").alias("m_key"),
         F.pmod(F.xxhash64("member"), F.col("parts")).alias("tile")), "tiles")
-    # The texts of members alone; a repeated row is read once.
-    texts = docs.join(plan, docs["doc"].eqNullSafe(plan["m_doc"]) & (docs["key"] == plan["m_key"])).select("member", "text")
-    sets = _sets_of(texts).dropDuplicates(["member"])
-    units = sets.join(plan.drop("m_doc", "m_key"), "member").withColumn(
+    # The texts of members alone. A plan of bounded size goes to the texts; a larger one meets them in a shuffle.
+    wanted = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
+    texts = docs.join(wanted, docs["doc"].eqNullSafe(wanted["m_doc"]) & (docs["key"] == wanted["m_key"])).select(
+        "member", "root", "copies", "parts", "tile", "text")
+    units = _sets_of(texts).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     ).select("*", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
     linked = stage(_verify(units, threshold), "links")
