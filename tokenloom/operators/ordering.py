@@ -1,24 +1,64 @@
 """Global order at scale: running totals, ranks and seeded shuffles.
 
 An unpartitioned (or hot-key) window sorts everything in one task. Here rows
-are cut into ranges of the order key, totalled inside each range in parallel,
-and lifted by the totals of the earlier ranges. Only groups that cross a range
-border need lifting, so the joined-back table has at most one row per range.
+are cut into ranges of the order key, sorted and totalled in place inside each
+range, and lifted by the totals of the earlier ranges. Only groups that cross a
+range border need lifting, so the joined-back table has at most one row per range.
+The rows are shuffled once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from tokenloom.session import stage
+from tokenloom.session import ship_package, stage
 
 _SLICE = "_slice"
 _COUNT = "_rows"
 
 
+def _in_place(group: list[str], sums: list[str], rank: bool) -> Callable:
+    """Exclusive running totals per group over the sorted rows of one range.
+
+    Totals of the open group are carried from batch to batch.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = TaskContext.get().partitionId()
+        key, carried = None, np.zeros(len(sums) + rank, dtype=np.int64)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(g)) for g in group]
+            fresh = np.zeros(n, dtype=bool)
+            for c in columns:
+                codes = c.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                fresh[1:] |= codes[1:] != codes[:-1]
+            fresh[0] = key is None or [c[0].as_py() for c in columns] != key
+            begins = np.flatnonzero(fresh)
+            turn = np.cumsum(fresh) - 1  # -1: the group that the batch before left open
+            out = []
+            amounts = [batch.column(batch.schema.get_field_index(s)).cast(pa.int64()).fill_null(0).to_numpy() for s in sums]
+            for i, amount in enumerate([*amounts, *([np.ones(n, dtype=np.int64)] * rank)]):
+                upto = np.cumsum(amount)
+                before = upto - amount
+                start = np.r_[before[begins], -carried[i]]  # the last entry serves turn -1
+                out.append(pa.array(before - start[turn]))
+                carried[i] = upto[-1] - start[turn[-1]]
+            key = [c[-1].as_py() for c in columns]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(n, piece, dtype=np.int32)), *out],
+                names=[*batch.schema.names, _SLICE, *(f"out{i}" for i in range(len(out)))])
+    return run
+
+
 def running_totals(
     df: DataFrame,
     order_by: Sequence[str],
@@ -38,17 +78,13 @@ def running_totals(
     if not sums and rank is None:
         raise ValueError("nothing to total")
     group, order = list(group_by), list(order_by)
-    before = (
-        Window.partitionBy(_SLICE, *group).orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    outs = {out: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long") for c, out in sums.items()}
-    if rank is not None:
-        outs[rank] = F.count(F.lit(1)).over(before)
-    sliced = df.repartitionByRange(*group, *order).withColumn(_SLICE, F.spark_partition_id())
+    outs = [*sums.values(), *([rank] if rank is not None else [])]
+    ship_package(df.sparkSession)
+    ranges = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    schema = StructType([*df.schema.fields, StructField(_SLICE, IntegerType()), *(StructField(o, LongType()) for o in outs)])
     # Written before use: the range of a row is then a stored value, so both
     # readers below agree on it even after lost executors.
-    staged = stage(sliced.select("*", *[c.alias(n) for n, c in outs.items()]), label)
+    staged = stage(ranges.mapInArrow(_in_place(group, list(sums), rank is not None), schema), label)
 
     totals = staged.groupBy(_SLICE, *group).agg(
         *[F.sum(c).cast("long").alias(f"_t_{out}") for c, out in sums.items()],
@@ -98,9 +134,19 @@ def seeded_order(df: DataFrame, seed: int, ids: Sequence[str], out: str = "place
 
 
 def seeded_sample(df: DataFrame, seed: int, ids: Sequence[str], n: int, out: str = "place") -> DataFrame:
-    """The first ``n`` rows of the seeded shuffle, with their positions."""
-    keyed = df.select(*ids).withColumn("_key", seeded_key(seed, *ids))
-    placed = running_totals(keyed, ["_key", *ids], rank=out, label="sample")
+    """The first ``n`` rows of the seeded shuffle, with their positions.
+
+    Keys are uniform, so the n smallest lie below a bound that follows from the
+    row count; only rows below it are put in order. Should too few lie there,
+    all rows are ordered instead.
+    """
+    keyed = stage(df.select(*ids).withColumn("_key", seeded_key(seed, *ids)), "keys")
+    total = keyed.count()
+    share = (n + 8 * n ** 0.5 + 16) / max(total, 1)
+    near = keyed.where(F.col("_key") < f"{int(share * 16 ** 12):012x}") if share < 1 else keyed
+    if share < 1 and near.count() < n:
+        near = keyed
+    placed = running_totals(near, ["_key", *ids], rank=out, label="sample")
     return df.join(placed.where(F.col(out) < n).select(*ids, out), list(ids))
 
 

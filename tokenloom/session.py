@@ -11,6 +11,9 @@ from urllib.parse import unquote, urlsplit
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+#: Set by a user whose files have too few splits for the cores, as in a local session.
+SPREAD = "spark.tokenloom.spread"
+
 _local_roots: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -22,6 +25,7 @@ def local_session(cores: int | str = 8, app: str = "tokenloom") -> SparkSession:
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config(SPREAD, str(cores) if str(cores).isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
@@ -58,9 +62,32 @@ def staging_path(spark: SparkSession, label: str) -> str:
 
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with the scheme that Spark itself gives it, so that tasks open the same place."""
+    system, where = _hadoop(spark, path)
+    return system.makeQualified(where).toString()
+
+
+def _hadoop(spark: SparkSession, path: str):
     sc = spark.sparkContext
     where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()), where
+
+
+def folder_entries(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, bytes, time of change) of what a folder holds; empty if there is no such folder."""
+    system, where = _hadoop(spark, path)
+    if not system.exists(where):
+        return []
+    return sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in system.listStatus(where))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    system, where = _hadoop(spark, path)
+    system.delete(where, True)
+
+
+def clean_staging(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application, once its results are written."""
+    remove_folder(spark, f"{staging_root(spark)}/tokenloom/{spark.sparkContext.applicationId}")
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
@@ -87,13 +114,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work on a small table all cores.
-
-    For plain scans only, where counting the splits runs nothing. A large table
-    has more splits than cores and passes through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() > 2 * cores else df.repartition(cores)
+    """The rows over as many partitions as the setting ``SPREAD`` says; without it, as they were read."""
+    parts = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def wide_partitions(spark: SparkSession) -> int:
