@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom.operators.ordering import running_totals
 
 SHARD_KEY = ("split", "shard_idx")
-USES_PER_KEY = 64
+USES_PER_ROW = 64
 
 
 def stream_need(total_tokens: int, shard_tokens: int, val_tokens: int = 0) -> int:
@@ -69,20 +69,17 @@ def shard_chunks(tokens: DataFrame, carved: DataFrame, ids: Sequence[str] = ("do
     """Token ids of every piece: ``split, shard_idx, shard_pos, n_tok, ids``.
 
     ``tokens`` holds one ``ids`` array per document; arrays never grow beyond
-    a document, however large the shard.
+    a document, however large the shard. The uses of a document are gathered per
+    USES_PER_ROW epochs, so a small source that is read over and over joins
+    as rows of bounded size.
     """
     key = list(ids)
-    narrow = carved.select(*key, *SHARD_KEY, "shard_pos", "skip", F.col("n_tok").alias("_n"), "epoch")
-    texts = tokens.select(*key, "ids")
-    if (carved.agg(F.max("epoch")).first()[0] or 0) >= USES_PER_KEY:
-        # A small source read over and over: spread the uses of a document
-        # over several copies of it, one per USES_PER_KEY epochs.
-        narrow = narrow.withColumn("_salt", F.floor(F.col("epoch") / USES_PER_KEY))
-        texts = texts.join(narrow.select(*key, "_salt").distinct(), key)
-        key = [*key, "_salt"]
-    return texts.join(narrow, key).select(
-        *SHARD_KEY, "shard_pos", F.col("_n").alias("n_tok"),
-        F.slice("ids", F.col("skip") + 1, F.col("_n")).alias("ids"),
+    use = F.struct(*SHARD_KEY, "shard_pos", "skip", F.col("n_tok").alias("n"))
+    uses = carved.groupBy(*key, F.floor(F.col("epoch") / USES_PER_ROW).alias("_turn")).agg(F.collect_list(use).alias("_uses"))
+    joined = tokens.select(*key, "ids").join(uses, key).select("ids", F.explode("_uses").alias("_use"))
+    return joined.select(
+        *[F.col(f"_use.{c}") for c in SHARD_KEY], F.col("_use.shard_pos"), F.col("_use.n").alias("n_tok"),
+        F.slice("ids", F.col("_use.skip") + 1, F.col("_use.n")).alias("ids"),
     )
 
 

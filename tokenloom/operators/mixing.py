@@ -32,11 +32,11 @@ def _lookup(mix: Mix, values: dict, key: str = "source") -> Column:
     return out
 
 
-def source_totals(ranked: DataFrame, mix: Mix, amount: str) -> dict[str, tuple[int, int]]:
-    """(documents, amount) per source; one row per mix entry reaches the driver."""
+def source_totals(ranked: DataFrame, mix: Mix, amount: str) -> dict[str, tuple[int, int, int]]:
+    """(documents, amount, largest amount) per source; one row per mix entry reaches the driver."""
     rows = ranked.where(F.col("source").isin(*[s.name for s in mix.sources])).groupBy("source").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(amount).cast("long").alias("t")).collect()
-    found = {r["source"]: (r["n"], r["t"]) for r in rows}
+        F.count(F.lit(1)).alias("n"), F.sum(amount).cast("long").alias("t"), F.max(amount).alias("top")).collect()
+    found = {r["source"]: (r["n"], r["t"], r["top"]) for r in rows}
     missing = [s.name for s in mix.sources if not found.get(s.name, (0, 0))[1]]
     if missing:
         raise EmptySource(f"no passing documents in {missing}")
@@ -69,16 +69,19 @@ def token_deficit_mix(
     totals = source_totals(ranked, mix, "n_tok")
     share = mix.shares
     if need is None:
-        need = sum(t for _, t in totals.values())
-    # Nothing starting at or past need * share tokens of a source can be used;
-    # one batch more may run over the end of an epoch.
-    epochs = {
-        s: int(need * share[s] // t) + 1 + -(-per_batch // n) for s, (n, t) in totals.items()
-    }
-    place = F.col("epoch") * _lookup(mix, {s: n for s, (n, _) in totals.items()}) + F.col("place")
-    before = F.col("epoch") * _lookup(mix, {s: t for s, (_, t) in totals.items()}) + F.col("before")
+        need = sum(t for _, t, _ in totals.values())
+    # A batch that starts below need * share tokens of its source may be used, and
+    # its documents start at most a batch's largest size further on. A document
+    # is copied for the epochs in which it starts below that, and not at all
+    # if even its first use does not.
+    limit = {s: int(need * share[s]) + 1 + per_batch * top for s, (_, _, top) in totals.items()}
+    size = _lookup(mix, {s: t for s, (_, t, _) in totals.items()})
+    last = F.floor((_lookup(mix, limit) - 1 - F.col("before")) / size).cast("int")
+    place = F.col("epoch") * _lookup(mix, {s: n for s, (n, _, _) in totals.items()}) + F.col("place")
+    before = F.col("epoch") * size + F.col("before")
     uses = (
-        ranked.withColumn("epoch", F.explode(F.sequence(F.lit(0), _lookup(mix, epochs) - 1)))
+        ranked.where(F.col("before") < _lookup(mix, limit))
+        .withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
         .select(
             "source", "epoch", *ids, "n_tok",
             F.floor(place / per_batch).cast("long").alias("batch_no"),

@@ -25,6 +25,35 @@ _TABLE = "block long, after array<int>, closed array<long>"
 _ENTRY = "block long, fill int, base long"
 
 
+def _hops(step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where following ``step`` ends for each item, and in how many hops, by pointer doubling.
+
+    ``step[j]`` is larger than ``j``; ``len(step)`` or more means there is no next.
+    """
+    n = len(step)
+    to = np.where(step < n, step, np.arange(n))
+    hops = (step < n).astype(np.int64)
+    while True:
+        further = to[to]
+        if (further == to).all():
+            return to, hops
+        hops += hops[to]
+        to = further
+
+
+def _chain_from(step: np.ndarray, first: int) -> np.ndarray:
+    """All items on the way from ``first``: each round doubles how many are known."""
+    n = len(step)
+    if first >= n:
+        return np.zeros(0, dtype=np.int64)
+    jump = np.append(np.minimum(step, n), n)
+    seen = np.array([first])
+    while seen[-1] < n:
+        seen = np.append(seen, jump[seen])
+        jump = jump[jump]
+    return seen[seen < n]
+
+
 def _row_ends(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Cumulated sizes, and for a row opened by item ``j`` the item that opens the next."""
     cum = np.cumsum(sizes)
@@ -36,13 +65,8 @@ def _tabulate(width: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         sizes = pdf.sort_values("place")["size"].to_numpy(np.int64)
         cum, nxt = _row_ends(sizes, width)
         n = len(sizes)
-        closed, after = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-        for j in range(n - 1, -1, -1):
-            k = nxt[j]
-            if k == n:
-                after[j] = cum[-1] - cum[j] + sizes[j]
-            else:
-                closed[j], after[j] = closed[k] + 1, after[k]
+        last, hops = _hops(nxt)
+        closed, after = np.append(hops, 0), np.append(cum[-1] - cum[last] + sizes[last], 0)
         fill = np.arange(width + 1)
         first = np.searchsorted(cum, width - fill, side="right")
         stays = first == n
@@ -96,10 +120,7 @@ def _place(width: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         sizes = pdf["size"].to_numpy(np.int64)
         cum, nxt = _row_ends(sizes, width)
         fill, base, n = int(pdf["fill"].iloc[0]), int(pdf["base"].iloc[0]), len(sizes)
-        opens, j = [], int(np.searchsorted(cum, width - fill, side="right"))
-        while j < n:
-            opens.append(j)
-            j = int(nxt[j])
+        opens = _chain_from(nxt, int(np.searchsorted(cum, width - fill, side="right")))
         starts = np.zeros(n, np.int64)
         starts[opens] = 1
         row = np.cumsum(starts)
@@ -113,11 +134,12 @@ def next_fit(sizes: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
     """``place, row_id, at`` for items ``place, size`` with 0-based, gapless places.
 
     A new row starts when the next item does not fit; no size exceeds the width.
+    Places and sizes are stored once, as they are read three times.
     """
-    blocked = sizes.select(
+    blocked = stage(sizes.select(
         F.col("place").cast("long").alias("place"), F.col("size").cast("int").alias("size"),
         F.floor(F.col("place") / block).cast("long").alias("block"),
-    )
+    ), "pack-sizes")
     top = blocked.agg(F.max("block")).first()[0]
     tables = blocked.groupBy("block").applyInPandas(_tabulate(width), _TABLE)
     entries = _entries(tables, (top or 0) + 1)
@@ -127,16 +149,24 @@ def next_fit(sizes: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
     )
 
 
-def pack(conversations: DataFrame, seq_len: int, pad: int = PAD, block: int = BLOCK) -> DataFrame:
+def pack(conversations: DataFrame, seq_len: int, pad: int = PAD, block: int = BLOCK,
+         places: DataFrame | None = None, key: str = "conv_id") -> DataFrame:
     """Packed rows ``row_id, items, used, ids, mask`` of ``seq_len + 1`` tokens.
 
-    ``conversations`` has ``place`` (the shuffled order), ``ids`` and ``mask``,
-    already truncated to the width.
+    ``conversations`` has ``ids`` and ``mask``, already truncated to the width,
+    and ``place`` (the shuffled order). The order may instead come as a narrow
+    table ``places`` (``key, place, size``); then the wide rows are read only once.
     """
     width = seq_len + 1
-    held = conversations.select("place", F.slice("ids", 1, width).alias("ids"), F.slice("mask", 1, width).alias("mask"))
-    spots = next_fit(held.select("place", F.size("ids").alias("size")), width, block)
-    parts = held.join(spots, "place").select("row_id", F.struct("at", "place", "ids", "mask").alias("part"))
+    cut = [F.slice("ids", 1, width).alias("ids"), F.slice("mask", 1, width).alias("mask")]
+    if places is None:
+        held = conversations.select("place", *cut)
+        spots = next_fit(held.select("place", F.size("ids").alias("size")), width, block)
+        placed = held.join(spots, "place")
+    else:
+        spots = next_fit(places.select("place", F.least("size", F.lit(width)).alias("size")), width, block)
+        placed = conversations.select(key, *cut).join(places.select(key, "place").join(spots, "place"), key)
+    parts = placed.select("row_id", F.struct("at", "place", "ids", "mask").alias("part"))
     rows = parts.groupBy("row_id").agg(F.array_sort(F.collect_list("part")).alias("parts")).select(
         "row_id",
         F.size("parts").alias("items"),
