@@ -47,8 +47,12 @@ def test_shift_and_resume(spark):
     # After 41 batches the loader stands in shard 1 after ten of its batches.
     at = sequences.cursor_of(batches, {"shard_idx": 1, "pos": 10 * 32, "epoch": 0}, 2, 16)
     assert at == 41
-    rest = {(r["batch_id"], r["row"]): r["x"] for r in sequences.resume_from(rows, at).collect()}
+    rest = {(r["read"], r["row"]): r["x"] for r in sequences.resume_from(rows, 93, at).collect()}
     assert rest == {k: r["x"] for k, r in by.items() if k[0] >= 41}
+    # In a later epoch the same batches come again, and reads go past its end.
+    later = {(r["read"], r["epoch"], r["batch_id"], r["row"]): r["x"]
+             for r in sequences.resume_from(rows, 93, 93 + 90, 6).collect()}
+    assert later == {(n, n // 93, n % 93, r): by[n % 93, r]["x"] for n in range(183, 189) for r in (0, 1)}
     assert sequences.cursor_of(batches, {"shard_idx": 4, "pos": 0, "epoch": 2}, 2, 16) == 2 * 93 + 31
 
 
@@ -107,7 +111,8 @@ def test_interrupted_write_continues(spark, tmp_path):
     path = str(tmp_path / "shards")
     chunks = _shards(spark, 4, 300)
     shardfiles.write_shards(chunks.where("shard_idx in (0, 2)"), path)
-    done = shardfiles.read_shards(spark, path)
+    done = shardfiles.written_shards(spark, path)
+    assert sorted(done.collect()) == [("train", 0), ("train", 2)]
     shardfiles.write_shards(carving.unwritten(chunks, done), path)
     back = shardfiles.read_shards(spark, path).select("shard_idx", F.posexplode("ids").alias("i", "id"), "shard_pos")
     assert back.count() == 1200

@@ -44,7 +44,3 @@ def gpu_peak(device: Column) -> Column:
 def tpu_peak(kind: Column) -> Column:
     """Peak by prefix of the device kind, null if unknown."""
     return _first_match(TPU_PEAKS, lambda key: kind.startswith(key))
-
-
-def utilisation(flops_per_step: Column, seconds: Column, peak: Column, devices: Column | int) -> Column:
-    return flops_per_step / seconds / (peak * F.lit(1e12) * devices)

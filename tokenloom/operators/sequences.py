@@ -73,9 +73,15 @@ def targets(ids: Column, seq_len: int) -> Column:
     return F.slice(ids, 2, seq_len)
 
 
-def resume_from(windows: DataFrame, batch_id: int) -> DataFrame:
-    """Everything from the given batch on: the stream after a restart."""
-    return windows.where(F.col("batch_id") >= batch_id)
+def resume_from(windows: DataFrame, batches_per_epoch: int, cursor: int, reads: int | None = None) -> DataFrame:
+    """What an endless stream reads after a restart: ``read, epoch`` and the rows of the batch.
+
+    ``cursor`` may lie in any epoch; by default the reads go on to the end of that epoch.
+    """
+    if reads is None:
+        reads = batches_per_epoch - cursor % batches_per_epoch
+    at = cursor_batches(windows.sparkSession, reads, batches_per_epoch, cursor)
+    return at.join(windows, "batch_id")
 
 
 def cursor_of(batches: DataFrame, state: dict, batch_seqs: int, seq_len: int, split: str = "train") -> int:

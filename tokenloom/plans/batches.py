@@ -34,9 +34,16 @@ def anneal_carved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return _carved(spark, sf_dir, "anneal")
 
 
-@artifact
 def train_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(carving.shard_chunks(token_table(spark, sf_dir), train_carved(spark, sf_dir)[1]), "chunks")
+    return carving.shard_chunks(token_table(spark, sf_dir), train_carved(spark, sf_dir)[1])
+
+
+@artifact
+def train_shards(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the binary shards: what training reads."""
+    path = staging_path(spark, "shards")
+    shardfiles.write_shards(train_chunks(spark, sf_dir), path)
+    return path
 
 
 @artifact
@@ -45,18 +52,15 @@ def train_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(sequences.shard_batches(lengths, BATCH_SEQS, SEQ_LEN), "batches")
 
 
-@artifact
-def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(
-        sequences.shift_windows(train_chunks(spark, sf_dir), train_batches(spark, sf_dir), BATCH_SEQS, SEQ_LEN),
-        "windows")
+def windows(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
+    """The sequences of a split, cut out of its shard files without a shuffle."""
+    return shardfiles.read_sequences(spark, train_shards(spark, sf_dir), BATCH_SEQS, SEQ_LEN, f"{split}_*.bin")
 
 
 @query("shard_carve", sql(
     f"select split, shard_idx, shard_pos, n_tok, md5({ids_text('syms')}) as ids_md5 from chunks_train", "chunks_train"))
 def shard_carve(spark, sf_dir):
-    chunks = carving.shard_chunks(token_table(spark, sf_dir), train_carved(spark, sf_dir)[1])
-    return chunks.select("split", "shard_idx", "shard_pos", "n_tok", digest(F.col("ids")).alias("ids_md5"))
+    return train_chunks(spark, sf_dir).select("split", "shard_idx", "shard_pos", "n_tok", digest(F.col("ids")).alias("ids_md5"))
 
 
 @query("shard_stats", sql(
@@ -82,8 +86,8 @@ def shard_stats_anneal(spark, sf_dir):
     "chunks_train"))
 def shard_scan(spark, sf_dir):
     """Write the binary shards, then read them back in byte ranges."""
-    path = staging_path(spark, "shards")
-    shardfiles.write_shards(train_chunks(spark, sf_dir), path)
+    path = train_shards.fresh(spark, sf_dir)
+    train_shards.keep(spark, sf_dir, path)
     back = shardfiles.read_shards(spark, path)
     return back.groupBy("split", "shard_idx").agg(
         F.sum("n_tok").cast("long").alias("tokens"),
@@ -95,9 +99,8 @@ def shard_scan(spark, sf_dir):
     "group by split, shard_idx", "carved_train"))
 def shard_listing(spark, sf_dir):
     """Write the binary shards, publish them to a second folder and list that."""
-    path, public = staging_path(spark, "shards"), staging_path(spark, "public")
-    shardfiles.write_shards(train_chunks(spark, sf_dir), path)
-    shardfiles.publish(spark, path, public).count()
+    public = staging_path(spark, "public")
+    shardfiles.publish(spark, train_shards(spark, sf_dir), public).count()
     return shardfiles.list_shards(spark, public).select(
         F.element_at(F.split("path", "/"), -1).alias("name"), "tokens")
 
@@ -107,11 +110,12 @@ def shard_listing(spark, sf_dir):
     "where split = 'train' and shard_idx >= (select max(shard_idx) + 1 from carved_train where split = 'train') // 2 "
     "group by split, shard_idx", "carved_train"))
 def resume_missing(spark, sf_dir):
-    """A run that stopped half way: the shards its manifest lacks."""
-    carved = train_carved(spark, sf_dir)[1]
-    half = carved.where(F.col("split") == "train").agg(F.floor((F.max("shard_idx") + 1) / 2)).scalar()
-    done = carved.where((F.col("split") == "val") | (F.col("shard_idx") < half))
-    return carving.unwritten(carved, done).groupBy("split", "shard_idx").agg(
+    """A run that stopped half way: the shards whose files aren't there."""
+    carved, path = train_carved(spark, sf_dir)[1], staging_path(spark, "half")
+    half = carved.where(F.col("split") == "train").agg(F.floor((F.max("shard_idx") + 1) / 2)).first()[0]
+    first = carved.where((F.col("split") == "val") | (F.col("shard_idx") < half))
+    shardfiles.write_shards(carving.shard_chunks(token_table(spark, sf_dir), first), path)
+    return carving.unwritten(carved, shardfiles.written_shards(spark, path)).groupBy("split", "shard_idx").agg(
         F.count(F.lit(1)).alias("chunks"), F.sum("n_tok").cast("long").alias("tokens"))
 
 
@@ -145,9 +149,7 @@ def shift_windows(spark, sf_dir):
 @query("sequence_scan", sql(f"select {_ROW}, md5({ids_text('syms')}) as ids_md5 from windows", "windows"))
 def sequence_scan(spark, sf_dir):
     """The same sequences, read from the binary shards without a shuffle."""
-    path = staging_path(spark, "shards")
-    shardfiles.write_shards(train_chunks(spark, sf_dir), path)
-    return shardfiles.read_sequences(spark, path, BATCH_SEQS, SEQ_LEN).select(
+    return shardfiles.read_sequences(spark, train_shards(spark, sf_dir), BATCH_SEQS, SEQ_LEN).select(
         "split", "shard_idx", "batch_id", "in_shard", "row", digest(F.col("ids")).alias("ids_md5"))
 
 
@@ -159,7 +161,7 @@ def sequence_scan(spark, sf_dir):
 def val_batches(spark, sf_dir):
     """The same evaluation batches every time; past the end of the split they repeat."""
     n = sequences.stream_batches(train_batches(spark, sf_dir))["val"]
-    return sequences.val_batches(windows(spark, sf_dir), n, EVAL_TOKENS, BATCH_SEQS, SEQ_LEN).select(
+    return sequences.val_batches(windows(spark, sf_dir, "val"), n, EVAL_TOKENS, BATCH_SEQS, SEQ_LEN).select(
         "read", "epoch", "batch_id", "row", digest(F.col("ids")).alias("ids_md5"))
 
 
@@ -170,10 +172,26 @@ def resume_windows(spark, sf_dir):
     """Restart from the loader state in shard 1 after three batches."""
     state = {"shard_idx": 1, "pos": 3 * STEP, "epoch": 0}
     at = sequences.cursor_of(train_batches(spark, sf_dir), state, BATCH_SEQS, SEQ_LEN)
-    rest = sequences.resume_from(windows(spark, sf_dir).where(F.col("split") == "train"), at)
+    n = sequences.stream_batches(train_batches(spark, sf_dir))["train"]
+    rest = sequences.resume_from(windows(spark, sf_dir, "train"), n, at)
     return rest.select("batch_id", "row", digest(F.col("ids")).alias("ids_md5"))
 
 
+@query("resume_next_epoch", sql(
+    f"select read, (read // n)::INT as epoch, read % n as batch_id, row, md5({ids_text('syms')}) as ids_md5 from "
+    "(select n, unnest(generate_series(n + spot, n + spot + n - 1)) as read from "
+    "(select sum(n_batches)::BIGINT as n, max(first_batch + 2) filter (where shard_idx = 1)::BIGINT as spot "
+    "from batches_of_train where split = 'train')) join windows w on w.batch_id = read % n and w.split = 'train'",
+    "batches_of_train", "windows"))
+def resume_next_epoch(spark, sf_dir):
+    """Restart in the second epoch, in shard 1 after two batches, and read as much as an epoch has."""
+    state = {"shard_idx": 1, "pos": 2 * STEP, "epoch": 1}
+    batches = train_batches(spark, sf_dir)
+    at, n = sequences.cursor_of(batches, state, BATCH_SEQS, SEQ_LEN), sequences.stream_batches(batches)["train"]
+    return sequences.resume_from(windows(spark, sf_dir, "train"), n, at, n).select(
+        "read", "epoch", "batch_id", "row", digest(F.col("ids")).alias("ids_md5"))
+
+
 _STREAMS = (
     "(select 'train' as stream, shard_idx, n_batches, first_batch from batches_of_train where split = 'train' union all "
     "select 'anneal', shard_idx, n_batches, first_batch from batches_of_anneal)")
@@ -236,7 +254,7 @@ def step_plan_resumed(spark, sf_dir):
     f"select {_ROW}, (row // 4)::INT as rank, ((row % 4) // 2)::INT as accum from windows where split = 'train'", "windows"))
 def worker_rows_torch(spark, sf_dir):
     """Two ranks of micro-batches of two."""
-    own = windows(spark, sf_dir).where(F.col("split") == "train")
+    own = windows(spark, sf_dir, "train")
     return sequences.torch_rows(own, BATCH_SEQS, 2, 2).select(
         "split", "shard_idx", "batch_id", "in_shard", "row", "rank", "accum")
 
@@ -245,6 +263,6 @@ def worker_rows_torch(spark, sf_dir):
     f"select {_ROW}, (row // 4)::INT as accum, ((row % 4) // 2)::INT as device from windows where split = 'train'", "windows"))
 def worker_rows_jax(spark, sf_dir):
     """Passes of two devices with micro-batches of two."""
-    own = windows(spark, sf_dir).where(F.col("split") == "train")
+    own = windows(spark, sf_dir, "train")
     return sequences.jax_rows(own, BATCH_SEQS, 2, 2).select(
         "split", "shard_idx", "batch_id", "in_shard", "row", "accum", "device")

@@ -1,8 +1,9 @@
 """Binary token shards: two-byte ids, no header, little-endian; and their listing.
 
 ``format("tokenshards")`` writes one file per shard and reads byte ranges of
-shards in parallel. Paths may be local, on a shared mount, or any file system
-pyarrow knows by URI.
+shards in parallel. The functions below give paths the scheme that Spark itself
+resolves them to, so tasks open the same place as Spark's own readers; the bare
+formats take only paths with a scheme.
 """
 
 from __future__ import annotations
@@ -23,21 +24,16 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage,
 )
 
-from tokenloom.operators.carving import shard_name
-from tokenloom.session import ship_package
+from tokenloom.session import file_system, qualified, ship_package
 
 FORMAT = "tokenshards"
 SEQUENCES = "tokensequences"
+#: Tokens one task reads: 128 MB.
+PER_TASK = 1 << 26
 CHUNK = "split string, shard_idx int, shard_pos long, n_tok int, ids array<int>"
 _NAME = re.compile(r"^(.*)_(\d{5,})\.bin$")
 
 
-def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
-
-
 def _write_all(out, ids: np.ndarray) -> None:
     if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFF):
         raise ValueError("token id does not fit into two bytes")
@@ -66,27 +62,34 @@ class ShardWriter(DataSourceArrowWriter):
         self.path = path
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        system, base = _filesystem(self.path)
+        system, base = file_system(self.path)
         pending = posixpath.join(base, "_pending")
         system.create_dir(pending, recursive=True)
         out, current, temp, expected = None, None, "", 0
         try:
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 split, shard, pos, lists = (
                     batch.column(c) for c in ("split", "shard_idx", "shard_pos", "ids"))
-                for i in range(batch.num_rows):
-                    key = (split[i].as_py(), shard[i].as_py())
+                # Rows of one shard follow each other: their ids are one stretch of the batch.
+                same = split.dictionary_encode().indices.to_numpy().astype(np.int64) * (1 << 32) + shard.to_numpy()
+                firsts = np.flatnonzero(np.r_[True, same[1:] != same[:-1]])
+                ids = lists.flatten().to_numpy()
+                ends = np.cumsum(lists.value_lengths().to_numpy())
+                begins, pos = ends - lists.value_lengths().to_numpy(), pos.to_numpy()
+                for a, b in zip(firsts, np.r_[firsts[1:], batch.num_rows]):
+                    key = (split[a].as_py(), shard[a].as_py())
                     if key != current:
                         if out is not None:
                             out.close()
                             _finish(system, temp, posixpath.join(base, "%s_%05d.bin" % current))
                         temp = posixpath.join(pending, uuid.uuid4().hex)
                         out, current, expected = system.open_output_stream(temp), key, 0
-                    if pos[i].as_py() != expected:
+                    if (pos[a:b] != expected + begins[a:b] - begins[a]).any():
                         raise ValueError(f"shard {key} is not whole at position {expected}")
-                    ids = lists[i].values.to_numpy()
-                    _write_all(out, ids)
-                    expected += len(ids)
+                    _write_all(out, ids[begins[a]:ends[b - 1]])
+                    expected += int(ends[b - 1] - begins[a])
         except BaseException:
             if out is not None:
                 out.close()
@@ -122,7 +125,7 @@ class ShardReader(DataSourceReader):
 
     def files(self) -> list[tuple[str, str, int, int]]:
         """(path, split, shard, tokens) of the matching files by split and shard."""
-        system, base = _filesystem(self.path)
+        system, base = file_system(self.path)
         out = []
         for info in system.get_file_info(fs.FileSelector(base)):
             name = posixpath.basename(info.path)
@@ -149,7 +152,7 @@ class ShardReader(DataSourceReader):
             yield from self._read(part)
 
     def _read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        system, _ = _filesystem(self.path)
+        system, _ = file_system(self.path)
         schema = pa.schema([("split", pa.string()), ("shard_idx", pa.int32()), ("shard_pos", pa.int64()),
                             ("n_tok", pa.int32()), ("ids", pa.list_(pa.int32()))])
         with system.open_input_file(part.path) as f:
@@ -179,7 +182,7 @@ class TokenShards(DataSource):
     def reader(self, schema) -> ShardReader:
         o = self.options
         return ShardReader(o["path"], o.get("pattern", "*.bin"), int(o.get("chunk", 4096)),
-                           int(o.get("perTask", 4_194_304)))
+                           int(o.get("perTask", PER_TASK)))
 
     def writer(self, schema, overwrite: bool) -> ShardWriter:
         return ShardWriter(self.options["path"])
@@ -216,7 +219,7 @@ class SequenceReader(ShardReader):
     def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
         b, t = self.batch_seqs, self.seq_len
         for part, base in partition.value:
-            system, _ = _filesystem(part.path)
+            system, _ = file_system(self.path)
             with system.open_input_file(part.path) as f:
                 for batch in range(part.begin, part.end):
                     raw = f.read_at((b * t + 1) * 2, batch * b * t * 2)
@@ -244,7 +247,7 @@ class TokenSequences(DataSource):
     def reader(self, schema) -> SequenceReader:
         o = self.options
         return SequenceReader(o["path"], o.get("pattern", "*.bin"), int(o["batchSeqs"]), int(o["seqLen"]),
-                              int(o.get("perTask", 4_194_304)))
+                              int(o.get("perTask", PER_TASK)))
 
 
 def register(spark: SparkSession) -> None:
@@ -260,7 +263,7 @@ def write_shards(chunks: DataFrame, path: str) -> None:
         chunks.select("split", "shard_idx", "shard_pos", "n_tok", "ids")
         .repartition("split", "shard_idx")
         .sortWithinPartitions("split", "shard_idx", "shard_pos")
-        .write.format(FORMAT).mode("append").save(path)
+        .write.format(FORMAT).mode("append").save(qualified(chunks.sparkSession, path))
     )
 
 
@@ -270,7 +273,7 @@ def read_shards(spark: SparkSession, path: str, pattern: str = "*.bin", **option
     reader = spark.read.format(FORMAT).option("pattern", pattern)
     for key, value in options.items():
         reader = reader.option(key, value)
-    return reader.load(path)
+    return reader.load(qualified(spark, path))
 
 
 def read_sequences(spark: SparkSession, path: str, batch_seqs: int, seq_len: int, pattern: str = "*.bin",
@@ -285,7 +288,7 @@ def read_sequences(spark: SparkSession, path: str, batch_seqs: int, seq_len: int
         "seqLen", seq_len)
     for key, value in options.items():
         reader = reader.option(key, value)
-    return reader.load(path)
+    return reader.load(qualified(spark, path))
 
 
 def list_shards(spark: SparkSession, path: str, pattern: str = "*.bin") -> DataFrame:
@@ -299,34 +302,39 @@ def list_shards(spark: SparkSession, path: str, pattern: str = "*.bin") -> DataF
     return found
 
 
+def written_shards(spark: SparkSession, path: str) -> DataFrame:
+    """``split, shard_idx`` of the shard files that are there, from their names alone."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return list_shards(spark, path).select(
+        F.regexp_extract(name, _NAME.pattern, 1).alias("split"),
+        F.regexp_extract(name, _NAME.pattern, 2).cast("int").alias("shard_idx"))
+
+
 def write_shard_table(chunks: DataFrame, path: str) -> None:
     """The columnar form: partition folders by split and shard."""
     chunks.repartition("split", "shard_idx").sortWithinPartitions("split", "shard_idx", "shard_pos").write.mode(
         "append").partitionBy("split", "shard_idx").parquet(path)
 
 
-def named(shards: DataFrame) -> DataFrame:
-    return shards.withColumn("name", shard_name(F.col("split"), F.col("shard_idx")))
-
-
 def publish(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Copy the ``.bin`` and ``.json`` files of a folder, each in its own task.
 
     Returns the copied names and sizes; file contents never pass the driver.
     """
     ship_package(spark)
+    target = qualified(spark, target)
     files = (
         spark.read.format("binaryFile").load(source).select("path", "length")
         .where(F.col("path").rlike(r"\.(bin|json)$"))
     )
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to, base = _filesystem(target)
+        to, base = file_system(target)
         to.create_dir(base, recursive=True)
         for batch in batches:
             names = []
             for path in batch.column("path").to_pylist():
-                system, at = _filesystem(path)
+                system, at = file_system(path)
                 names.append(posixpath.basename(at))
                 temp = posixpath.join(base, f".{names[-1]}.{uuid.uuid4().hex}")
                 fs.copy_files(at, temp, source_filesystem=system, destination_filesystem=to)
