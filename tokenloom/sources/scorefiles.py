@@ -1,7 +1,11 @@
-"""Score files, a JSON record per model label, and the Markdown table."""
+"""Score files, a JSON record per model label, and the Markdown table.
+
+A label that is scored again keeps only its newest record.
+"""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.operators.scores import leaderboard, score_matrix, table_head
 
-SCHEMA = "path string, `limit` int, scores map<string,double>, label string"
+SCHEMA = "path string, `limit` int, scores map<string,double>, scored_at long, label string"
 
 
 def score_rows(scores: DataFrame, models: DataFrame, limit: int | None = None) -> DataFrame:
@@ -21,19 +25,35 @@ def score_rows(scores: DataFrame, models: DataFrame, limit: int | None = None) -
         F.coalesce("scores", F.create_map().cast("map<string,double>")).alias("scores"))
 
 
-def write_scores(rows: DataFrame, path: str, folders: bool = False) -> None:
-    """Append score records; ``folders`` gives every label a folder of its own,
-    which suits tens of models rather than millions."""
+def write_scores(rows: DataFrame, path: str, folders: bool = False, scored_at: int | None = None) -> None:
+    """Add score records, which replace earlier ones of their labels.
+
+    ``scored_at`` orders the records of a label (default: the time now).
+    ``folders`` gives every label a folder of its own, whose old record is
+    overwritten; that suits tens of models rather than millions.
+    """
+    dated = rows.withColumn("scored_at", F.lit(time.time_ns() if scored_at is None else scored_at).cast("long"))
     if folders:
-        rows.repartition("label").write.mode("append").partitionBy("label").json(path)
+        dated.repartition("label").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("label").json(path)
     else:
-        rows.write.mode("append").json(path)
+        dated.write.mode("append").json(path)
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """``label, task, score`` of every score file."""
+    """``label, task, score`` of the newest record of every label."""
     files = spark.read.schema(SCHEMA).json(path)
-    return files.select("label", F.explode("scores").alias("task", "score"))
+    when = F.coalesce("scored_at", F.lit(0).cast("long"))
+    newest = files.groupBy("label").agg(F.max_by("scores", when).alias("scores"))
+    return newest.select("label", F.explode("scores").alias("task", "score"))
+
+
+def read_label_files(spark: SparkSession, path: str) -> DataFrame:
+    """``label, task, score`` of files ``<label>.json``, one record each, labelled by file name."""
+    files = spark.read.schema("path string, `limit` int, scores map<string,double>").option(
+        "multiLine", True).option("pathGlobFilter", "*.json").json(path)
+    label = F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1)
+    return files.select(F.url_decode(label).alias("label"), F.explode("scores").alias("task", "score"))
 
 
 def scored_labels(spark: SparkSession, path: str) -> DataFrame:
