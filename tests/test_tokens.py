@@ -9,7 +9,7 @@ from tokenloom.functions.text import BYTE_BASE, FIRST_MERGE, SPECIAL_TOKENS, SPL
 from tokenloom.operators import bpe
 
 SAMPLES = [
-    "Rain fell twice: 98765 pears, 2.71828 tarts!\n    for k in range(3): print(k)", "", "🙂🙂 emoji 👩‍👩‍👧",
+    "if (a <= b) { return 'x'; }\n\t// one-two 007 3rd", "The owl said: wait... what?", "", "🙂🙂 emoji 👩‍👩‍👧",
     "é combining ñ", "a\r\nb\r\n\r\nc", "tabs\t\tand  runs   of    spaces ", "<|im_end|> and <|endoftext|> as text",
     "it's I'LL they've", "  x　y", "\x00\x1f control", "aaaaaaaaaaa", "漢字かな交じり文", "\n \n  \n",
 ]

@@ -49,6 +49,13 @@ def generation_prompt(merges: list[tuple[int, int]]) -> Column:
     return _ints([IM_START, *name, *newline])
 
 
+def with_prompt(assembled: DataFrame, merges: list[tuple[int, int]]) -> DataFrame:
+    """Append the generation prompt to the ids of each conversation; its mask is 0."""
+    prompt = generation_prompt(merges)
+    return assembled.withColumn("mask", F.concat("mask", F.array_repeat(F.lit(0), F.size(prompt)))).withColumn(
+        "ids", F.concat("ids", prompt))
+
+
 def turn_offsets(encoded: DataFrame) -> DataFrame:
     """Adds ``n_tok`` and ``offset``, the token position of a turn in its conversation.
 

@@ -12,7 +12,9 @@ from tokenloom.plans.registry import artifact, digest, query, rounded, table
 from tokenloom.plans.sqltext import CHAT_LEN, MAX_PAIR, ids_text, sql
 from tokenloom.session import spread, stage
 
-MAX_CHATS, MAX_PREFS = 400_000, 60_000
+#: How many conversations and pairs the two sampling queries take.
+CHAT_SAMPLE, PAIR_SAMPLE = 60, 40
+MAX_TURNS = 10_000
 BATCH, MICRO, EPOCHS = 8, 4, 2.5
 PREF_BATCH, PREF_MICRO, BETA = 8, 2, 0.1
 
@@ -21,18 +23,16 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations")
 
 
-def sampled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of the sampled conversations."""
-    convs = turns(spark, sf_dir).select("conv_id").distinct()
-    taken = ordering.seeded_sample(convs, 0, ["conv_id"], MAX_CHATS).select("conv_id")
-    # At most MAX_CHATS ids, some 3 MB: no shuffle, so a long conversation stays spread out.
-    return spread(turns(spark, sf_dir)).join(F.broadcast(taken), "conv_id", "left_semi")
+def sample_conversations(said: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """Turns of ``n`` seeded conversations, for a run that takes no more."""
+    taken = ordering.seeded_sample(said.select("conv_id").distinct(), seed, ["conv_id"], n).select("conv_id")
+    return said.join(taken, "conv_id", "left_semi")
 
 
 @artifact
 def encoded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids, masks and offsets of every sampled turn."""
-    coded = stage(chat.encode_turns(sampled_turns(spark, sf_dir), merges(spark, sf_dir)), "coded")
+    """Token ids, masks and offsets of every turn."""
+    coded = stage(chat.encode_turns(spread(turns(spark, sf_dir)), merges(spark, sf_dir)), "coded")
     return stage(chat.turn_offsets(coded), "turns")
 
 
@@ -42,8 +42,9 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chats = stage(chat.assemble(encoded_turns(spark, sf_dir), CHAT_LEN + 1), "chats")
-    return packing.pack(ordering.seeded_order(chats, 1, ["conv_id"]), CHAT_LEN)
+    chats = stage(chat.assemble(encoded_turns(spark, sf_dir), CHAT_LEN + 1).withColumn("size", F.size("ids")), "chats")
+    places = stage(ordering.seeded_order(chats.select("conv_id", "size"), 1, ["conv_id"]), "places")
+    return packing.pack(chats, CHAT_LEN, places=places)
 
 
 @query("chat_render", sql(
@@ -57,6 +58,26 @@ def chat_render(spark, sf_dir):
     return said.unionByName(prompt)
 
 
+@query("chat_render_whole", sql(
+    "select conv_id, md5(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by turn)) as text_md5, "
+    "md5(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by turn) || "
+    "'<|im_start|>assistant' || chr(10)) as prompt_md5 from conversations group by conv_id"))
+def chat_render_whole(spark, sf_dir):
+    """The chat text of whole conversations, without and with the prompt for a reply."""
+    lists = chat.messages(turns(spark, sf_dir), MAX_TURNS)
+    said = F.col("messages")
+    return lists.select("conv_id", F.md5(chat.render_messages(said)).alias("text_md5"),
+                        F.md5(chat.render_messages(said, prompt=True)).alias("prompt_md5"))
+
+
+@query("chat_sample", sql(
+    "select conv_id, turn from conversations join (select conv_id, row_number() over (order by md5('0:' || conv_id), conv_id) as r "
+    f"from (select distinct conv_id from conversations)) using (conv_id) where r <= {CHAT_SAMPLE}"))
+def chat_sample(spark, sf_dir):
+    """Turns of a seeded sample of conversations, what a short fine-tuning run takes."""
+    return sample_conversations(turns(spark, sf_dir), CHAT_SAMPLE).select("conv_id", "turn")
+
+
 @query("chat_encode", sql(
     "select conv_id, turn, (length(syms) // 7)::INT as n_tok, "
     f"md5({ids_text('syms')}) as ids_md5, md5(mask) as mask_md5 from turn_tokens", "turn_tokens"))
@@ -67,14 +88,15 @@ def chat_encode(spark, sf_dir):
 
 
 @query("chat_prompt", sql(
-    "select conv_id, (length(c.syms || p) // 7)::BIGINT as n_tok, "
-    f"md5({ids_text('p')}) as prompt_md5 from chat_all c, (select '<00001>' || a.syms || n.syms as p from turn_words a, turn_words n "
-    "where a.piece = 'assistant' and n.piece = chr(10))", "chat_all", "turn_words"))
+    "select conv_id, (length(c.syms || p) // 7)::INT as n_tok, "
+    f"md5({ids_text('c.syms || p')}) as ids_md5, md5(c.mask || repeat('0,', length(p)::INT // 7)) as mask_md5 "
+    "from chats c, (select '<00001>' || a.syms || n.syms as p from turn_words a, turn_words n "
+    "where a.piece = 'assistant' and n.piece = chr(10))", "chats", "turn_words"))
 def chat_prompt(spark, sf_dir):
-    """Length of each conversation with the prompt for the next reply, and the prompt."""
-    prompt = chat.generation_prompt(merges(spark, sf_dir))
-    sizes = chat.conversation_sizes(encoded_turns(spark, sf_dir))
-    return sizes.select("conv_id", (F.col("n_tok") + F.size(prompt)).alias("n_tok"), digest(prompt).alias("prompt_md5"))
+    """Each conversation, up to the width, followed by the prompt for the next reply."""
+    whole = chat.with_prompt(chat.assemble(encoded_turns(spark, sf_dir), CHAT_LEN + 1), merges(spark, sf_dir))
+    return whole.select("conv_id", F.size("ids").alias("n_tok"), digest(F.col("ids")).alias("ids_md5"),
+                        digest(F.col("mask")).alias("mask_md5"))
 
 
 @query("chat_sizes", sql(
@@ -130,15 +152,20 @@ def sft_plan(spark, sf_dir):
         "lr_factor", rounded(F.col("lr_factor"), 9))
 
 
-def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pair_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefs.pair_lengths(prefs.reply_pairs(turns(spark, sf_dir)), encoded_turns(spark, sf_dir))
 
 
+@artifact
+def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every preference pair with its lengths; stored, as ordering and sampling read it more than once."""
+    return stage(pair_lengths(spark, sf_dir), "all-pairs")
+
+
 @artifact
 def planned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs in seeded order, filtered by length, with their step and micro-batch."""
-    taken = ordering.seeded_sample(all_pairs(spark, sf_dir), 0, ["conv_id"], MAX_PREFS, out="nr").drop("nr")
-    kept = stage(short_pairs(taken, "chosen_len", "rejected_len", MAX_PAIR), "pairs")
+    kept = stage(short_pairs(all_pairs(spark, sf_dir), "chosen_len", "rejected_len", MAX_PAIR), "pairs")
     ordered = ordering.seeded_order(kept, 0, ["conv_id"])
     return stage(stepplan.preference_plan(ordered, kept.count(), PREF_BATCH, PREF_MICRO, lr=1.0), "planned")
 
@@ -147,10 +174,36 @@ def planned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"select conv_id, other_id, chosen_len, rejected_len from pairs where chosen_len <= {MAX_PAIR} and rejected_len <= {MAX_PAIR}",
     "pairs"))
 def pair_filter(spark, sf_dir):
-    return short_pairs(all_pairs(spark, sf_dir), "chosen_len", "rejected_len", MAX_PAIR).select(
+    return short_pairs(pair_lengths(spark, sf_dir), "chosen_len", "rejected_len", MAX_PAIR).select(
+        "conv_id", "other_id", "chosen_len", "rejected_len")
+
+
+@query("pair_sample", sql(
+    "select conv_id, other_id, chosen_len, rejected_len from (select *, row_number() over (order by md5('0:' || conv_id), conv_id) "
+    f"as r from pairs) where r <= {PAIR_SAMPLE} and chosen_len <= {MAX_PAIR} and rejected_len <= {MAX_PAIR}", "pairs"))
+def pair_sample(spark, sf_dir):
+    """A seeded sample of all pairs, of which the short ones stay."""
+    taken = ordering.seeded_sample(all_pairs(spark, sf_dir), 0, ["conv_id"], PAIR_SAMPLE)
+    return short_pairs(taken, "chosen_len", "rejected_len", MAX_PAIR).select(
         "conv_id", "other_id", "chosen_len", "rejected_len")
 
 
+@query("pair_messages", sql("select conv_id, chosen_len, rejected_len from kept_pairs", "kept_pairs"))
+def pair_messages(spark, sf_dir):
+    """The same pairs, handed over as message lists of both sides."""
+    lists = stage(chat.messages(turns(spark, sf_dir), MAX_TURNS), "messages")
+    pairs = prefs.reply_pairs(turns(spark, sf_dir))
+    other = lists.select(F.col("conv_id").alias("other_id"), F.col("messages").alias("theirs"))
+    both = pairs.join(lists, "conv_id").join(other, "other_id")
+    upto = lambda c, n: F.slice(c, F.lit(1), n.cast("int"))
+    rows = both.select(
+        "conv_id", upto(F.col("messages"), F.col("reply_turn") + 1).alias("chosen"),
+        F.concat(upto(F.col("messages"), F.col("reply_turn")),
+                 F.slice("theirs", (F.col("other_turn") + 1).cast("int"), F.lit(1))).alias("rejected"))
+    return prefs.encode_message_pairs(stage(rows, "pair-messages"), merges(spark, sf_dir), "conv_id", MAX_PAIR)[0].select(
+        "conv_id", "chosen_len", "rejected_len")
+
+
 @query("pref_plan", sql(
     "select conv_id, place, step, micro, round(least(1.0::DOUBLE, (step + 1) / greatest(1, total // 10)::DOUBLE) * "
     "(1.0::DOUBLE - step / greatest(1, total)::DOUBLE), 9) as lr_factor from planned_pairs, "

@@ -11,8 +11,8 @@ from tokenloom.operators import bpe, carving, mixing, ordering
 from tokenloom.operators.filters import score_at_least
 from tokenloom.plans.registry import artifact, digest, query, rounded, table
 from tokenloom.plans.sqltext import MERGES, PER_BATCH, SHARD, SPLIT, VAL, ids_text, sql
-from tokenloom.session import spread, stage
-from tokenloom.sources.mixes import choose_mix, table_mixes, tokenizer_mix, with_mix_source
+from tokenloom.session import spread, stage, staging_path
+from tokenloom.sources.mixes import choose_mix, read_spec, table_mixes, tokenizer_mix, with_mix_source, write_spec
 
 MIXES = table_mixes(SHARD, VAL)
 
@@ -128,6 +128,18 @@ def mix_token_deficit(spark, sf_dir):
     return char_mix.fresh(spark, sf_dir)[0].select("source", "epoch", "doc_id", "n_tok", "batch_no", "start")
 
 
+@query("mix_from_spec", sql("select source, epoch::INT as epoch, doc_id, n_tok, batch_no, start from mix_chars", "mix_chars"))
+def mix_from_spec(spark, sf_dir):
+    """The same mix, its sources, weights and sizes read from a specification file."""
+    path = staging_path(spark, "spec")
+    write_spec(spark, MIXES, path)
+    mix = choose_mix(read_spec(spark, path), "train")
+    docs = stage(char_tokens(spark, sf_dir), "char-tokens")
+    total = docs.agg(F.sum("n_tok")).first()[0]
+    need = carving.stream_need(total, mix.shard_tokens, mix.val_tokens)
+    return mixing.token_deficit_mix(docs, mix, need).select("source", "epoch", "doc_id", "n_tok", "batch_no", "start")
+
+
 @query("mix_shares", sql(
     "select source, count(*)::BIGINT as docs, sum(n_tok)::BIGINT as tokens, "
     "round(sum(n_tok) / sum(sum(n_tok)) over (), 6) as share from mix_chars group by source", "mix_chars"))
@@ -140,7 +152,7 @@ def mix_byte_budget(spark, sf_dir):
     return byte_mix(spark, sf_dir)
 
 
-SAMPLE = 400_000
+SAMPLE = 400
 
 
 @query("seeded_sample", sql(

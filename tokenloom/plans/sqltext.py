@@ -6,7 +6,7 @@ pair is ``replace``, and seven characters are one token.
 
 from __future__ import annotations
 
-from tokenloom.functions.text import FIRST_MERGE
+from tokenloom.functions.text import FIRST_MERGE, SPECIAL_TOKENS
 from tokenloom.sources.mixes import Mix, table_mixes, tokenizer_mix
 
 MERGES = 48
@@ -163,7 +163,7 @@ for _i in range(MERGES):
 cte("merges", " union all ".join(
     f"select {i} as rank, l::INT as l, r::INT as r, {FIRST_MERGE + i} as new_id from p{i}" for i in range(MERGES)),
     *[f"p{i}" for i in range(MERGES)], materialized=True)
-cte("v0", "select i as id, case when i < 4 then hex(encode(['<|endoftext|>', '<|im_start|>', '<|im_end|>', '<|pad|>'][i + 1])) "
+cte("v0", "select i as id, case when i < 4 then hex(encode([" + ", ".join(f"'{t}'" for t in SPECIAL_TOKENS) + "][i + 1])) "
     "else printf('%02X', i - 4) end as token_hex from (select unnest(generate_series(0, 259))::INT as i)", materialized=True)
 for _i in range(MERGES):
     cte(f"v{_i + 1}", f"select id, token_hex from v{_i} union all select {FIRST_MERGE + _i}, a.token_hex || b.token_hex from p{_i} "

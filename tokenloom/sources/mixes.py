@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -50,7 +51,8 @@ def _block(first: int) -> tuple[str, ...]:
 
 
 def table_mixes(shard_tokens: int = 100_000, val_tokens: int = 10_000) -> dict[str, Mix]:
-    """The two mixes over the ``documents`` table: weights as in the reference job."""
+    """The two mixes over the ``documents`` table."""
+    # The weights of the two mixes.
     train = (
         Source("edu", 0.60, _block(0), min_score=1),
         Source("web", 0.25, _block(5)),
@@ -69,6 +71,50 @@ def table_mixes(shard_tokens: int = 100_000, val_tokens: int = 10_000) -> dict[s
     }
 
 
+def parse_spec(text: str) -> dict[str, Mix]:
+    """Mixes from a JSON (or YAML, where its parser is installed) text.
+
+    ``shard_tokens``, ``val_tokens`` and ``mixes``: per mix a list of sources with
+    ``name``, ``weight`` and optionally ``path``, ``members``, ``text_field``, ``min_score``.
+    Only the mix "train" has a validation part, unless a mix says otherwise.
+    """
+    try:
+        spec = json.loads(text)
+    except ValueError:
+        import yaml
+
+        spec = yaml.safe_load(text)
+    out = {}
+    for name, body in spec["mixes"].items():
+        sources = body["sources"] if isinstance(body, dict) else body
+        own = body if isinstance(body, dict) else {}
+        unknown = {k for s in sources for k in s} - {"name", "weight", "path", "members", "text_field", "min_score"}
+        if unknown:
+            raise ValueError(f"mix {name!r} has unknown entries {sorted(unknown)}")
+        out[name] = Mix(
+            tuple(Source(**{**s, "weight": float(s["weight"]), "members": tuple(s.get("members", ()))}) for s in sources),
+            int(own.get("shard_tokens", spec["shard_tokens"])),
+            int(own.get("val_tokens", spec.get("val_tokens", 0) if name == "train" else 0)), name)
+    return out
+
+
+def spec_text(mixes: Mapping[str, Mix]) -> str:
+    """The JSON text of mixes, as ``parse_spec`` reads it."""
+    return json.dumps({"shard_tokens": next(iter(mixes.values())).shard_tokens, "mixes": {
+        name: {"shard_tokens": m.shard_tokens, "val_tokens": m.val_tokens, "sources": [
+            {k: v for k, v in vars(s).items() if v is not None} for s in m.sources]}
+        for name, m in mixes.items()}})
+
+
+def read_spec(spark: SparkSession, path: str) -> dict[str, Mix]:
+    """Mixes from a specification file, read from wherever Spark reads."""
+    return parse_spec(spark.read.text(path, wholetext=True).first()[0])
+
+
+def write_spec(spark: SparkSession, mixes: Mapping[str, Mix], path: str) -> None:
+    spark.createDataFrame([(spec_text(mixes),)], "value string").coalesce(1).write.text(path)
+
+
 def spec_frame(spark: SparkSession, mix: Mix) -> DataFrame:
     """The mix as a table, one row per source."""
     shares = mix.shares

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tokenloom.session import folder_entries, remove_folder
+
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -43,13 +45,17 @@ def append_batches(stream: DataFrame, prepare: Callable[[DataFrame], DataFrame],
 def running_source_totals(stream: DataFrame, table: str, checkpoint: str, amount: str = "n_tok") -> StreamingQuery:
     """Keep documents and tokens per source as streaming state; ``table`` has the latest.
 
-    State is one counter row per source; each trigger replaces the small table.
+    State is one counter row per source; each trigger writes the small table anew
+    and drops the versions before the last.
     """
     totals = stream.groupBy("source").agg(
         F.count(F.lit(1)).alias("docs"), F.sum(amount).cast("long").alias("tokens"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/version={batch_id}")
+        for version in _versions(batch.sparkSession, table):
+            if version < batch_id - 1:
+                remove_folder(batch.sparkSession, f"{table}/version={version}")
 
     return (
         totals.writeStream.outputMode("complete").foreachBatch(write)
@@ -57,8 +63,13 @@ def running_source_totals(stream: DataFrame, table: str, checkpoint: str, amount
     )
 
 
+def _versions(spark: SparkSession, table: str) -> list[int]:
+    """Versions whose writing has ended."""
+    names = [n for n, _, _ in folder_entries(spark, table) if n.startswith("version=")]
+    return [int(n.split("=")[1]) for n in names
+            if any(f == "_SUCCESS" for f, _, _ in folder_entries(spark, f"{table}/{n}"))]
+
+
 def latest_version(spark: SparkSession, table: str) -> DataFrame:
-    """The newest version of a table written per trigger."""
-    all_versions = spark.read.parquet(table)
-    newest = all_versions.agg(F.max("version")).first()[0]
-    return all_versions.where(F.col("version") == newest).drop("version")
+    """The newest version of a table written per trigger; no other one is read."""
+    return spark.read.parquet(f"{table}/version={max(_versions(spark, table))}")
