@@ -6,7 +6,6 @@ import os
 import tempfile
 import uuid
 import zipfile
-from urllib.parse import unquote, urlsplit
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -95,7 +94,8 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith(("s3a://", "s3n://")):
         uri = "s3://" + uri.split("://", 1)[1]
     if uri.startswith("file:"):
-        return fs.LocalFileSystem(), unquote(urlsplit(uri).path)
+        path = uri.removeprefix("file:")
+        return fs.LocalFileSystem(), "/" + path[2:].partition("/")[2] if path.startswith("//") else path
     if "://" in uri:
         return fs.FileSystem.from_uri(uri)
     raise ValueError(f"{uri} has no scheme; qualify it on the driver first")

@@ -12,7 +12,6 @@ import posixpath
 import time
 from collections.abc import Iterator
 from itertools import groupby
-from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -64,7 +63,8 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 def write_plain_logs(lines: DataFrame, path: str, order: tuple[str, ...] = ("session", "line")) -> DataFrame:
     """One file ``<run>/log.csv`` per run, its lines by ``order``; gives the runs written.
 
-    A run's file is streamed by one task, as a training run writes it.
+    A run's file is streamed by one task, as a training run writes it. A run's name
+    is its folder's, so it holds no slash.
     """
     spark = lines.sparkSession
     ship_package(spark)
@@ -74,7 +74,9 @@ def write_plain_logs(lines: DataFrame, path: str, order: tuple[str, ...] = ("ses
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         done = []
         for run, own in groupby(rows, key=lambda r: r[0]):
-            system, base = file_system(posixpath.join(root, quote(run, safe="")))
+            if "/" in run:
+                raise ValueError(f"run {run!r} is no folder name")
+            system, base = file_system(posixpath.join(root, run))
             system.create_dir(base, recursive=True)
             temp = posixpath.join(base, f"_log.{TaskContext.get().taskAttemptId()}")
             with system.open_output_stream(temp) as out:
@@ -91,5 +93,6 @@ def write_plain_logs(lines: DataFrame, path: str, order: tuple[str, ...] = ("ses
 def read_plain_logs(spark: SparkSession, path: str) -> DataFrame:
     """Lines of all ``<run>/log.csv`` files (or folders of that name) below ``path``, as ``read_logs``."""
     raw = spark.read.schema(SCHEMA).csv(f"{path.rstrip('/')}/*/log.csv")
-    run = F.url_decode(F.regexp_extract("_metadata.file_path", r"([^/]+)/log\.csv", 1))
+    folder = F.regexp_extract("_metadata.file_path", r"([^/]+)/log\.csv", 1)
+    run = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))  # metadata paths are encoded
     return raw.select(*_FIELDS, run.alias("run"), F.struct(*_written_order()).alias("line"))

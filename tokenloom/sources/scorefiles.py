@@ -53,7 +53,8 @@ def read_label_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema("path string, `limit` int, scores map<string,double>").option(
         "multiLine", True).option("pathGlobFilter", "*.json").json(path)
     label = F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1)
-    return files.select(F.url_decode(label).alias("label"), F.explode("scores").alias("task", "score"))
+    label = F.url_decode(F.replace(label, F.lit("+"), F.lit("%2B")))  # metadata names are encoded
+    return files.select(label.alias("label"), F.explode("scores").alias("task", "score"))
 
 
 def scored_labels(spark: SparkSession, path: str) -> DataFrame:
