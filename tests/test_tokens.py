@@ -1,4 +1,6 @@
+import hashlib
 import random
+from collections import Counter, defaultdict
 
 import pytest
 import regex
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.encode import PieceEncoder, decoder, encoder, with_end_of_text
 from tokenloom.functions.text import BYTE_BASE, FIRST_MERGE, SPECIAL_TOKENS, SPLIT_PATTERN, byte_ids, pieces
 from tokenloom.operators import bpe
+from tokenloom.plans import QUERIES, corpus
 
 SAMPLES = [
     "if (a <= b) { return 'x'; }\n\t// one-two 007 3rd", "The owl said: wait... what?", "", "🙂🙂 emoji 👩‍👩‍👧",
@@ -68,6 +71,68 @@ def test_batched_training_equals_one_merge_at_a_time(spark, seed):
     assert got == _train(counts, 60)
 
 
+@pytest.mark.parametrize("watched", [1, 5, 40])
+def test_training_with_few_watched_pairs_counts_again(spark, monkeypatch, watched):
+    monkeypatch.setattr(bpe, "WATCHED", watched)
+    rng = random.Random(watched)
+    counts = list({"".join(rng.choices("abcd", k=rng.randint(1, 9))): rng.randint(1, 3) for _ in range(50)}.items())
+    got = bpe.merge_list(bpe.train_bpe(spark, spark.createDataFrame(counts, "piece string, n long"), FIRST_MERGE + 30))
+    assert got == _train(counts, 30)
+
+
+def test_large_training_query_equals_one_merge_at_a_time(spark):
+    """The whole registered vocabulary, from the pieces the engine has counted."""
+    sf = "/root/testdata/sf0.001"
+    texts = corpus.mixing.taken_rows(corpus.byte_sources(spark, sf), corpus.byte_mix(spark, sf), "doc_id")
+    words = [([b + BYTE_BASE for b in r[0].encode()], r[1]) for r in bpe.piece_counts(texts).collect()]
+    # Counts of all pairs, and the words each is in, kept up to date merge by merge.
+    count, where = Counter(), defaultdict(set)
+    for w, (ids, n) in enumerate(words):
+        for pair in zip(ids, ids[1:]):
+            count[pair] += n
+            where[pair].add(w)
+    want = []
+    while len(want) < corpus.LARGE:
+        best = min(count, key=lambda k: (-count[k], k))
+        for w in where.pop(best):
+            ids, n = words[w]
+            for pair in zip(ids, ids[1:]):
+                count[pair] -= n
+            ids = _merge_once(ids, best, FIRST_MERGE + len(want))
+            words[w] = (ids, n)
+            for pair in zip(ids, ids[1:]):
+                count[pair] += n
+                where[pair].add(w)
+        del count[best]
+        want.append(best)
+    rows = QUERIES["bpe_train_large"](spark, sf).orderBy("rank").collect()
+    assert [(r["left"], r["right"]) for r in rows] == want and [r["rank"] for r in rows] == list(range(corpus.LARGE))
+    merges = want
+    coded = {r["doc_id"]: r for r in QUERIES["bpe_encode_large"](spark, sf).collect()}
+    pattern, known = regex.compile(SPLIT_PATTERN), {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(40).collect():
+        out = []
+        for m in pattern.finditer(r["text"]):
+            if m.group(0) not in known:
+                ids = [b + BYTE_BASE for b in m.group(0).encode()]
+                for rank, pair in enumerate(merges):
+                    ids = _merge_once(ids, pair, FIRST_MERGE + rank) if len(ids) > 1 else ids
+                known[m.group(0)] = ids
+            out += known[m.group(0)]
+        out.append(0)
+        assert coded[r["doc_id"]]["n_tok"] == len(out)
+        assert coded[r["doc_id"]]["ids_md5"] == hashlib.md5("".join(f"{i}," for i in out).encode()).hexdigest()
+
+
+def test_vocabulary_file_with_gaps_is_refused(spark, tmp_path):
+    merges = spark.createDataFrame([(0, 101, 102, 260), (1, 260, 101, 261)], bpe.MERGES_SCHEMA)
+    bpe.write_vocabulary(merges, str(tmp_path / "v"))
+    assert bpe.merge_list(bpe.read_vocabulary(spark, str(tmp_path / "v"))) == [(101, 102), (260, 101)]
+    bpe.write_vocabulary(merges.where("rank = 1"), str(tmp_path / "w"))
+    with pytest.raises(ValueError, match="gaps"):
+        bpe.read_vocabulary(spark, str(tmp_path / "w"))
+
+
 def test_encode_equals_replaying_the_merges(spark):
     rng = random.Random(4)
     corpus = ["".join(rng.choices("abcde é\n", k=200)) for _ in range(20)] + SAMPLES

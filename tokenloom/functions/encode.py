@@ -88,6 +88,13 @@ class PieceEncoder:
                 out[begin[w] + np.arange(len(w)) - at[np.cumsum(first) - 1]] = i
         return out, np.repeat(np.arange(len(size)), size)
 
+    def words_to_merge(self, ids: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Marks the ids of all words in which some pair merges."""
+        hits = np.flatnonzero(self._ranks(ids, word) != _NONE)
+        busy = np.zeros(int(word[-1]) + 1 if len(word) else 0, dtype=bool)
+        busy[word[hits]] = True
+        return busy[word]
+
     def encode_many(self, words: list[bytes]) -> list[np.ndarray]:
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         ids = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int64) + BYTE_BASE
@@ -100,11 +107,12 @@ class PieceEncoder:
         counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         distinct = [s.encode() for s in coded.dictionary.to_pylist()]
-        if len(self._known) > _REMEMBER:
-            self._known.clear()
         new = [w for w in distinct if w not in self._known]
-        self._known.update(zip(new, self.encode_many(new)))
-        table = [self._known[w] for w in distinct]
+        own = dict(zip(new, self.encode_many(new)))
+        table = [self._known[w] if w in self._known else own[w] for w in distinct]
+        # The frequent words come early; later ones are encoded batch by batch.
+        if len(self._known) < _REMEMBER:
+            self._known.update(own)
         size = np.array([len(t) for t in table], dtype=np.int64)
         begin = np.cumsum(size) - size
         flat = np.concatenate(table) if table else np.zeros(0, np.int32)

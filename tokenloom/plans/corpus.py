@@ -68,9 +68,13 @@ def byte_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.byte_budget_mix(sizes, tokenizer_mix())
 
 
-def train_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Merges of the larger vocabulary, of which no SQL keeps track; its first MERGES are those of the smaller.
+LARGE = 512
+
+
+def train_vocabulary(spark: SparkSession, sf_dir: str, size: int = MERGES) -> DataFrame:
     texts = mixing.taken_rows(byte_sources(spark, sf_dir), byte_mix(spark, sf_dir), "doc_id")
-    return bpe.train_bpe(spark, bpe.piece_counts(texts), FIRST_MERGE + MERGES)
+    return bpe.train_bpe(spark, bpe.piece_counts(texts), FIRST_MERGE + size)
 
 
 @artifact
@@ -79,8 +83,20 @@ def merges(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
     return bpe.merge_list(train_vocabulary(spark, sf_dir))
 
 
-def encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encode = encoder(merges(spark, sf_dir))
+@artifact
+def vocabulary_file(spark: SparkSession, sf_dir: str) -> str:
+    """Where the larger vocabulary is stored, for the jobs that read it."""
+    path = staging_path(spark, "vocabulary")
+    bpe.write_vocabulary(train_vocabulary(spark, sf_dir, LARGE), path)
+    return path
+
+
+def large_merges(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
+    return bpe.merge_list(bpe.read_vocabulary(spark, vocabulary_file(spark, sf_dir)))
+
+
+def encode_documents(spark: SparkSession, sf_dir: str, pairs: list[tuple[int, int]] | None = None) -> DataFrame:
+    encode = encoder(merges(spark, sf_dir) if pairs is None else pairs)
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return docs.select("doc_id", "source", "text", with_end_of_text(encode(F.col("text"))).alias("ids"))
 
@@ -202,10 +218,32 @@ def bpe_encode(spark, sf_dir):
     return coded.select("doc_id", F.size("ids").alias("n_tok"), digest(F.col("ids")).alias("ids_md5"))
 
 
+@query("bpe_train_large")
+def bpe_train_large(spark, sf_dir):
+    """A vocabulary beyond what chained SQL can follow; tests replay it merge by merge."""
+    path = vocabulary_file.fresh(spark, sf_dir)
+    vocabulary_file.keep(spark, sf_dir, path)
+    return bpe.read_vocabulary(spark, path)
+
+
+@query("vocabulary_stored", sql(f"select id, token_hex, id < 4 as special from v{MERGES}", f"v{MERGES}"))
+def vocabulary_stored(spark, sf_dir):
+    """The small vocabulary as the head of the stored one."""
+    head = bpe.read_vocabulary(spark, vocabulary_file(spark, sf_dir)).where(F.col("rank") < MERGES)
+    return bpe.vocabulary(spark, head).select("id", F.hex("token_bytes").alias("token_hex"), "special")
+
+
+@query("bpe_encode_large")
+def bpe_encode_large(spark, sf_dir):
+    coded = encode_documents(spark, sf_dir, large_merges(spark, sf_dir))
+    return coded.select("doc_id", F.size("ids").alias("n_tok"), digest(F.col("ids")).alias("ids_md5"))
+
+
 @query("bpe_roundtrip", sql("select doc_id, md5(text) as text_md5, true as same from documents"))
 def bpe_roundtrip(spark, sf_dir):
-    decode = decoder(bpe.token_bytes(merges(spark, sf_dir)))
-    back = encode_documents(spark, sf_dir).select("doc_id", "text", decode(F.col("ids")).alias("back"))
+    pairs = large_merges(spark, sf_dir)
+    decode = decoder(bpe.token_bytes(pairs))
+    back = encode_documents(spark, sf_dir, pairs).select("doc_id", "text", decode(F.col("ids")).alias("back"))
     return back.select("doc_id", F.md5("back").alias("text_md5"), (F.col("back") == F.col("text")).alias("same"))
 
 
