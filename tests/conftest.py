@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tokenloom.session import local_session, ship_package
+from tokenloom.session import clean_staging, local_session, ship_package
 
 
 @pytest.fixture(scope="session")
@@ -14,6 +14,7 @@ def spark():
     session.conf.set("spark.sql.shuffle.partitions", "8")
     ship_package(session)
     yield session
+    clean_staging(session)
     session.stop()
 
 
