@@ -15,6 +15,7 @@ from tokenloom.llm.chat_render import format_chats, read_turns, unescape
 from tokenloom.llm.line_dedup import dedup_lines
 from tokenloom.llm.ngram_join import jaccard_join
 from tokenloom.llm.positional_index import contamination
+from tokenloom.llm import quality
 from tokenloom.llm.quality import quality_rules
 from tokenloom.llm.secret_scan import scan_secrets
 from tokenloom.llm.sharding import shard_records
@@ -37,7 +38,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_quality_rules")
+OP1_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS (SELECT r, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM d),
+grams AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT unnest(range(5, 11)) AS n) WHERE len(w) >= n)),
+twice AS (SELECT r, n, i FROM grams QUALIFY count(*) OVER (PARTITION BY r, n, gram) > 1),
+inside AS (SELECT DISTINCT r, n, unnest(range(i, i + n)) AS i FROM twice),
+cover AS (
+  SELECT r, n, count(*) AS words, sum(length(word)) AS chars FROM inside JOIN w USING (r, i) GROUP BY r, n),
+wide AS (
+  SELECT r, max(words) FILTER (WHERE n = 8) AS repeated, @CHARS@ FROM cover GROUP BY r),
+l AS (
+  SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY i) AS nth
+  FROM (SELECT r, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT r, string_split(text, chr(10)) AS ls FROM d))
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+lines AS (
+  SELECT r, count(*) AS n, count(*) FILTER (WHERE nth > 1) AS copies, sum(length(line)) AS chars,
+    coalesce(sum(length(line)) FILTER (WHERE nth > 1), 0) AS copied FROM l GROUP BY r),
+m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(t.chars, 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(lines.copies, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated, 0) AS BIGINT) AS n_repeat_words,
+    @SHARES@,
+    coalesce(lines.copies, 0)::DOUBLE / greatest(coalesce(lines.n, 0), 1) AS dup_lines,
+    coalesce(lines.copied, 0)::DOUBLE / greatest(coalesce(lines.chars, 0), 1) AS dup_line_chars
+  FROM d LEFT JOIN (SELECT r, sum(length(word)) AS chars FROM w GROUP BY r) t USING (r)
+    LEFT JOIN wide USING (r) LEFT JOIN lines USING (r)),
+b AS (SELECT *, n_words < @LEAST@ OR 100 * n_repeat_words > @MOST@ * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND dup_lines <= @LINES@ AND dup_line_chars <= @LINECHARS@ AND @RULES@ AS kept FROM b
+""".replace("@CHARS@", ", ".join(f"max(chars) FILTER (WHERE n = {n}) AS c{n}" for n in quality.NGRAM_LIMITS)).replace(
+    "@SHARES@", ", ".join(f"coalesce(c{n}, 0)::DOUBLE / greatest(coalesce(t.chars, 0), 1) AS dup_{n}gram" for n in quality.NGRAM_LIMITS)
+).replace("@RULES@", " AND ".join(f"dup_{n}gram <= {v}" for n, v in quality.NGRAM_LIMITS.items())).replace(
+    "@LEAST@", str(quality.LEAST_WORDS)).replace("@MOST@", str(quality.MOST_REPEATED)).replace(
+    "@LINECHARS@", str(quality.LINE_CHARS_LIMIT)).replace("@LINES@", str(quality.LINE_LIMIT))
+
+
+@query("op1_quality_rules", OP1_SQL)
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -50,7 +90,32 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARDS = 8
 
 
-@query("op10_rendezvous_sharding")
+OP10_SQL = """
+WITH bids AS (
+  SELECT r, s, -1.0::DOUBLE / ln((('0x' || substr(md5(doc_id || '/' || s), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) AS score
+  FROM (SELECT row_number() OVER () AS r, doc_id FROM documents), (SELECT unnest(range(0, @GROWN@)) AS s)),
+placed AS (
+  SELECT r, arg_max(s, (score, -s)) FILTER (WHERE s < @SHARDS@)::INT AS shard, arg_max(s, (score, -s))::INT AS grown_shard
+  FROM bids GROUP BY r),
+-- The checksum's table: eight shifts of each byte.
+crc AS (
+  SELECT list(list_reduce(list_prepend(b, range(0, 8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS steps
+  FROM (SELECT unnest(range(0, 256)) AS b)),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) + 1 AS size,
+    list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)) AS bytes
+  FROM documents),
+sums AS (
+  SELECT r, doc_id, size::BIGINT AS size,
+    xor(list_reduce(bytes, lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM d, crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, grown_shard
+FROM sums JOIN placed USING (r)
+""".replace("@SHARDS@", str(SHARDS)).replace("@GROWN@", str(SHARDS + 1))
+
+
+@query("op10_rendezvous_sharding", OP10_SQL)
 def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shard_records(table(spark, sf_dir, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -83,7 +148,23 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ("rewrites_history", pa.bool_())]))
 
 
-@query("op6_chat_render")
+OP6_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '@CHECK@' UNION ALL SELECT -1, 1, 'assistant', '@CHECK@'),
+e AS (
+  SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS body,
+    replace(replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '%', '%25'), chr(10), '%0A') AS head FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|>' || head || chr(10) || body || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars,
+  false AS rewrites_history
+FROM e GROUP BY conv_id
+""".replace("@CHECK@", ESCAPE_CHECK)
+
+
+@query("op6_chat_render", OP6_SQL)
 def op6_chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     check = spark.createDataFrame([(-1, 0, "user", ESCAPE_CHECK), (-1, 1, "assistant", ESCAPE_CHECK)],
@@ -93,7 +174,20 @@ def op6_chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "formatted_chars long, rewrites_history boolean")
 
 
-@query("op9_zip_warc")
+OP9_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS keeper FROM p)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  -- Five hexadecimal digits are four of base 32.
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS NOT DISTINCT FROM keeper THEN NULL ELSE keeper END AS refers_to
+FROM m
+"""
+
+
+@query("op9_zip_warc", OP9_SQL)
 def op9_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = archive_round_trip(spark, table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -141,7 +235,27 @@ def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-@query("op2_ngram_jaccard")
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a, b, shared = x.n AND shared = y.n AS same
+  FROM (SELECT s.doc_id AS a, t.doc_id AS b, count(*) AS shared FROM s JOIN s t USING (shingle) WHERE s.doc_id <> t.doc_id GROUP BY ALL)
+  JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE shared * 5 >= 4 * (x.n + y.n - shared)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, least(d.doc_id, coalesce(c.low, d.doc_id)) AS class_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links,
+  CAST(coalesce(l.copies, 0) AS BIGINT) AS n_copies
+FROM d LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) c ON c.a = d.doc_id
+  LEFT JOIN (SELECT a, count(*) AS n, count(*) FILTER (WHERE same) AS copies FROM links GROUP BY a) l ON l.a = d.doc_id
+"""
+
+
+@query("op2_ngram_jaccard", OP2_SQL)
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
