@@ -81,7 +81,7 @@ ODD = ["", "a", " ", "  ", " a", "a ", "a  b", "a \n b", "a\n\nb c", "x<|endofte
 
 @given(st.lists(st.sampled_from([*ODD, "word", "\n", "'s ", "Übung "])).map("".join))
 def test_ids_are_the_tokenizers(text):
-    assert np.frombuffer(best_fit.encoder()(text), dtype="<u4").tolist() == _tokenizer().encode(text, add_special_tokens=False).ids
+    assert best_fit.encoder()(text).tolist() == _tokenizer().encode(text, add_special_tokens=False).ids
 
 
 @given(st.lists(st.integers(1, 64), max_size=200))

@@ -22,9 +22,9 @@ from __future__ import annotations
 
 import base64
 import bisect
-import re
+import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,72 +46,25 @@ SLACK = 8
 #: Bins a task passes to the next level, and tasks whose bins are joined there.
 PASSED = 64
 FAN_IN = 64
-#: Words whose ids a worker remembers; later ones are tokenised each time.
-REMEMBERED = 1_000_000
 _LEVEL, _TASK = 1 << 58, 1 << 28
-_BESIDE_SPACE = re.compile(r" \s|\s ")
 
 
-class Encoder:
-    """Byte-level BPE ids as little-endian 32-bit words.
+@functools.cache
+def encoder(vocabulary: str | None = None) -> Callable[[str], np.ndarray]:
+    """Text to byte-level BPE ids (unsigned 32-bit); made once per worker process.
 
-    A piece of the tokenizer's first split never goes on past a lone space: the
-    space opens the next piece. So a text whose spaces all stand alone is cut
-    before each of them, and each part has the ids it has in the whole text. Parts
-    are remembered; the new parts of a text are tokenised in one call, whose ids
-    fall apart again at tokens that open with a space. Any other text is
-    tokenised as it is.
+    The special string of the vocabulary inside a text is its one id, as the named tokenizer has it.
     """
+    import public_tokenizers
+    import tiktoken
 
-    def __init__(self, vocabulary: str | None = None):
-        import public_tokenizers
-        import tiktoken
-
-        path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._bpe = tiktoken.Encoding(
-            "byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-            special_tokens={SPECIAL: SPECIAL_ID},
-        )
-        self._opens = np.zeros(max(ranks.values()) + 2, dtype=bool)
-        self._opens[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
-        self._known: dict[str, bytes] = {}
-
-    def _direct(self, text: str) -> bytes:
-        ids = (self._bpe.encode(text, allowed_special="all") if SPECIAL in text
-               else self._bpe.encode_ordinary(text))
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of new parts, each opening with its only space."""
-        ids = np.array(self._bpe.encode_ordinary("".join(parts)), dtype="<u4")
-        cuts = (4 * np.flatnonzero(self._opens[ids])).tolist()
-        data = ids.tobytes()
-        return dict(zip(parts, map(data.__getitem__, map(slice, cuts, [*cuts[1:], len(data)])), strict=True))
-
-    def __call__(self, text: str) -> bytes:
-        if " " not in text or text[0] == " " or text[-1] == " " or SPECIAL in text or _BESIDE_SPACE.search(text):
-            return self._direct(text)
-        head, *rest = text.split(" ")
-        parts = [" " + p for p in rest]
-        out = list(map(self._known.get, parts))
-        if None in out:
-            new = self._learn(list(dict.fromkeys(p for p, ids in zip(parts, out, strict=True) if ids is None)))
-            out = [new[p] if ids is None else ids for p, ids in zip(parts, out, strict=True)]
-            if len(self._known) < REMEMBERED:
-                self._known.update((p, ids) for p, ids in new.items() if len(p) < 64)
-        return b"".join([self._direct(head), *out])
-
-
-_encoders: dict[str | None, Encoder] = {}
-
-
-def encoder(vocabulary: str | None = None) -> Encoder:
-    """One per worker process."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+    path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    bpe = tiktoken.Encoding(
+        "byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+        special_tokens={SPECIAL: SPECIAL_ID})
+    return lambda text: bpe.encode_to_numpy(text, allowed_special="all")
 
 
 def cut(length: int, width: int = WIDTH) -> list[tuple[int, int]]:
@@ -172,15 +125,15 @@ def pack_pieces(docs: DataFrame, vocabulary: str | None = None, width: int = WID
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Narrow rows of one scan task; its texts are gone once they are tokenised.
-        encode, end = encoder(vocabulary), np.array([END], dtype="<u4").tobytes()
+        encode = encoder(vocabulary)
         ids: list = []
         rows: list[tuple[int, int, int, int]] = []
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), byte_texts(batch), strict=True):
-                tokens = encode(text.decode()) + end
-                for k, (start, length) in enumerate(cut(len(tokens) // 4, width)):
+                tokens = np.append(encode(text.decode()), END).astype("<u4")
+                for k, (start, length) in enumerate(cut(len(tokens), width)):
                     ids.append(doc)
-                    rows.append((k, start, length, zlib.crc32(memoryview(tokens)[4 * start:4 * (start + length)])))
+                    rows.append((k, start, length, zlib.crc32(tokens[start:start + length])))
         if not rows:
             return
         table = np.array(rows, dtype=np.int64)
