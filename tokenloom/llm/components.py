@@ -11,13 +11,14 @@ from tokenloom.session import stage
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours go to the node's smallest neighbour (or itself)."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # Stored, so that the join below deals the edges anew: a node of very many edges can then be split.
+    least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours go to the smallest of them. Edges run from larger to smaller."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = stage(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
@@ -34,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
                 .where("a <> b").distinct(), "edges")
     mark = None
     while True:
-        now = stage(_small_star(_large_star(now)), "edges")
+        now = stage(_small_star(stage(_large_star(now), "edges")), "edges")
         row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (row[0], row[1]) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

@@ -78,12 +78,11 @@ def _runs(active: DataFrame, least: int) -> DataFrame:
 def _next_rank(ranks: DataFrame, k: int) -> DataFrame:
     """Ranks k + 1 from ranks k: (pos, d, line, rank) of suffixes that share their first 2**(k+1) lines."""
     later = ranks.select(F.col("d").alias("d2"), (F.col("line") - (1 << k)).alias("line2"), F.col("rank").alias("rank2"))
-    pairs = ranks.join(later, (F.col("d") == F.col("d2")) & (F.col("line") == F.col("line2"))).select(
-        "pos", "d", "line", "rank", "rank2")
-    shared = (
+    pairs = stage(ranks.join(later, (F.col("d") == F.col("d2")) & (F.col("line") == F.col("line2"))).select(
+        "pos", "d", "line", "rank", "rank2"), "rank_pairs")
+    shared = stage(
         pairs.groupBy("rank", "rank2").agg(F.min("pos").alias("new"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1").drop("n")
-    )
+        .where("n > 1").drop("n"), "shared_ranks")
     return pairs.join(shared, ["rank", "rank2"]).select("pos", "d", "line", F.col("new").alias("rank"))
 
 
@@ -104,10 +103,11 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.col("doc").eqNullSafe(F.col("home")) & (F.col("key") == F.col("home_key"))).drop("home", "home_key"), "active")
     runs = stage(_runs(active, min_words), "runs")
 
-    first = (
+    # Stored like the other tables that hold one row per class: the join then meets a table of known
+    # size, and does not lie on the shuffle that has gathered each class for counting.
+    first = stage(
         active.groupBy("h1", "h2").agg(F.min("pos").alias("rank"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1").drop("n")
-    )
+        .where("n > 1").drop("n"), "first_ranks")
     ranks = stage(active.join(first, ["h1", "h2"]).select("pos", "d", "line", "rank"), "ranks")
     top = runs.agg(F.max("k")).first()[0]
     named = None
@@ -122,7 +122,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     if named is None:
         return active.select("doc", "key", "line", F.lit(0).cast("long").alias("size")).limit(0)
     named = stage(named, "named_runs")
-    heads = named.groupBy("size", "r1", "r2").agg(F.min("pos").alias("head"))
+    heads = stage(named.groupBy("size", "r1", "r2").agg(F.min("pos").alias("head")), "heads")
     copies = named.join(heads, ["size", "r1", "r2"]).where("pos > head").select("pos", "size")
     return copies.join(active, "pos").select("doc", "key", "line", "size")
 
