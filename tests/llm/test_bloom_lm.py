@@ -61,7 +61,10 @@ def test_filter_holds_every_level():
     keys = np.arange(1, 5001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.random.default_rng(1).zipf(1.5, 5000).clip(1, 10 ** 6)
     bits, size = bloom_lm.build_filter(keys, counts)
-    part = bloom_lm.Slice([{"block": 0, "bits": bits.tobytes(), "n_bits": size, "words": b"", "counts": b""}], 0, 1, 63)
+    words = np.array([3, 8], dtype="<u8")
+    part = bloom_lm.Slice(0, 1, 63, {0: size}, {0: 2})
+    part.put({"block": 0, "bits": bits.tobytes(), "words": words.tobytes(), "counts": np.array([5, 1 << 40], dtype="<i8").tobytes()})
+    assert part.exact(np.array([8, 3, 4], dtype=np.uint64)).tolist() == [1 << 40, 5, 0]
     low = keys[keys < np.uint64(1 << 63)]
     want = bloom_lm.level_of(counts)[keys < np.uint64(1 << 63)]
     got = part.levels(low)

@@ -175,18 +175,30 @@ def train_blocks(texts: DataFrame, blocks: int) -> DataFrame:
 class Slice:
     """Some neighbouring blocks, ready to be probed."""
 
-    def __init__(self, rows: list, first: int, last: int, shift: int):
+    def __init__(self, first: int, last: int, shift: int, bits: dict[int, int], types: dict[int, int]):
+        """``bits`` and ``types``: the filter bits and the different words of each block there is."""
         self.first, self.last, self.shift = first, last, shift
-        rows = sorted(rows, key=lambda r: r["block"])
-        self.sizes = np.zeros(last - first, dtype=np.int64)
-        self.begins = np.zeros(last - first, dtype=np.int64)
-        at = 0
-        for r in rows:
-            self.sizes[r["block"] - first], self.begins[r["block"] - first] = r["n_bits"], at
-            at += len(r["bits"])
-        self.bits = np.frombuffer(b"".join(r["bits"] for r in rows), dtype=np.uint8)
-        self.words = np.frombuffer(b"".join(r["words"] for r in rows), dtype="<u8")
-        self.counts = np.frombuffer(b"".join(r["counts"] for r in rows), dtype="<i8")
+        self.sizes, n_bytes, n_types = (np.zeros(last - first, dtype=np.int64) for _ in range(3))
+        for b in bits:
+            self.sizes[b - first], n_bytes[b - first], n_types[b - first] = bits[b], (bits[b] + 7) // 8, types[b]
+        self.begins = np.cumsum(n_bytes) - n_bytes
+        self.word_begins = np.cumsum(n_types) - n_types
+        self.bits = np.empty(n_bytes.sum(), dtype=np.uint8)
+        self.words = np.empty(n_types.sum(), dtype=U64)
+        self.counts = np.empty(n_types.sum(), dtype=np.uint32)
+        self.large: dict[int, int] = {}  # counts that need more than 32 bits
+
+    def put(self, row) -> None:
+        """Copy one block's row to its place."""
+        b = row["block"] - self.first
+        bits = np.frombuffer(row["bits"], dtype=np.uint8)
+        self.bits[self.begins[b]:self.begins[b] + len(bits)] = bits
+        words, counts = np.frombuffer(row["words"], dtype="<u8"), np.frombuffer(row["counts"], dtype="<i8")
+        here = slice(self.word_begins[b], self.word_begins[b] + len(words))
+        self.words[here] = words
+        most = np.iinfo(np.uint32).max
+        self.counts[here] = np.minimum(counts, most)
+        self.large.update((int(words[i]), int(counts[i])) for i in np.flatnonzero(counts >= most))
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         """Places of the keys whose block is in this slice."""
@@ -214,7 +226,10 @@ class Slice:
         if not len(self.words):
             return np.zeros(len(words), dtype=np.int64)
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.counts[at], 0)
+        found = np.where(self.words[at] == words, self.counts[at], 0).astype(np.int64)
+        for word, count in self.large.items():
+            found[words == U64(word)] = count
+        return found
 
 
 def _look_up(part: Slice, tokens: np.ndarray, pairs: np.ndarray, state: np.ndarray) -> None:
@@ -257,7 +272,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count = _block_count(int(spark.conf.get("spark.sql.shuffle.partitions")))
     shift = 64 - (count.bit_length() - 1)
     blocks = stage(train_blocks(rows.where(~F.col("held_out")).select("text"), count), "blocks")
-    facts = blocks.select("block", "tokens", "types", (F.length("bits") + F.length("words") + F.length("counts")).alias("size"))
+    facts = blocks.select("block", "n_bits", "tokens", "types", (F.length("bits") + 12 * F.col("types")).alias("size"))
     sizes = {r["block"]: r for r in facts.collect()}  # one narrow row per block
     n_train, n_types = sum(r["tokens"] for r in sizes.values()), sum(r["types"] for r in sizes.values())
     cuts, held = [0], 0
@@ -312,7 +327,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return run
 
     for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        part = Slice(blocks.where(F.col("block").between(a, b - 1)).collect(), a, b, shift)  # at most most_bytes
+        own = [x for x in range(a, b) if x in sizes]
+        part = Slice(a, b, shift, {x: sizes[x]["n_bits"] for x in own}, {x: sizes[x]["types"] for x in own})
+        for row in blocks.where(F.col("block").between(a, b - 1)).toLocalIterator():  # at most most_bytes in all
+            part.put(row)
         last = i == len(cuts) - 2
         sent = spark.sparkContext.broadcast(part)
         schema = f"doc_id {kind}, held_out boolean, " + (result if last else "text string, state binary")
