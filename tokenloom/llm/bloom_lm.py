@@ -39,7 +39,9 @@ MU = 4.0
 #: Largest broadcast; a model above it is used in slices.
 MOST_BYTES = 256 << 20
 #: Tokens a task holds before it hands on its sums.
-HELD_TOKENS = 4_000_000
+HELD_TOKENS = 1_500_000
+#: Blocks whose sums leave a task in one Arrow batch.
+SENT_BLOCKS = 16
 END = U64(0x5851F42D4C957F2D)
 
 
@@ -94,21 +96,23 @@ def _add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], np.add.reduceat(c, first)
 
 
-def _partial_sums(words: list[np.ndarray], pairs: list[np.ndarray], shift: int) -> pa.RecordBatch:
-    rows: dict[str, list] = {"block": [], "kind": [], "keys": [], "counts": []}
-    for kind, parts in ((1, words), (2, pairs)):
-        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-        cuts = np.searchsorted(keys >> U64(shift), np.arange((1 << 64 - shift) + 1, dtype=U64))
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            here = slice(cuts[b], cuts[b + 1])
-            rows["block"].append(b)
-            rows["kind"].append(kind)
-            rows["keys"].append(keys[here].tobytes())
-            rows["counts"].append(counts[here].astype("<u4").tobytes())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rows["block"], pa.int32()), pa.array(rows["kind"], pa.int32()),
-         pa.array(rows["keys"], pa.binary()), pa.array(rows["counts"], pa.binary())],
-        names=["block", "kind", "keys", "counts"])
+def _partial_sums(kind: int, parts: list[np.ndarray], shift: int) -> Iterator[pa.RecordBatch]:
+    """One row per block: its different keys and how often each occurs in ``parts``, which is emptied."""
+    keys = np.concatenate(parts)
+    parts.clear()
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    counts = np.diff(np.append(first, len(keys))).astype("<u4")
+    keys = keys[first]
+    cuts = np.searchsorted(keys >> U64(shift), np.arange((1 << 64 - shift) + 1, dtype=U64))
+    blocks = np.flatnonzero(np.diff(cuts))
+    for at in range(0, len(blocks), SENT_BLOCKS):
+        own = blocks[at:at + SENT_BLOCKS].tolist()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own, pa.int32()), pa.array([kind] * len(own), pa.int32()),
+             pa.array([keys[cuts[b]:cuts[b + 1]].tobytes() for b in own], pa.binary()),
+             pa.array([counts[cuts[b]:cuts[b + 1]].tobytes() for b in own], pa.binary())],
+            names=["block", "kind", "keys", "counts"])
 
 
 def _places(keys: np.ndarray, level: int, probe: int, bits: np.ndarray | int) -> np.ndarray:
@@ -162,10 +166,12 @@ def train_blocks(texts: DataFrame, blocks: int) -> DataFrame:
                 pairs.append(pair_keys(before, tokens))
                 held += len(tokens)
                 if held >= HELD_TOKENS:
-                    yield _partial_sums(words, pairs, shift)
-                    words, pairs, held = [], [], 0
+                    yield from _partial_sums(1, words, shift)
+                    yield from _partial_sums(2, pairs, shift)
+                    held = 0
         if held:
-            yield _partial_sums(words, pairs, shift)
+            yield from _partial_sums(1, words, shift)
+            yield from _partial_sums(2, pairs, shift)
 
     sums = texts.mapInArrow(count, "block int, kind int, keys binary, counts binary")
     return sums.groupBy("block").applyInArrow(
