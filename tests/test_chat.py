@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.encode import PieceEncoder
 from tokenloom.functions.text import BYTE_BASE, IM_END, IM_START, PAD
 from tokenloom.operators import chat, packing, prefs
+from tokenloom.plans import QUERIES, chats as chat_plans
 
 MERGES = [(101, 102), (260, 103)]
 
@@ -118,3 +120,36 @@ def test_message_pairs(spark):
         (5, len(_encode(CHATS[1])[0]), len(_encode(CHATS[2])[0]))]
     got = {(r["conv_id"], r["side"]): (r["ids"], r["mask"]) for r in tokens.collect()}
     assert got == {(5, 0): _encode(CHATS[1]), (5, 1): _encode(CHATS[2])}
+
+
+def test_chat_queries_take_a_conversation_of_any_length(spark, tmp_path):
+    """One conversation, and the rows without conv_id, of more than 10,000 turns; the hot one's first reply is late."""
+    hot = [("user", f"abc {i}") for i in range(10_005)] + [("assistant", "abc"), ("user", "x")]
+    rows = [(c, t, r, s) for c, ms in {**CHATS, 4: hot}.items() for t, (r, s) in enumerate(ms)]
+    rows += [(5, 7, "user", "gap"), (5, 9, "assistant", "late"), (5, 11, "user", None)]
+    lost = [(None, t, "user", f"n{t}") for t in range(10_002)]
+    table = spark.createDataFrame(rows + lost + [(6, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    table.repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
+
+    said = {}
+    for c, _, r, s in rows + lost:
+        said[c] = said.get(c, "") + (f"<|im_start|>{r}\n{s}<|im_end|>\n" if s is not None else "")
+    prompt = "<|im_start|>assistant\n"
+    want = {c: tuple(hashlib.md5(x.encode()).hexdigest() for x in (s, s + prompt)) for c, s in said.items()}
+    want[6] = (None, None)
+    got = QUERIES["chat_render_whole"](spark, str(tmp_path)).collect()
+    assert {r["conv_id"]: (r["text_md5"], r["prompt_md5"]) for r in got} == want and len(got) == len(want)
+
+    chat_plans.merges.keep(spark, str(tmp_path), MERGES)
+    replies = {c: next(i for i, m in enumerate(ms) if m[0] == "assistant") for c, ms in {**CHATS, 4: hot}.items()}
+    ms = {**CHATS, 4: hot, 5: [("user", "gap"), ("assistant", "late")]}
+    replies[5] = 1
+    pairs, ring = {}, sorted(replies)
+    for i, c in enumerate(ring):
+        o = ring[(i + 1) % len(ring)]
+        own, other = ms[c][:replies[c] + 1], ms[c][:replies[c]] + [ms[o][replies[o]]]
+        pairs[c] = (len(_encode(own)[0]), len(_encode(other)[0]))
+    assert max(pairs[4]) > chat_plans.MAX_PAIR
+    got = QUERIES["pair_messages"](spark, str(tmp_path)).collect()
+    assert {r["conv_id"]: (r["chosen_len"], r["rejected_len"]) for r in got} == {
+        c: n for c, n in pairs.items() if max(n) <= chat_plans.MAX_PAIR}

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tokenloom.functions.encode import PieceEncoder, encoder
 from tokenloom.functions.text import IM_END, IM_START
@@ -104,11 +111,65 @@ def render_messages(messages: Column, prompt: bool = False) -> Column:
     return F.concat(text, F.lit("<|im_start|>assistant\n")) if prompt else text
 
 
+def _digest_runs(prompt: bytes, schema: pa.Schema):
+    """MD5 over the texts of each run of equal ``conv_id``; the open run goes on from batch to batch."""
+    def rows(done: list) -> pa.RecordBatch:
+        sums = [(None, None) if not any_text else (text.hexdigest(), _with(text, prompt)) for _, text, any_text in done]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([d[0] for d in done], schema.field(0).type), pa.array([a for a, _ in sums], pa.string()),
+             pa.array([b for _, b in sums], pa.string())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # conv_id, digest so far, whether there was any text
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            conv, said, done = batch.column(0), batch.column(1), []
+            codes = conv.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            begins = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            ends = np.r_[begins[1:], len(codes)]
+            for key, a, b in zip(conv.take(pa.array(begins)).to_pylist(), begins.tolist(), ends.tolist()):
+                if held is None or held[0] != key:
+                    if held is not None:
+                        done.append(held)
+                    held = [key, hashlib.md5(usedforsecurity=False), False]
+                for text in said.slice(a, b - a):
+                    if text.is_valid:
+                        held[1].update(text.as_buffer())
+                        held[2] = True
+            if done:
+                yield rows(done)
+        if held is not None:
+            yield rows([held])
+    return run
+
+
+def _with(text, more: bytes) -> str:
+    whole = text.copy()
+    whole.update(more)
+    return whole.hexdigest()
+
+
+def text_digests(turns: DataFrame) -> DataFrame:
+    """``conv_id, text_md5, prompt_md5`` of the chat text of each conversation, without and with the prompt for a reply.
+
+    Conversations of any length: their turns come sorted (Spark spills the sort)
+    and are digested row by row, so no task holds a whole text. A turn without
+    role or text adds nothing, as in :func:`render_messages`; with no turn left
+    both are null.
+    """
+    rows = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions(
+        "conv_id", F.col("turn").asc_nulls_last(), "role", "text")
+    out = StructType([turns.schema["conv_id"], StructField("text_md5", StringType()), StructField("prompt_md5", StringType())])
+    said = rows.select("conv_id", render_turn(F.col("role"), F.col("text")).cast("binary").alias("said"))
+    return said.mapInArrow(_digest_runs(b"<|im_start|>assistant\n", to_arrow_schema(out)), out)
+
+
 def messages(turns: DataFrame, max_turns: int) -> DataFrame:
     """Message lists from a turn table, for datasets of short conversations.
 
     A conversation of more than ``max_turns`` turns is an error rather than an
-    oversized group: use :func:`turn_offsets` for those.
+    oversized group: use :func:`text_digests` or :func:`turn_offsets` for those.
     """
     if turns.groupBy("conv_id").count().where(F.col("count") > max_turns).limit(1).count():
         raise ValueError(f"a conversation has more than {max_turns} turns")

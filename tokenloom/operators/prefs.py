@@ -69,6 +69,24 @@ def pair_tokens(pairs: DataFrame, offsets: DataFrame, max_len: int = 1024) -> Da
     )
 
 
+def pair_turns(pairs: DataFrame, turns: DataFrame) -> DataFrame:
+    """Turns of both sides of each pair, for :func:`encode_pair_turns`; no list of turns is built.
+
+    ``conv_id`` is twice the pair's, plus the side: 0 is chosen.
+    """
+    pairs = pairs.dropna(subset=["conv_id", "other_id"])
+    said = turns.select("conv_id", "turn", "role", "text")
+    prompt = pairs.select("conv_id", "reply_turn").join(said, "conv_id").where(F.col("turn") < F.col("reply_turn"))
+    both = prompt.select("conv_id", "turn", "role", "text", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    own = pairs.select("conv_id", F.col("reply_turn").alias("turn")).join(said, ["conv_id", "turn"]).select(
+        "conv_id", "turn", "role", "text", F.lit(0).alias("side"))
+    reply = said.select(F.col("conv_id").alias("other_id"), F.col("turn").alias("other_turn"), "role", "text")
+    other = pairs.join(reply, ["other_id", "other_turn"]).select(
+        "conv_id", F.col("reply_turn").alias("turn"), "role", "text", F.lit(1).alias("side"))
+    return both.select(*own.columns).unionByName(own).unionByName(other).select(
+        (F.col("conv_id").cast("long") * 2 + F.col("side")).alias("conv_id"), "turn", "role", "text")
+
+
 def encode_message_pairs(rows: DataFrame, merges: list[tuple[int, int]], pair_id: str = "pair_id",
                          max_len: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Pairs given as message lists ``chosen`` and ``rejected``, encoded and filtered.
@@ -82,7 +100,12 @@ def encode_message_pairs(rows: DataFrame, merges: list[tuple[int, int]], pair_id
             F.struct(F.lit(0).alias("side"), F.col("chosen").alias("said")),
             F.struct(F.lit(1).alias("side"), F.col("rejected").alias("said")))).alias("_s"),
     ).select((F.col("_pair") * 2 + F.col("_s.side")).alias("_row"), F.col("_s.said").alias("said"))
-    coded = stage(encode_turns(turns_of(sides, "_row", "said"), merges), "pair-turns")
+    return encode_pair_turns(turns_of(sides, "_row", "said"), merges, max_len)
+
+
+def encode_pair_turns(turns: DataFrame, merges: list[tuple[int, int]], max_len: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """As :func:`encode_message_pairs`, from the turns of both sides (``conv_id`` twice the pair's, plus the side)."""
+    coded = stage(encode_turns(turns, merges), "pair-turns")
     offsets = turn_offsets(coded)
     pair, side = F.floor(F.col("conv_id") / 2).cast("long"), (F.col("conv_id") % 2).cast("int")
 

@@ -14,7 +14,6 @@ from tokenloom.session import spread, stage
 
 #: How many conversations and pairs the two sampling queries take.
 CHAT_SAMPLE, PAIR_SAMPLE = 60, 40
-MAX_TURNS = 10_000
 BATCH, MICRO, EPOCHS = 8, 4, 2.5
 PREF_BATCH, PREF_MICRO, BETA = 8, 2, 0.1
 
@@ -64,10 +63,7 @@ def chat_render(spark, sf_dir):
     "'<|im_start|>assistant' || chr(10)) as prompt_md5 from conversations group by conv_id"))
 def chat_render_whole(spark, sf_dir):
     """The chat text of whole conversations, without and with the prompt for a reply."""
-    lists = chat.messages(turns(spark, sf_dir), MAX_TURNS)
-    said = F.col("messages")
-    return lists.select("conv_id", F.md5(chat.render_messages(said)).alias("text_md5"),
-                        F.md5(chat.render_messages(said, prompt=True)).alias("prompt_md5"))
+    return chat.text_digests(turns(spark, sf_dir))
 
 
 @query("chat_sample", sql(
@@ -190,17 +186,10 @@ def pair_sample(spark, sf_dir):
 
 @query("pair_messages", sql("select conv_id, chosen_len, rejected_len from kept_pairs", "kept_pairs"))
 def pair_messages(spark, sf_dir):
-    """The same pairs, handed over as message lists of both sides."""
-    lists = stage(chat.messages(turns(spark, sf_dir), MAX_TURNS), "messages")
-    pairs = prefs.reply_pairs(turns(spark, sf_dir))
-    other = lists.select(F.col("conv_id").alias("other_id"), F.col("messages").alias("theirs"))
-    both = pairs.join(lists, "conv_id").join(other, "other_id")
-    upto = lambda c, n: F.slice(c, F.lit(1), n.cast("int"))
-    rows = both.select(
-        "conv_id", upto(F.col("messages"), F.col("reply_turn") + 1).alias("chosen"),
-        F.concat(upto(F.col("messages"), F.col("reply_turn")),
-                 F.slice("theirs", (F.col("other_turn") + 1).cast("int"), F.lit(1))).alias("rejected"))
-    return prefs.encode_message_pairs(stage(rows, "pair-messages"), merges(spark, sf_dir), "conv_id", MAX_PAIR)[0].select(
+    """The same pairs, handed over as the turns of both sides and encoded from these."""
+    said = turns(spark, sf_dir)
+    sides = stage(prefs.pair_turns(prefs.reply_pairs(said), said), "pair-sides")
+    return prefs.encode_pair_turns(spread(sides), merges(spark, sf_dir), MAX_PAIR)[0].select(
         "conv_id", "chosen_len", "rejected_len")
 
 
