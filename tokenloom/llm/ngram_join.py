@@ -1,12 +1,12 @@
-"""N-gram Jaccard self-join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard self-join with banded MinHash and exact verification.
 
 A text is its set of five-word shingles (lower-case A-Z; a text of fewer words is
 one shingle). Texts with equal sets are one class, and one of them goes on.
 
-Forest: a signature gives each of ``TREES`` prefix tries a label of up to ``DEPTH``
-minima. Labels are matched by their prefix: from the whole label on, the matched prefix
-is shortened until a pair at the threshold shares a node of some trie with the
-target probability (``matched_length``). Nodes with two members or more connect
+Bands in place of a forest: a signature gives each of ``TREES`` trees the digest of its
+first ``matched_length`` minima, of ``DEPTH`` at most. That length follows from the threshold
+and the target probability alone, not from the data; longer labels aren't computed, as
+texts that share them share this prefix too. Nodes with two members or more connect
 their members in a star, and components of these stars hold all candidate pairs.
 
 Verification: only members of components read their texts again and send their
