@@ -18,7 +18,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_rows_equal_the_sql(spark, name):
     with duckdb.connect() as db:
-        for t in ("documents", "benchmark", "pages", "conversations"):
+        for t in ("documents", "benchmark", "pages", "conversations", "embeddings"):
             db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
         result = db.execute(ORACLES[name])
         names = [c[0] for c in result.description]

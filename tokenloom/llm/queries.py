@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.best_fit import pack_best_fit
 from tokenloom.llm.bloom_lm import score_documents
+from tokenloom.llm.bond_scan import hard_negatives, quantised
+from tokenloom.llm.byte_cnn import language_id
 from tokenloom.llm.chat_render import format_chats, read_turns, unescape
 from tokenloom.llm.line_dedup import dedup_lines
 from tokenloom.llm.ngram_join import jaccard_join
 from tokenloom.llm.positional_index import contamination
 from tokenloom.llm import quality
 from tokenloom.llm.quality import quality_rules
+from tokenloom.llm.ranked_search import ranked_search
 from tokenloom.llm.secret_scan import scan_secrets
 from tokenloom.llm.sharding import shard_records
 from tokenloom.llm.warc_zip import archive_round_trip
@@ -292,3 +295,63 @@ FROM documents d LEFT JOIN (
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_deleted").alias("n_deleted"), "text")
+
+
+OP11_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a, v b WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE own = label AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+  row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own
+  AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
+@query("op11_bond_scan", OP11_SQL)
+def op11_bond_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), quantised(F.col("embedding")).alias("embedding"))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+@query("op12_byte_cnn")
+def op12_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    return language_id(table(spark, sf_dir, "documents"), held_out)
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS N, sum(len(w))::BIGINT AS L FROM d),
+q AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, floor(1000 * ln((2 * N + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, c GROUP BY term, N),
+part AS (
+  SELECT r, term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(w) * N) // L))) AS part
+  FROM tf JOIN df USING (term) JOIN d USING (r), c WHERE term IN (SELECT term FROM q)),
+s AS (SELECT item_id, r, sum(times * part)::BIGINT AS score FROM q JOIN part USING (term) GROUP BY item_id, r)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM s JOIN d USING (r) WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+@query("op13_ranked_search", OP13_SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
