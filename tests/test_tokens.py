@@ -1,4 +1,5 @@
 import hashlib
+import heapq
 import random
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.encode import PieceEncoder, decoder, encoder, with_end_of_text
 from tokenloom.functions.text import BYTE_BASE, FIRST_MERGE, SPECIAL_TOKENS, SPLIT_PATTERN, byte_ids, pieces
-from tokenloom.operators import bpe
+from tokenloom.operators import bpe, bpe_draft
 from tokenloom.plans import QUERIES, corpus
 
 SAMPLES = [
@@ -124,6 +125,88 @@ def test_large_training_query_equals_one_merge_at_a_time(spark):
         assert coded[r["doc_id"]]["ids_md5"] == hashlib.md5("".join(f"{i}," for i in out).encode()).hexdigest()
 
 
+def _replay(pieces_counted, room):
+    """One merge at a time with a heap over the counts of all pairs, to the end of pairs that occur twice."""
+    words = [([b + BYTE_BASE for b in piece.encode()], n) for piece, n in pieces_counted]
+    count, where, out = Counter(), defaultdict(set), []
+    for w, (ids, n) in enumerate(words):
+        for pair in zip(ids, ids[1:]):
+            count[pair] += n
+            where[pair].add(w)
+    heap = [(-n, pair) for pair, n in count.items()]
+    heapq.heapify(heap)
+    while heap and len(out) < room:
+        low, best = heapq.heappop(heap)
+        if count[best] != -low:
+            if count[best] >= 2:
+                heapq.heappush(heap, (-count[best], best))
+            continue
+        if -low < 2:
+            break
+        changed = set()
+        for w in where.pop(best):
+            ids, n = words[w]
+            for pair in zip(ids, ids[1:]):
+                count[pair] -= n
+            ids = _merge_once(ids, best, FIRST_MERGE + len(out))
+            words[w] = (ids, n)
+            for pair in zip(ids, ids[1:]):
+                count[pair] += n
+                where[pair].add(w)
+                changed.add(pair)
+        count[best] = 0
+        for pair in changed:
+            heapq.heappush(heap, (-count[pair], pair))
+        out.append(best)
+    return out
+
+
+def test_full_training_equals_one_merge_at_a_time(spark):
+    """Every merge there is at the smallest size, from the query, and ids encoded with them."""
+    sf = "/root/testdata/sf0.001"
+    texts = corpus.mixing.taken_rows(corpus.byte_sources(spark, sf), corpus.byte_mix(spark, sf), "doc_id")
+    want = _replay([(r[0], r[1]) for r in bpe.piece_counts(texts).collect()], corpus.FULL - FIRST_MERGE)
+    rows = QUERIES["bpe_train_full"](spark, sf).orderBy("rank").collect()
+    assert len(want) > 10_000
+    assert [(r["rank"], r["left"], r["right"], r["new_id"]) for r in rows] == [
+        (i, a, b, FIRST_MERGE + i) for i, (a, b) in enumerate(want)]
+    words = bpe.token_bytes(want)
+    found = {r["id"]: r for r in QUERIES["vocabulary_full"](spark, sf).collect()}
+    assert len(found) == FIRST_MERGE + len(want)
+    assert all(found[i]["token_hex"] == w.hex().upper() for i, w in enumerate(words) if w is not None)
+    coded = {r["doc_id"]: r for r in QUERIES["bpe_encode_full"](spark, sf).collect()}
+    rank, pattern, known = {p: i for i, p in enumerate(want)}, regex.compile(SPLIT_PATTERN), {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        out = []
+        for m in pattern.finditer(r["text"]):
+            if m.group(0) not in known:
+                ids = [b + BYTE_BASE for b in m.group(0).encode()]
+                while (best := min((rank[p] for p in zip(ids, ids[1:]) if p in rank), default=None)) is not None:
+                    ids = _merge_once(ids, want[best], FIRST_MERGE + best)
+                known[m.group(0)] = ids
+            out += known[m.group(0)]
+        assert coded[r["doc_id"]]["ids_md5"] == hashlib.md5("".join(f"{i}," for i in [*out, 0]).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("head,kept,longest", [(1000, 1 << 20, 100), (7, 1 << 20, 100), (1, 12, 8), (0, 1000, 3)])
+def test_drafted_training_is_exact_whatever_the_draft_is_worth(spark, head, kept, longest):
+    """Few pieces to draft from, few pairs kept and short drafts: more rounds, the same merges."""
+    rng = random.Random(head)
+    counts = list({"".join(rng.choices("abcd", k=rng.randint(1, 9))): rng.randint(1, 30) for _ in range(60)}.items())
+    got = bpe.merge_list(bpe_draft.train_drafted(spark, spark.createDataFrame(counts, "piece string, n long"), FIRST_MERGE + 40,
+                                                 head_size=head, kept=kept, longest=longest))
+    assert got == _train(counts, 40)
+
+
+def test_drafted_training_of_repeats_and_nothing(spark):
+    counts = [("a" * 9, 5), ("b" * 4, 5), ("ab" * 3, 2), ("x", 9), ("é" * 3, 2)]
+    df = spark.createDataFrame(counts, "piece string, n long")
+    assert bpe.merge_list(bpe_draft.train_drafted(spark, df, FIRST_MERGE + 50)) == _train(counts, 50)
+    rare = spark.createDataFrame([("abc", 1), ("xyz", 1)], "piece string, n long")
+    assert bpe.merge_list(bpe_draft.train_drafted(spark, rare, FIRST_MERGE + 10)) == []
+    assert bpe.merge_list(bpe_draft.train_drafted(spark, rare.limit(0), FIRST_MERGE + 10)) == []
+
+
 def test_vocabulary_file_with_gaps_is_refused(spark, tmp_path):
     merges = spark.createDataFrame([(0, 101, 102, 260), (1, 260, 101, 261)], bpe.MERGES_SCHEMA)
     bpe.write_vocabulary(merges, str(tmp_path / "v"))

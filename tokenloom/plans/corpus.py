@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.encode import decoder, encoder, with_end_of_text
 from tokenloom.functions.text import FIRST_MERGE, long_enough
-from tokenloom.operators import bpe, carving, mixing, ordering
+from tokenloom.operators import bpe, bpe_draft, carving, mixing, ordering
 from tokenloom.operators.filters import score_at_least
 from tokenloom.plans.registry import artifact, digest, query, rounded, table
 from tokenloom.plans.sqltext import MERGES, PER_BATCH, SHARD, SPLIT, VAL, ids_text, sql
@@ -95,6 +95,23 @@ def large_merges(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
     return bpe.merge_list(bpe.read_vocabulary(spark, vocabulary_file(spark, sf_dir)))
 
 
+#: The whole vocabulary, special tokens and bytes included.
+FULL = 32_768
+
+
+@artifact
+def full_vocabulary_file(spark: SparkSession, sf_dir: str) -> str:
+    """Where the whole vocabulary is stored: as many merges as fit, or as there are pairs that occur twice."""
+    texts = mixing.taken_rows(byte_sources(spark, sf_dir), byte_mix(spark, sf_dir), "doc_id")
+    path = staging_path(spark, "full-vocabulary")
+    bpe.write_vocabulary(bpe_draft.train_drafted(spark, bpe.piece_counts(texts), FULL), path)
+    return path
+
+
+def full_merges(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
+    return bpe.merge_list(bpe.read_vocabulary(spark, full_vocabulary_file(spark, sf_dir)))
+
+
 def encode_documents(spark: SparkSession, sf_dir: str, pairs: list[tuple[int, int]] | None = None) -> DataFrame:
     encode = encoder(merges(spark, sf_dir) if pairs is None else pairs)
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -239,9 +256,31 @@ def bpe_encode_large(spark, sf_dir):
     return coded.select("doc_id", F.size("ids").alias("n_tok"), digest(F.col("ids")).alias("ids_md5"))
 
 
+@query("bpe_train_full")
+def bpe_train_full(spark, sf_dir):
+    """The whole vocabulary of 32,768 tokens; tests replay it merge by merge."""
+    path = full_vocabulary_file.fresh(spark, sf_dir)
+    full_vocabulary_file.keep(spark, sf_dir, path)
+    return bpe.read_vocabulary(spark, path)
+
+
+@query("vocabulary_full")
+def vocabulary_full(spark, sf_dir):
+    """All tokens of the whole vocabulary with the bytes they stand for."""
+    stored = bpe.read_vocabulary(spark, full_vocabulary_file(spark, sf_dir))
+    return bpe.vocabulary(spark, stored).select("id", F.hex("token_bytes").alias("token_hex"), "special")
+
+
+@query("bpe_encode_full")
+def bpe_encode_full(spark, sf_dir):
+    coded = encode_documents(spark, sf_dir, full_merges(spark, sf_dir))
+    return coded.select("doc_id", F.size("ids").alias("n_tok"), digest(F.col("ids")).alias("ids_md5"))
+
+
 @query("bpe_roundtrip", sql("select doc_id, md5(text) as text_md5, true as same from documents"))
 def bpe_roundtrip(spark, sf_dir):
-    pairs = large_merges(spark, sf_dir)
+    """Every text to ids of the whole vocabulary and back."""
+    pairs = full_merges(spark, sf_dir)
     decode = decoder(bpe.token_bytes(pairs))
     back = encode_documents(spark, sf_dir, pairs).select("doc_id", "text", decode(F.col("ids")).alias("back"))
     return back.select("doc_id", F.md5("back").alias("text_md5"), (F.col("back") == F.col("text")).alias("same"))
