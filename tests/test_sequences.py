@@ -47,11 +47,11 @@ def test_shift_and_resume(spark):
     # After 41 batches the loader stands in shard 1 after ten of its batches.
     at = sequences.cursor_of(batches, {"shard_idx": 1, "pos": 10 * 32, "epoch": 0}, 2, 16)
     assert at == 41
-    rest = {(r["read"], r["row"]): r["x"] for r in sequences.resume_from(rows, 93, at).collect()}
+    rest = {(r["read"], r["row"]): r["x"] for r in sequences.resume_from(spark, rows, 93, at).collect()}
     assert rest == {k: r["x"] for k, r in by.items() if k[0] >= 41}
     # In a later epoch the same batches come again, and reads go past its end.
     later = {(r["read"], r["epoch"], r["batch_id"], r["row"]): r["x"]
-             for r in sequences.resume_from(rows, 93, 93 + 90, 6).collect()}
+             for r in sequences.resume_from(spark, rows, 93, 93 + 90, 6).collect()}
     assert later == {(n, n // 93, n % 93, r): by[n % 93, r]["x"] for n in range(183, 189) for r in (0, 1)}
     assert sequences.cursor_of(batches, {"shard_idx": 4, "pos": 0, "epoch": 2}, 2, 16) == 2 * 93 + 31
 
@@ -69,6 +69,124 @@ def test_sequences_from_files_equal_the_loop(spark, tmp_path, options):
         assert r["in_shard"] == (r["batch_id"] - 31 * r["shard_idx"])
 
 
+class _Counting:
+    """A file system that notes the ranges read from its files."""
+
+    def __init__(self, system, read):
+        self.system, self.read = system, read
+
+    def __getattr__(self, name):
+        return getattr(self.system, name)
+
+    def open_input_file(self, path):
+        system, read = self.system, self.read
+
+        class File:
+            def __enter__(self):
+                self.f = system.open_input_file(path)
+                return self
+
+            def __exit__(self, *_):
+                self.f.close()
+
+            def read_at(self, n, at):
+                read.append((path, at, n))
+                return self.f.read_at(n, at)
+
+        return File()
+
+
+def _bytes_read(monkeypatch, reader):
+    """Rows, and ranges read, of a reader in this process."""
+    read = []
+    plain = shardfiles.file_system
+    with monkeypatch.context() as m:
+        m.setattr(shardfiles, "file_system", lambda uri: (_Counting(plain(uri)[0], read), plain(uri)[1]))
+        rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    return rows, read
+
+
+def test_only_the_bytes_of_a_range_are_read(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "shards")
+    shardfiles.write_shards(_shards(spark, 3, 1000).unionByName(_shards(spark, 1, 100).withColumn("split", F.lit("val"))), path)
+    want = _stream(3, 1000, 2, 16)
+    for options, batches, ranges in [
+        ({"firstbatch": 40, "endbatch": 44}, range(40, 44), 1), ({"firstbatch": 29, "endbatch": 34}, range(29, 34), 2),
+        ({"firstshard": 1, "endshard": 2}, range(31, 62), 1), ({"firstshard": 1, "endshard": 2, "firstbatch": 60}, (60, 61), 1),
+        ({"firstbatch": 93}, (), 0), ({"firstbatch": 5, "endbatch": 5}, (), 0), ({}, range(93), 3),
+    ]:
+        reader = shardfiles.SequenceReader({"path": "file:" + path, "batchseqs": "2", "seqlen": "16", "pattern": "train_*", **options})
+        rows, read = _bytes_read(monkeypatch, reader)
+        assert len(read) == ranges and sum(n for _, _, n in read) == len(batches) * 64 + 2 * ranges
+        assert sorted((r["batch_id"], r["row"]) for r in rows) == [(b, i) for b in batches for i in (0, 1)]
+        assert all(r["ids"] == want[r["batch_id"]][r["row"]] for r in rows)
+    rows, read = _bytes_read(monkeypatch, shardfiles.ShardReader({"path": "file:" + path, "pattern": "train_*", "firstshard": 2}))
+    assert read == [(path + "/train_00002.bin", 0, 2000)] and {r["shard_idx"] for r in rows} == {2}
+
+
+def test_tasks_follow_the_cores(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "shards")
+    shardfiles.write_shards(_shards(spark, 3, 1000), path)
+    assert shardfiles.read_sequences(spark, path, 2, 16).rdd.getNumPartitions() == 1
+    many = shardfiles.read_sequences(spark, path, 2, 16, perTask=64)
+    assert many.rdd.getNumPartitions() > 40 and many.count() == 2 * 93
+    monkeypatch.setattr(shardfiles, "LEAST_PER_TASK", 100)
+    reader = shardfiles.SequenceReader({"path": "file:" + path, "batchseqs": "2", "seqlen": "16", "tasks": "8"})
+    assert 8 <= len(reader.partitions()) <= 11
+    # Two uses of one table don't disturb each other.
+    both = many.where("batch_id < 3").unionByName(many.where("batch_id > 90"))
+    assert sorted({r["batch_id"] for r in both.collect()}) == [0, 1, 2, 91, 92]
+
+
+def test_reads_over_the_end_of_an_epoch_are_two_ranges(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    shardfiles.write_shards(_shards(spark, 3, 1000), path)
+    windows = shardfiles.read_sequences(spark, path, 2, 16, "train_*.bin")
+    read = lambda a, e: shardfiles.read_sequences(spark, path, 2, 16, firstBatch=a, endBatch=e)
+    for first, reads in ((90, 6), (10, 4), (5, 93), (186, 1)):
+        for source in (windows, read):
+            own = sequences.batches_between(source, first, reads, 93)
+            assert {r["batch_id"] for r in own.select("batch_id").collect()} == {(first + i) % 93 for i in range(reads)}
+    batches = sequences.shard_batches(sequences.shard_lengths(_shards(spark, 3, 1000)), 2, 16)
+    columns = ["split", "shard_idx", "batch_id", "in_shard", "row"]
+    assert sorted(sequences.batch_rows(batches, 2).select(columns).collect()) == sorted(windows.select(columns).collect())
+
+
+def test_endless_stream_keeps_its_place(spark, tmp_path):
+    from tokenloom.streaming import ingest
+
+    path, out, place = (str(tmp_path / n) for n in ("shards", "out", "checkpoint"))
+    shardfiles.write_shards(_shards(spark, 3, 1000), path)
+    want, seen = _stream(3, 1000, 2, 16), 0
+    for until in (95, 95, 130, 300):
+        stream = shardfiles.stream_sequences(spark, path, 2, 16, until, {"shard_idx": 1, "pos": 320, "epoch": 0})
+        ingest.append_batches(stream, lambda b: b, out, place).awaitTermination()
+        rows = spark.read.parquet(out).collect()
+        assert sorted((r["read"], r["row"]) for r in rows) == [(n, i) for n in range(41, until) for i in (0, 1)]
+        assert all(r["ids"] == want[r["batch_id"]][r["row"]] and (r["epoch"], r["batch_id"]) == divmod(r["read"], 93) for r in rows)
+        assert len(rows) > seen or until == 95
+        seen = len(rows)
+
+
+def test_job_commit_lists_whole_shards_alone(spark, tmp_path):
+    path, chunks = str(tmp_path / "shards"), _shards(spark, 4, 300)
+    gap = chunks.where("not (shard_idx = 3 and shard_pos = 70)")
+    assert shardfiles.committed_shards(spark, path).count() == 0
+    with pytest.raises(Exception, match="not whole"):
+        shardfiles.write_shards(gap, path, commit="job")
+    assert not list((tmp_path / "shards").glob("*.bin")) and shardfiles.committed_shards(spark, path).count() == 0
+    shardfiles.write_shards(chunks.where("shard_idx in (0, 2)"), path, commit="job")
+    done = shardfiles.committed_shards(spark, path)
+    assert sorted((r["shard_idx"], r["name"], r["tokens"]) for r in done.collect()) == [(0, "train_00000.bin", 300), (2, "train_00002.bin", 300)]
+    shardfiles.write_shards(carving.unwritten(chunks, done), path, commit="job")
+    both = shardfiles.committed_shards(spark, path).join(shardfiles.shard_checksums(spark, path), "name").collect()
+    assert sorted(r["shard_idx"] for r in both) == [0, 1, 2, 3]
+    assert all(r["crc32"] == r["found"] and r["bytes"] == 600 for r in both)
+    (tmp_path / "shards" / "train_00001.bin").write_bytes(b"x" * 600)
+    bad = shardfiles.committed_shards(spark, path).join(shardfiles.shard_checksums(spark, path), "name").where("crc32 <> found")
+    assert [r["shard_idx"] for r in bad.collect()] == [1]
+
+
 def test_wrapping_and_val_batches(spark):
     reads = {r["read"]: (r["epoch"], r["batch_id"]) for r in sequences.cursor_batches(spark, 60, 45, 40).collect()}
     assert reads[44] == (0, 44) and reads[45] == (1, 0) and reads[99] == (2, 9)
@@ -76,7 +194,7 @@ def test_wrapping_and_val_batches(spark):
     chunks = _shards(spark, 1, 100).withColumn("split", F.lit("val"))
     batches = sequences.shard_batches(sequences.shard_lengths(chunks), 2, 16)
     windows = sequences.shift_windows(chunks, batches, 2, 16)
-    got = sequences.val_batches(windows, sequences.stream_batches(batches)["val"], 32 * 5, 2, 16)
+    got = sequences.val_batches(spark, windows, sequences.stream_batches(batches)["val"], 32 * 5, 2, 16)
     assert sorted((r["read"], r["batch_id"], r["row"]) for r in got.collect()) == [(i, i % 3, r) for i in range(5) for r in (0, 1)]
     with pytest.raises(ValueError):
         sequences.cursor_batches(spark, 1, 0)

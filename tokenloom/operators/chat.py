@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,12 @@ def _ints(values) -> Column:
     return F.array(*[F.lit(int(v)) for v in values]).cast("array<int>")
 
 
-def encode_turns(turns: DataFrame, merges: list[tuple[int, int]]) -> DataFrame:
-    """Per turn: ``conv_id, turn, ids, mask``.
+#: Columns that make up a conversation; pairs add the side.
+CONVERSATION = ("conv_id",)
+
+
+def encode_turns(turns: DataFrame, merges: list[tuple[int, int]], keys: Sequence[str] = CONVERSATION) -> DataFrame:
+    """Per turn: ``conv_id, turn, ids, mask`` (or the columns ``keys`` in place of ``conv_id``).
 
     The header, the content and the line end are encoded apart, so no merge
     crosses them. The mask is 1 on the content and end mark of assistant turns.
@@ -33,13 +37,13 @@ def encode_turns(turns: DataFrame, merges: list[tuple[int, int]]) -> DataFrame:
     encode = encoder(merges)
     newline = PieceEncoder(merges).encode_many([b"\n"])[0]
     coded = turns.select(
-        "conv_id", "turn", "role",
+        *keys, "turn", "role",
         encode(F.concat("role", F.lit("\n"))).alias("_role"),
         encode(F.col("text")).alias("_text"),
     )
     train = F.when(F.col("role") == ASSISTANT, F.lit(1)).otherwise(F.lit(0))
     return coded.select(
-        "conv_id", "turn", "role",
+        *keys, "turn", "role",
         F.concat(_ints([IM_START]), "_role", "_text", _ints([IM_END]), _ints(newline)).alias("ids"),
         F.concat(
             F.array_repeat(F.lit(0), F.size("_role") + 1),
@@ -63,38 +67,38 @@ def with_prompt(assembled: DataFrame, merges: list[tuple[int, int]]) -> DataFram
         "ids", F.concat("ids", prompt))
 
 
-def turn_offsets(encoded: DataFrame) -> DataFrame:
+def turn_offsets(encoded: DataFrame, keys: Sequence[str] = CONVERSATION) -> DataFrame:
     """Adds ``n_tok`` and ``offset``, the token position of a turn in its conversation.
 
     Works for a conversation of any length: its turns are spread over tasks.
     ``encoded`` should be a stored table; only sizes go through the ordering.
     """
-    sizes = encoded.select("conv_id", "turn", F.size("ids").cast("long").alias("n_tok"))
-    placed = running_totals(sizes, ["turn"], {"n_tok": "offset"}, group_by=["conv_id"], label="turns")
-    return encoded.join(placed, ["conv_id", "turn"])
+    sizes = encoded.select(*keys, "turn", F.size("ids").cast("long").alias("n_tok"))
+    placed = running_totals(sizes, ["turn"], {"n_tok": "offset"}, group_by=keys, label="turns")
+    return encoded.join(placed, [*keys, "turn"])
 
 
-def conversation_sizes(offsets: DataFrame) -> DataFrame:
+def conversation_sizes(offsets: DataFrame, keys: Sequence[str] = CONVERSATION) -> DataFrame:
     """Token and supervised-token totals per conversation."""
-    return offsets.groupBy("conv_id").agg(
+    return offsets.groupBy(*keys).agg(
         F.sum("n_tok").cast("long").alias("n_tok"),
         F.sum(F.aggregate("mask", F.lit(0), lambda a, m: a + m)).cast("long").alias("supervised"),
     )
 
 
-def assemble(offsets: DataFrame, width: int) -> DataFrame:
+def assemble(offsets: DataFrame, width: int, keys: Sequence[str] = CONVERSATION) -> DataFrame:
     """``conv_id, ids, mask`` of each conversation, truncated to ``width`` tokens.
 
     Turns past the width are left out before grouping, which bounds each group.
     """
     left = (F.lit(width) - F.col("offset")).cast("int")
     parts = offsets.where(F.col("offset") < width).select(
-        "conv_id",
+        *keys,
         F.struct("offset", F.slice("ids", F.lit(1), left).alias("ids"),
                  F.slice("mask", F.lit(1), left).alias("mask")).alias("part"),
     )
-    return parts.groupBy("conv_id").agg(F.array_sort(F.collect_list("part")).alias("parts")).select(
-        "conv_id",
+    return parts.groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("parts")).select(
+        *keys,
         F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"),
         F.flatten(F.transform("parts", lambda p: p["mask"])).alias("mask"),
     )

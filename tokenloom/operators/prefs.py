@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.text import PAD
 from tokenloom.operators.chat import (
-    ASSISTANT, assemble, conversation_sizes, encode_turns, turn_offsets, turns_of,
+    ASSISTANT, assemble, conversation_sizes, encode_turns, turn_offsets,
 )
 from tokenloom.operators.filters import short_pairs
 from tokenloom.operators.ordering import running_totals
@@ -70,10 +70,7 @@ def pair_tokens(pairs: DataFrame, offsets: DataFrame, max_len: int = 1024) -> Da
 
 
 def pair_turns(pairs: DataFrame, turns: DataFrame) -> DataFrame:
-    """Turns of both sides of each pair, for :func:`encode_pair_turns`; no list of turns is built.
-
-    ``conv_id`` is twice the pair's, plus the side: 0 is chosen.
-    """
+    """Turns of both sides of each pair (side 0 is chosen), for :func:`encode_pair_turns`; no list of turns is built."""
     pairs = pairs.dropna(subset=["conv_id", "other_id"])
     said = turns.select("conv_id", "turn", "role", "text")
     prompt = pairs.select("conv_id", "reply_turn").join(said, "conv_id").where(F.col("turn") < F.col("reply_turn"))
@@ -83,8 +80,7 @@ def pair_turns(pairs: DataFrame, turns: DataFrame) -> DataFrame:
     reply = said.select(F.col("conv_id").alias("other_id"), F.col("turn").alias("other_turn"), "role", "text")
     other = pairs.join(reply, ["other_id", "other_turn"]).select(
         "conv_id", F.col("reply_turn").alias("turn"), "role", "text", F.lit(1).alias("side"))
-    return both.select(*own.columns).unionByName(own).unionByName(other).select(
-        (F.col("conv_id").cast("long") * 2 + F.col("side")).alias("conv_id"), "turn", "role", "text")
+    return both.select(*own.columns).unionByName(own).unionByName(other)
 
 
 def encode_message_pairs(rows: DataFrame, merges: list[tuple[int, int]], pair_id: str = "pair_id",
@@ -95,28 +91,35 @@ def encode_message_pairs(rows: DataFrame, merges: list[tuple[int, int]], pair_id
     token rows ``conv_id, side, ids, mask``, ready for a plan and :func:`collate`.
     """
     sides = rows.select(
-        F.col(pair_id).cast("long").alias("_pair"),
+        F.col(pair_id).alias("conv_id"),
         F.explode(F.array(
             F.struct(F.lit(0).alias("side"), F.col("chosen").alias("said")),
             F.struct(F.lit(1).alias("side"), F.col("rejected").alias("said")))).alias("_s"),
-    ).select((F.col("_pair") * 2 + F.col("_s.side")).alias("_row"), F.col("_s.said").alias("said"))
-    return encode_pair_turns(turns_of(sides, "_row", "said"), merges, max_len)
+    ).select("conv_id", "_s.side", F.posexplode("_s.said").alias("turn", "_m"))
+    return encode_pair_turns(
+        sides.select("conv_id", "side", F.col("turn").cast("long").alias("turn"), "_m.role", F.col("_m.content").alias("text")),
+        merges, max_len)
+
+
+#: A side of a pair is a conversation of its own.
+SIDE = ("conv_id", "side")
 
 
 def encode_pair_turns(turns: DataFrame, merges: list[tuple[int, int]], max_len: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """As :func:`encode_message_pairs`, from the turns of both sides (``conv_id`` twice the pair's, plus the side)."""
-    coded = stage(encode_turns(turns, merges), "pair-turns")
-    offsets = turn_offsets(coded)
-    pair, side = F.floor(F.col("conv_id") / 2).cast("long"), (F.col("conv_id") % 2).cast("int")
+    """As :func:`encode_message_pairs`, from the turns ``conv_id, side, turn, role, text`` of both sides.
+
+    Ids of any type and value; pairs with a null id take no part. A side without turns has length 0.
+    """
+    coded = stage(encode_turns(turns.where(F.col("conv_id").isNotNull()), merges, SIDE), "pair-turns")
+    offsets = turn_offsets(coded, SIDE)
 
     def length(of: int) -> Column:
         return F.coalesce(F.max(F.when(F.col("side") == of, F.col("n_tok"))), F.lit(0))
 
-    sizes = conversation_sizes(offsets).select(pair.alias("conv_id"), side.alias("side"), "n_tok")
     kept = short_pairs(
-        sizes.groupBy("conv_id").agg(length(0).alias("chosen_len"), length(1).alias("rejected_len")),
+        conversation_sizes(offsets, SIDE).groupBy("conv_id").agg(length(0).alias("chosen_len"), length(1).alias("rejected_len")),
         "chosen_len", "rejected_len", max_len)
-    tokens = assemble(offsets, max_len).select(pair.alias("conv_id"), side.alias("side"), "ids", "mask")
+    tokens = assemble(offsets, max_len, SIDE)
     return kept, tokens.join(kept.select("conv_id"), "conv_id", "left_semi")
 
 

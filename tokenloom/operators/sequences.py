@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,15 +76,45 @@ def targets(ids: Column, seq_len: int) -> Column:
     return F.slice(ids, 2, seq_len)
 
 
-def resume_from(windows: DataFrame, batches_per_epoch: int, cursor: int, reads: int | None = None) -> DataFrame:
+def resume_from(spark: SparkSession, windows: Windows, batches_per_epoch: int, cursor: int,
+                reads: int | None = None) -> DataFrame:
     """What an endless stream reads after a restart: ``read, epoch`` and the rows of the batch.
 
     ``cursor`` may lie in any epoch; by default the reads go on to the end of that epoch.
     """
     if reads is None:
         reads = batches_per_epoch - cursor % batches_per_epoch
-    at = cursor_batches(windows.sparkSession, reads, batches_per_epoch, cursor)
-    return at.join(windows, "batch_id")
+    at = cursor_batches(spark, reads, batches_per_epoch, cursor)
+    return at.join(batches_between(windows, cursor, reads, batches_per_epoch), "batch_id")
+
+
+#: Windows as a table, or as what reads the batches first … end-1 of a source.
+Windows = DataFrame | Callable[[int, int], DataFrame]
+
+
+def batches_between(windows: Windows, first: int, reads: int, batches_per_epoch: int) -> DataFrame:
+    """The windows whose batches some of the reads ``first … first+reads-1`` want."""
+    low = first % batches_per_epoch
+    if reads >= batches_per_epoch:
+        ranges = [(0, batches_per_epoch)]
+    elif low + reads <= batches_per_epoch:
+        ranges = [(low, low + reads)]
+    else:  # over the end of the epoch
+        ranges = [(low, batches_per_epoch), (0, low + reads - batches_per_epoch)]
+    if isinstance(windows, DataFrame):
+        own = [windows.where((F.col("batch_id") >= a) & (F.col("batch_id") < e)) for a, e in ranges]
+    else:
+        own = [windows(a, e) for a, e in ranges]
+    return reduce(DataFrame.unionByName, own)
+
+
+def batch_rows(batches: DataFrame, batch_seqs: int) -> DataFrame:
+    """``split, shard_idx, batch_id, in_shard, row`` of every sequence, from the batch counts alone."""
+    each = batches.where(F.col("n_batches") > 0).select(
+        "split", "shard_idx", "first_batch",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_batches") - 1)).alias("in_shard"))
+    return each.select("split", "shard_idx", (F.col("first_batch") + F.col("in_shard")).alias("batch_id"), "in_shard",
+                       F.explode(F.sequence(F.lit(0), F.lit(batch_seqs - 1))).alias("row"))
 
 
 def cursor_of(batches: DataFrame, state: dict, batch_seqs: int, seq_len: int, split: str = "train") -> int:
@@ -113,12 +146,12 @@ def val_batch_count(max_tokens: float, batch_seqs: int, seq_len: int) -> int:
     return max(1, int(max_tokens // (batch_seqs * seq_len)))
 
 
-def val_batches(windows: DataFrame, batches_per_epoch: int, max_tokens: float, batch_seqs: int,
+def val_batches(spark: SparkSession, windows: Windows, batches_per_epoch: int, max_tokens: float, batch_seqs: int,
                 seq_len: int) -> DataFrame:
-    """The fixed validation batches; too few in the split and they repeat."""
-    reads = cursor_batches(windows.sparkSession, val_batch_count(max_tokens, batch_seqs, seq_len),
-                           batches_per_epoch)
-    return reads.join(windows.where(F.col("split") == "val"), "batch_id")
+    """The fixed validation batches, out of the windows of that split; too few and they repeat."""
+    n = val_batch_count(max_tokens, batch_seqs, seq_len)
+    reads = cursor_batches(spark, n, batches_per_epoch)
+    return reads.join(batches_between(windows, 0, n, batches_per_epoch), "batch_id")
 
 
 def torch_rows(windows: DataFrame, batch_seqs: int, micro: int, world: int) -> DataFrame:

@@ -11,6 +11,7 @@ from tokenloom.plans.registry import artifact, digest, query, rounded
 from tokenloom.plans.sqltext import BATCH_SEQS, SEQ_LEN, SHARD, VAL, ids_text, sql
 from tokenloom.session import stage, staging_path
 from tokenloom.sources import manifest, shardfiles
+from tokenloom.streaming import ingest
 
 STEP = BATCH_SEQS * SEQ_LEN
 EVAL_TOKENS = 20_000
@@ -52,9 +53,12 @@ def train_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(sequences.shard_batches(lengths, BATCH_SEQS, SEQ_LEN), "batches")
 
 
-def windows(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
-    """The sequences of a split, cut out of its shard files without a shuffle."""
-    return shardfiles.read_sequences(spark, train_shards(spark, sf_dir), BATCH_SEQS, SEQ_LEN, f"{split}_*.bin")
+def windows(spark: SparkSession, sf_dir: str, split: str) -> sequences.Windows:
+    """Reads batches of a split out of its shard files, without a shuffle, and no other bytes."""
+    def read(first: int, end: int) -> DataFrame:
+        return shardfiles.read_sequences(spark, train_shards(spark, sf_dir), BATCH_SEQS, SEQ_LEN, f"{split}_*.bin",
+                                         firstBatch=first, endBatch=end)
+    return read
 
 
 @query("shard_carve", sql(
@@ -161,7 +165,7 @@ def sequence_scan(spark, sf_dir):
 def val_batches(spark, sf_dir):
     """The same evaluation batches every time; past the end of the split they repeat."""
     n = sequences.stream_batches(train_batches(spark, sf_dir))["val"]
-    return sequences.val_batches(windows(spark, sf_dir, "val"), n, EVAL_TOKENS, BATCH_SEQS, SEQ_LEN).select(
+    return sequences.val_batches(spark, windows(spark, sf_dir, "val"), n, EVAL_TOKENS, BATCH_SEQS, SEQ_LEN).select(
         "read", "epoch", "batch_id", "row", digest(F.col("ids")).alias("ids_md5"))
 
 
@@ -173,7 +177,7 @@ def resume_windows(spark, sf_dir):
     state = {"shard_idx": 1, "pos": 3 * STEP, "epoch": 0}
     at = sequences.cursor_of(train_batches(spark, sf_dir), state, BATCH_SEQS, SEQ_LEN)
     n = sequences.stream_batches(train_batches(spark, sf_dir))["train"]
-    rest = sequences.resume_from(windows(spark, sf_dir, "train"), n, at)
+    rest = sequences.resume_from(spark, windows(spark, sf_dir, "train"), n, at)
     return rest.select("batch_id", "row", digest(F.col("ids")).alias("ids_md5"))
 
 
@@ -188,10 +192,65 @@ def resume_next_epoch(spark, sf_dir):
     state = {"shard_idx": 1, "pos": 2 * STEP, "epoch": 1}
     batches = train_batches(spark, sf_dir)
     at, n = sequences.cursor_of(batches, state, BATCH_SEQS, SEQ_LEN), sequences.stream_batches(batches)["train"]
-    return sequences.resume_from(windows(spark, sf_dir, "train"), n, at, n).select(
+    return sequences.resume_from(spark, windows(spark, sf_dir, "train"), n, at, n).select(
         "read", "epoch", "batch_id", "row", digest(F.col("ids")).alias("ids_md5"))
 
 
+@query("sequence_range", sql(
+    f"select {_ROW}, md5({ids_text('syms')}) as ids_md5 from windows w, (select sum(n_batches)::BIGINT as n from batches_of_train "
+    "where split = 'train') where w.split = 'train' and batch_id >= n // 4 and batch_id <= n // 2", "windows", "batches_of_train"))
+def sequence_range(spark, sf_dir):
+    """The second quarter of an epoch: only its bytes are read from the shard files."""
+    n = sequences.stream_batches(train_batches(spark, sf_dir))["train"]
+    own = windows(spark, sf_dir, "train")(n // 4, n // 2 + 1)
+    return own.select("split", "shard_idx", "batch_id", "in_shard", "row", digest(F.col("ids")).alias("ids_md5"))
+
+
+@query("resume_manifest", sql(
+    "select split, shard_idx, count(*)::BIGINT as chunks, sum(n_tok)::BIGINT as tokens from carved_train "
+    "where split = 'train' and shard_idx >= (select max(shard_idx) + 1 from carved_train where split = 'train') // 2 "
+    "group by split, shard_idx", "carved_train"))
+def resume_manifest(spark, sf_dir):
+    """As ``resume_missing``, from the manifest that the first run's job committed with its shards."""
+    carved, path = train_carved(spark, sf_dir)[1], staging_path(spark, "committed")
+    half = carved.where(F.col("split") == "train").agg(F.floor((F.max("shard_idx") + 1) / 2)).first()[0]
+    first = carved.where((F.col("split") == "val") | (F.col("shard_idx") < half))
+    shardfiles.write_shards(carving.shard_chunks(token_table(spark, sf_dir), first), path, commit="job")
+    return carving.unwritten(carved, shardfiles.committed_shards(spark, path)).groupBy("split", "shard_idx").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum("n_tok").cast("long").alias("tokens"))
+
+
+@query("shard_manifest", sql(
+    "select split, shard_idx, printf('%s_%05d.bin', split, shard_idx) as name, sum(n_tok)::BIGINT as tokens, true as same "
+    "from carved_train group by split, shard_idx", "carved_train"))
+def shard_manifest(spark, sf_dir):
+    """The manifest of a committed job against the files: sizes, and checksums computed anew."""
+    path = staging_path(spark, "manifested")
+    shardfiles.write_shards(train_chunks(spark, sf_dir), path, commit="job")
+    listed = shardfiles.committed_shards(spark, path)
+    return listed.join(shardfiles.shard_checksums(spark, path), "name").select(
+        "split", "shard_idx", "name", "tokens", ((F.col("found") == F.col("crc32")) & (F.col("bytes") == 2 * F.col("tokens"))).alias("same"))
+
+
+@query("stream_batches_resumed", sql(
+    f"select read, (read // n)::INT as epoch, read % n as batch_id, row, md5({ids_text('syms')}) as ids_md5 from "
+    "(select n, unnest(generate_series(n + spot, n + spot + n - 1)) as read from "
+    "(select sum(n_batches)::BIGINT as n, max(first_batch + 2) filter (where shard_idx = 1)::BIGINT as spot "
+    "from batches_of_train where split = 'train')) join windows w on w.batch_id = read % n and w.split = 'train'",
+    "batches_of_train", "windows"))
+def stream_batches_resumed(spark, sf_dir):
+    """The endless loader as a stream, from a state in the second epoch: stopped after a third, restarted from its checkpoint."""
+    n = sequences.stream_batches(train_batches(spark, sf_dir))["train"]
+    state = {"shard_idx": 1, "pos": 2 * STEP, "epoch": 1}
+    at = sequences.cursor_of(train_batches(spark, sf_dir), state, BATCH_SEQS, SEQ_LEN)
+    out, place = staging_path(spark, "streamed"), staging_path(spark, "loader")
+    for until in (at + n // 3, at + n):
+        read = shardfiles.stream_sequences(spark, train_shards(spark, sf_dir), BATCH_SEQS, SEQ_LEN, until, state)
+        coded = read.select("read", "epoch", "batch_id", "row", digest(F.col("ids")).alias("ids_md5"))
+        ingest.append_batches(coded, lambda batch: batch, out, place).awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
 _STREAMS = (
     "(select 'train' as stream, shard_idx, n_batches, first_batch from batches_of_train where split = 'train' union all "
     "select 'anneal', shard_idx, n_batches, first_batch from batches_of_anneal)")
@@ -250,11 +309,16 @@ def step_plan_resumed(spark, sf_dir):
     return plan.where(F.col("step") >= since).select("step", "batch_id", rounded(F.col("lr"), 9).alias("lr_factor"))
 
 
+def train_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sequences there are, without a token."""
+    return sequences.batch_rows(train_batches(spark, sf_dir).where(F.col("split") == "train"), BATCH_SEQS)
+
+
 @query("worker_rows_torch", sql(
     f"select {_ROW}, (row // 4)::INT as rank, ((row % 4) // 2)::INT as accum from windows where split = 'train'", "windows"))
 def worker_rows_torch(spark, sf_dir):
     """Two ranks of micro-batches of two."""
-    own = windows(spark, sf_dir, "train")
+    own = train_rows(spark, sf_dir)
     return sequences.torch_rows(own, BATCH_SEQS, 2, 2).select(
         "split", "shard_idx", "batch_id", "in_shard", "row", "rank", "accum")
 
@@ -263,6 +327,6 @@ def worker_rows_torch(spark, sf_dir):
     f"select {_ROW}, (row // 4)::INT as accum, ((row % 4) // 2)::INT as device from windows where split = 'train'", "windows"))
 def worker_rows_jax(spark, sf_dir):
     """Passes of two devices with micro-batches of two."""
-    own = windows(spark, sf_dir, "train")
+    own = train_rows(spark, sf_dir)
     return sequences.jax_rows(own, BATCH_SEQS, 2, 2).select(
         "split", "shard_idx", "batch_id", "in_shard", "row", "accum", "device")
