@@ -37,27 +37,35 @@ from tokenloom.operators.filters import check_vocabulary
 from tokenloom.session import stage, wide_partitions
 
 #: Pieces the driver drafts from, and pieces a verifying task holds, at most on average.
-HEAD, PER_TASK = 300_000, 100_000
+HEAD, PER_TASK = 1_000_000, 100_000
 #: Steps of a first and of the longest draft.
 SHORT, LONG = 64, 8192
 #: Pairs whose counts the driver keeps; twice as many are cut back to these.
 KEPT = 1 << 20
-_BASE = 0x10000  # characters of tokens start here
+#: Merges after which the stored pieces are written anew.
+STALE = 512
+# Token ids as characters in order: from _BASE on, around the surrogates.
+_BASE, _GAP, _SKIP = 0x100, 0xD700, 0x800
+
+
+def _char(token: int) -> str:
+    return chr(_BASE + token + (_SKIP if token >= _GAP else 0))
 
 
 def _words(ids: np.ndarray, sizes: np.ndarray) -> list[str]:
     """One string per piece, out of the flat ids of many."""
-    text = (ids + _BASE).astype("<u4").tobytes().decode("utf-32-le")
+    text = (ids + _BASE + np.where(ids >= _GAP, _SKIP, 0)).astype("<u4").tobytes().decode("utf-32-le")
     ends = np.cumsum(sizes).tolist()
     return [text[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def _pair(left: int, right: int) -> str:
-    return chr(_BASE + left) + chr(_BASE + right)
+    return _char(left) + _char(right)
 
 
 def _ids(pair: str) -> tuple[int, int]:
-    return ord(pair[0]) - _BASE, ord(pair[1]) - _BASE
+    left, right = (c - _BASE - (_SKIP if c >= _BASE + _GAP + _SKIP else 0) for c in map(ord, pair))
+    return left, right
 
 
 class Pieces:
@@ -163,7 +171,11 @@ def draft(head: Pieces, exact: PairCounts, first: int, steps: int) -> tuple[list
     guess, pairs, undos = exact.copy(), [], []
     while len(pairs) < steps and (pair := guess.top()) is not None:
         undos.append([])
-        guess.apply(pair, head.merge(pair, chr(_BASE + first + len(pairs)), undos[-1]))
+        now = guess.counts[pair]
+        change = head.merge(pair, _char(first + len(pairs)), undos[-1])
+        if (seen := -change.get(pair, 0)) not in (0, now):  # the other pieces are taken to be like the head
+            change = {p: round(n * now / seen) for p, n in change.items()}
+        guess.apply(pair, change)
         pairs.append(pair)
     return pairs, undos
 
@@ -171,6 +183,7 @@ def draft(head: Pieces, exact: PairCounts, first: int, steps: int) -> tuple[list
 def _verify(before: PieceEncoder, pairs: list[str], first: int):
     """What each drafted step changes in the pair counts over the pieces of a task."""
     only = set(pairs)
+    old = np.array([(a << 20) | b for a, b in map(_ids, pairs) if a < first and b < first], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[str] = []
@@ -178,12 +191,17 @@ def _verify(before: PieceEncoder, pairs: list[str], first: int):
         for batch in batches:
             ids, word, n = _layout(batch)
             ids, word = before.merge(ids, word)
-            words += _words(ids, np.bincount(word, minlength=len(n)))
-            counts += n.tolist()
+            # A piece without one of these pairs is never touched.
+            hit = np.flatnonzero((word[:-1] == word[1:]) & np.isin((ids[:-1] << 20) | ids[1:], old))
+            busy = np.zeros(len(n), dtype=bool)
+            busy[word[hit]] = True
+            own = busy[word]
+            words += _words(ids[own], np.bincount(word[own], minlength=len(n))[busy])
+            counts += n[busy].tolist()
         held = Pieces(words, counts, only)
         out: list[tuple[int, str, int]] = []
         for step, pair in enumerate(pairs):
-            out += [(step, p, n) for p, n in held.merge(pair, chr(_BASE + first + step)).items() if n]
+            out += [(step, p, n) for p, n in held.merge(pair, _char(first + step)).items() if n]
             if len(out) > 100_000:
                 yield _rows(out)
                 out = []
@@ -209,6 +227,18 @@ def verified_changes(words: DataFrame, pending: list[tuple[int, int]], staged: i
     return changes
 
 
+def _least_count(words: DataFrame, most: int) -> int:
+    """The least power of two such that at most ``most`` pieces occur that often."""
+    log = F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("log")
+    size, least = 0, 1 << 62
+    for r in words.groupBy(log).count().orderBy(F.desc("log")).collect():  # 63 rows at most
+        size += r["count"]
+        if size > most:
+            break
+        least = 1 << r["log"]
+    return least
+
+
 def train_drafted(spark: SparkSession, counts: DataFrame, vocab_size: int, min_frequency: int = 2, head_size: int = HEAD,
                   kept: int = KEPT, longest: int = LONG) -> DataFrame:
     """Merges of a byte-level vocabulary from ``counts(piece, n)``: the rows of :func:`tokenloom.operators.bpe.train_bpe`."""
@@ -218,7 +248,7 @@ def train_drafted(spark: SparkSession, counts: DataFrame, vocab_size: int, min_f
     words = stage(words, "bpe-pieces")
     total = words.count()
     parts = max(wide_partitions(spark), -(-total // PER_TASK))
-    frequent = (words if total <= head_size else words.orderBy(F.desc("n"), "ids").limit(head_size)).toArrow()
+    frequent = words.where(F.col("n") >= _least_count(words, head_size)).toArrow()
     lists = frequent.column("ids").combine_chunks()
     head = Pieces(_words(lists.flatten().to_numpy(), lists.value_lengths().to_numpy()), frequent.column("n").to_pylist())
     words = stage(words.repartition(parts), "bpe-words")
@@ -248,7 +278,7 @@ def train_drafted(spark: SparkSession, counts: DataFrame, vocab_size: int, min_f
         merges += [_ids(p) for p in pairs[:good]]
         exact.forget(kept)
         steps = min(longest, 2 * steps) if good == len(pairs) else max(16, min(longest, 2 * good))
-        if len(merges) - staged >= longest and len(merges) < room:
+        if len(merges) - staged >= STALE and len(merges) < room:
             done = PieceEncoder(merges[staged:], FIRST_MERGE + staged)
             words = stage(words.mapInArrow(_apply(done), "ids array<int>, n long").repartition(parts), "bpe-words")
             staged = len(merges)
