@@ -122,6 +122,65 @@ def test_message_pairs(spark):
     assert got == {(5, 0): _encode(CHATS[1]), (5, 1): _encode(CHATS[2])}
 
 
+def test_pairs_of_any_id(spark):
+    """Negative and very large ids keep their pairs apart; a null id takes no part, a side without turns has no tokens."""
+    said = [{"role": "user", "content": "abc"}, {"role": "assistant", "content": "abcabc"}]
+    ids = [-1, 0, 1, 2 ** 53 + 1, 2 ** 53, 2 ** 62, -2 ** 63, 2 ** 63 - 1, None]
+    schema = "pair_id long, chosen array<struct<role:string,content:string>>, rejected array<struct<role:string,content:string>>"
+    df = spark.createDataFrame([(i, said, said[:1]) for i in ids] + [(7, said, [])], schema)
+    kept, tokens = prefs.encode_message_pairs(df, MERGES)
+    whole, first = (_encode([(m["role"], m["content"]) for m in ms]) for ms in (said, said[:1]))
+    want = {i: (len(whole[0]), len(first[0])) for i in ids if i is not None} | {7: (len(whole[0]), 0)}
+    assert {r["conv_id"]: (r["chosen_len"], r["rejected_len"]) for r in kept.collect()} == want
+    got = {(r["conv_id"], r["side"]): (r["ids"], r["mask"]) for r in tokens.collect()}
+    assert got == {(i, s): (whole, first)[s] for i in want for s in (0, 1) if (i, s) != (7, 1)}
+    # In place, no key is needed at all.
+    inside = prefs.encode_pair_lists(df.withColumn("note", F.lit("n")), MERGES, len(whole[0]))
+    assert inside.columns == ["pair_id", "chosen", "rejected", "note"] and inside.count() == 10
+    assert all(tuple(r["chosen"]) == whole for r in inside.collect())
+    assert prefs.encode_pair_lists(df, MERGES, len(whole[0]) - 1).count() == 0
+
+
+def test_messages_are_encoded_in_place(spark):
+    chats = {**CHATS, 20: [], 21: [("assistant", "")], 22: [("user", "abc " * (i % 7)) for i in range(500)]}
+    rows = [(c, [{"role": r, "content": t} for r, t in ms]) for c, ms in chats.items()]
+    rows += [(30, None), (31, [{"role": None, "content": "abc"}, {"role": "assistant", "content": None}])]
+    df = spark.createDataFrame(rows, "conv_id long, messages array<struct<role:string,content:string>>").repartition(3)
+    encode = chat.encode_messages(MERGES)
+    got = {r["conv_id"]: (r["c"]["ids"], r["c"]["mask"]) for r in df.select("conv_id", encode(F.col("messages")).alias("c")).collect()}
+    assert {c: got[c] for c in chats} == {c: _encode(ms) for c, ms in chats.items()}
+    assert got[30] == ([], [])
+    flat = chat.encode_turns(chat.turns_of(df.where("conv_id = 31"), "conv_id", "messages"), MERGES).orderBy("turn").collect()
+    assert got[31] == (sum((r["ids"] for r in flat), []), sum((r["mask"] for r in flat), []))
+
+
+def test_shifted_mask_crosses_turns(spark, many_ranges):
+    """Position 0 predicts the next token; a changed bit at a border changes the sum."""
+    rng = random.Random(3)
+    turns, whole = [], {}
+    for conv in range(6):
+        for turn in range(rng.randint(1, 40)):
+            n = rng.randint(1, 5)
+            ids, mask = [rng.randrange(50) for _ in range(n)], [rng.randint(0, 1) for _ in range(n)]
+            turns.append((conv, turn, ids, mask))
+            whole.setdefault(conv, ([], []))[0].extend(ids)
+            whole[conv][1].extend(mask)
+
+    def sums(rows):
+        df = spark.createDataFrame(rows, "conv_id long, turn long, ids array<int>, mask array<int>")
+        said = F.transform("ids", lambda i: -i.cast("double"))
+        return {r["conv_id"]: r["logprob"] for r in prefs.conversation_logprobs(chat.turn_offsets(df), said).collect()}
+
+    got = sums(turns)
+    assert got == {c: float(-sum(i * m for i, m in zip(ids, mask[1:]))) for c, (ids, mask) in whole.items()}
+    at = next(k for k, t in enumerate(turns) if t[1] == 1)
+    conv, turn, ids, mask = turns[at]
+    turns[at] = (conv, turn, ids, [1 - mask[0], *mask[1:]])
+    changed = sums(turns)
+    last = turns[at - 1][2][-1]
+    assert changed[conv] - got[conv] == (last if mask[0] else -last) and last
+
+
 def test_chat_queries_take_a_conversation_of_any_length(spark, tmp_path):
     """One conversation, and the rows without conv_id, of more than 10,000 turns; the hot one's first reply is late."""
     hot = [("user", f"abc {i}") for i in range(10_005)] + [("assistant", "abc"), ("user", "x")]

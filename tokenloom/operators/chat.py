@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tokenloom.functions.encode import PieceEncoder, encoder
-from tokenloom.functions.text import IM_END, IM_START
+from tokenloom.functions.text import IM_END, IM_START, pieces
 from tokenloom.operators.ordering import running_totals
 
 ASSISTANT = "assistant"
@@ -53,6 +53,52 @@ def encode_turns(turns: DataFrame, merges: list[tuple[int, int]], keys: Sequence
     )
 
 
+def encode_messages(merges: list[tuple[int, int]]) -> Callable[[Column], Column]:
+    """Column function: ``array<struct<role,content>>`` → ``struct<ids,mask>``, the tokens of :func:`encode_turns` in list order.
+
+    Message lists are encoded where they are: the split into pieces runs in the JVM, and one
+    Arrow pass over the nested arrays puts the ids in place by offsets. Nothing is exploded or
+    regrouped, so rows need no key. A null or empty list gives no ids.
+    """
+    coder = PieceEncoder(merges)
+    newline = coder.encode_many([b"\n"])[0]
+
+    @F.arrow_udf("struct<ids:array<int>,mask:array<int>>")
+    def encode_lists(lists: pa.Array) -> pa.Array:
+        count = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        head, body, own = lists.flatten().flatten()
+        head, body = coder.encode_batch(head), coder.encode_batch(body)
+        h, b = (x.value_lengths().to_numpy().astype(np.int64) for x in (head, body))
+        ends = np.cumsum(h + b + 2 + len(newline))
+        begin = ends - (h + b + 2 + len(newline))
+        ids = np.empty(ends[-1] if len(ends) else 0, dtype=np.int32)
+        mask = np.zeros(len(ids), dtype=np.int32)
+        ids[begin] = IM_START
+        for part, n, at in ((head, h, begin + 1), (body, b, begin + 1 + h)):
+            spots = np.arange(n.sum()) + np.repeat(at - np.cumsum(n) + n, n)
+            ids[spots] = part.flatten().to_numpy()
+        mask[spots] = np.repeat(own.to_numpy(), b)  # the bodies' places
+        ids[begin + 1 + h + b], mask[begin + 1 + h + b] = IM_END, own.to_numpy()
+        ids[(begin + 2 + h + b)[:, None] + np.arange(len(newline))] = newline
+        offsets = pa.array(np.r_[0, ends][np.r_[0, np.cumsum(count)]], pa.int32())
+        return pa.StructArray.from_arrays(
+            [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids, mask)], ["ids", "mask"])
+
+    def encode(messages: Column) -> Column:
+        return encode_lists(F.transform(messages, lambda m: F.struct(
+            pieces(F.coalesce(F.concat(m["role"], F.lit("\n")), F.lit(""))).alias("head"),
+            pieces(F.coalesce(m["content"], F.lit(""))).alias("body"),
+            F.when(m["role"] == ASSISTANT, F.lit(1)).otherwise(F.lit(0)).alias("own"))))
+
+    return encode
+
+
+def message_lists(turns: DataFrame) -> DataFrame:
+    """``conv_id, messages`` with ``turn, role, content`` in turn order: the nested form of a turn table, a row per conversation."""
+    return turns.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
+
+
 def generation_prompt(merges: list[tuple[int, int]]) -> Column:
     """Ids that open an assistant turn; their mask is 0."""
     coder = PieceEncoder(merges)

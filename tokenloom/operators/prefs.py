@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import PAD
 from tokenloom.operators.chat import (
-    ASSISTANT, assemble, conversation_sizes, encode_turns, turn_offsets,
+    ASSISTANT, CONVERSATION, assemble, conversation_sizes, encode_messages, encode_turns, turn_offsets,
 )
 from tokenloom.operators.filters import short_pairs
 from tokenloom.operators.ordering import running_totals
@@ -101,6 +103,28 @@ def encode_message_pairs(rows: DataFrame, merges: list[tuple[int, int]], pair_id
         merges, max_len)
 
 
+def pair_lists(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """``conv_id, chosen, rejected``: the pairs of :func:`reply_pairs` as message lists, from ``conv_id, messages``."""
+    own = pairs.join(lists, "conv_id")
+    prompt = F.filter("messages", lambda m: m["turn"] < F.col("reply_turn"))
+    reply = lists.select(F.col("conv_id").alias("other_id"), F.explode("messages").alias("_m")).select(
+        "other_id", F.col("_m.turn").alias("other_turn"), F.col("_m").alias("_reply"))
+    return own.join(reply, ["other_id", "other_turn"]).select(
+        "conv_id", F.filter("messages", lambda m: m["turn"] <= F.col("reply_turn")).alias("chosen"),
+        F.concat(prompt, F.array("_reply")).alias("rejected"))
+
+
+def encode_pair_lists(rows: DataFrame, merges: list[tuple[int, int]], max_len: int = 1024, chosen: str = "chosen",
+                      rejected: str = "rejected") -> DataFrame:
+    """The rows with both message lists encoded in place (``struct<ids,mask>``), without the pairs with a side above ``max_len``.
+
+    Any other columns stay; no key is needed, and equal or null ids don't matter.
+    """
+    encode = encode_messages(merges)
+    coded = rows.withColumns({chosen: encode(F.col(chosen)), rejected: encode(F.col(rejected))})
+    return coded.where((F.size(f"{chosen}.ids") <= max_len) & (F.size(f"{rejected}.ids") <= max_len))
+
+
 #: A side of a pair is a conversation of its own.
 SIDE = ("conv_id", "side")
 
@@ -147,6 +171,22 @@ def sequence_logprobs(tokens: DataFrame, seq: str, pos: str, logprob: Column, ma
     return tokens.where(F.col(pos) >= 1).groupBy(seq).agg(F.sum(logprob * mask).alias("logprob"))
 
 
+def conversation_logprobs(turns: DataFrame, logprob: Column, keys: Sequence[str] = CONVERSATION) -> DataFrame:
+    """Summed log-probability of the masked tokens of whole conversations: ``keys, logprob``.
+
+    ``turns`` has ``offset, n_tok, mask`` per turn and ``logprob`` gives an array beside the
+    mask: what the model said at a token about the *next* one. So the mask is shifted by one, and
+    the last token of a turn meets the first mask of the next. That one comes by a join on the
+    place where a turn ends: no window over a conversation, however long it is.
+    """
+    heads = turns.select(*keys, F.col("offset").alias("_end"), F.element_at("mask", 1).alias("_next"))
+    joined = turns.withColumn("_end", F.col("offset") + F.col("n_tok")).join(heads, [*keys, "_end"], "left")
+    shifted = F.concat(F.slice("mask", F.lit(2), F.greatest(F.size("mask") - 1, F.lit(0))),
+                       F.array(F.coalesce("_next", F.lit(0))))
+    each = F.aggregate(F.zip_with(logprob, shifted, lambda p, m: p * m), F.lit(0.0), lambda a, x: a + x)
+    return joined.groupBy(*keys).agg(F.sum(each).alias("logprob"))
+
+
 def minus_log_sigmoid(z: Column) -> Column:
     """Stable for large arguments of either sign."""
     return F.greatest(-z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))

@@ -83,6 +83,30 @@ def chat_encode(spark, sf_dir):
                         digest(F.col("mask")).alias("mask_md5"))
 
 
+@query("chat_encode_nested", sql(
+    f"select conv_id, (length(syms) // 7)::INT as n_tok, md5({ids_text('syms')}) as ids_md5, md5(mask) as mask_md5 from chat_all",
+    "chat_all"))
+def chat_encode_nested(spark, sf_dir):
+    """Conversations given as message lists, encoded in place."""
+    encode = chat.encode_messages(merges(spark, sf_dir))
+    lists = stage(chat.message_lists(turns(spark, sf_dir)), "message-lists")
+    coded = spread(lists).select("conv_id", encode(F.col("messages")).alias("c"))
+    return coded.select("conv_id", F.size("c.ids").alias("n_tok"), digest(F.col("c.ids")).alias("ids_md5"),
+                        digest(F.col("c.mask")).alias("mask_md5"))
+
+
+@query("sequence_logprobs_tokens", sql(
+    "select conv_id, coalesce(sum(-((id * 31 + 7) % 101) * next_mask), 0)::DOUBLE as logprob from "
+    "(select conv_id, id, lead(m) over (partition by conv_id order by t) as next_mask from "
+    "(select conv_id, generate_subscripts(ids, 1) as t, unnest(ids)::BIGINT as id, unnest(mask)::BIGINT as m from "
+    "(select conv_id, regexp_extract_all(syms, '<([0-9]+)>', 1) as ids, regexp_extract_all(mask, '[01]') as mask from chat_all))) "
+    "group by conv_id", "chat_all"))
+def sequence_logprobs_tokens(spark, sf_dir):
+    """Log-probabilities stand-in per token, from its id; the shifted mask crosses turn borders."""
+    said = F.transform("ids", lambda i: (-((i.cast("long") * 31 + 7) % 101)).cast("double"))
+    return prefs.conversation_logprobs(encoded_turns(spark, sf_dir), said)
+
+
 @query("chat_prompt", sql(
     "select conv_id, (length(c.syms || p) // 7)::INT as n_tok, "
     f"md5({ids_text('c.syms || p')}) as ids_md5, md5(c.mask || repeat('0,', length(p)::INT // 7)) as mask_md5 "
@@ -193,6 +217,23 @@ def pair_messages(spark, sf_dir):
         "conv_id", "chosen_len", "rejected_len")
 
 
+@query("pair_lists", sql(
+    "select p.conv_id, chosen_len, rejected_len, md5({c}) as chosen_md5, md5({r}) as rejected_md5 from "
+    "(select p.conv_id, p.chosen_len, p.rejected_len, any_value(o.syms) as other, "
+    "coalesce(string_agg(t.syms, '' order by t.turn) filter (where t.turn < p.reply_turn), '') as prompt, "
+    "any_value(t.syms) filter (where t.turn = p.reply_turn) as own from kept_pairs p join turn_offsets o on o.conv_id = p.other_id "
+    "and o.turn = p.other_turn join turn_offsets t on t.conv_id = p.conv_id and t.turn <= p.reply_turn group by all) p".format(
+        c=ids_text("prompt || own"), r=ids_text("prompt || other")), "kept_pairs", "turn_offsets"))
+def pair_lists(spark, sf_dir):
+    """The same pairs as rows with two message lists, encoded in place and filtered by length."""
+    said = turns(spark, sf_dir)
+    lists = stage(chat.message_lists(said), "message-lists")
+    rows = stage(prefs.pair_lists(prefs.reply_pairs(said), lists), "pair-lists")
+    kept = prefs.encode_pair_lists(spread(rows), merges(spark, sf_dir), MAX_PAIR)
+    return kept.select("conv_id", F.size("chosen.ids").cast("long").alias("chosen_len"), F.size("rejected.ids").cast("long").alias("rejected_len"),
+                       digest(F.col("chosen.ids")).alias("chosen_md5"), digest(F.col("rejected.ids")).alias("rejected_md5"))
+
+
 @query("pref_plan", sql(
     "select conv_id, place, step, micro, round(least(1.0::DOUBLE, (step + 1) / greatest(1, total // 10)::DOUBLE) * "
     "(1.0::DOUBLE - step / greatest(1, total)::DOUBLE), 9) as lr_factor from planned_pairs, "
