@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.operators import carving, mixing
 from tokenloom.operators.filters import check_vocabulary, keep_documents, short_pairs
+from tokenloom.sources import mixes
 from tokenloom.sources.mixes import Mix, Source, choose_mix, read_sources, spec_frame, table_mixes, tokenizer_mix, with_mix_source
 
 
@@ -135,3 +136,31 @@ def test_shares_and_limits(spark):
     assert [r["conv_id"] for r in short_pairs(pairs, "a", "b", 10).collect()] == [1]
     union = mixing.union_sources([mixed.select("source"), mixed.select("source", "n_tok")])
     assert union.where(F.col("n_tok").isNull()).count() == 3
+
+
+def test_running_shares_fill_gaps(spark):
+    rows = [("train", 0, "a", 3), ("train", 0, "b", 1), ("train", 1, "b", 4), ("train", 2, "a", 2), ("val", 0, "b", 5), ("train", 0, "a", 1)]
+    df = spark.createDataFrame(rows, "split string, shard_idx int, source string, n_tok int")
+    got = {(r["split"], r["shard_idx"], r["source"]): (r["tokens"], r["upto"], round(r["share"], 4))
+           for r in carving.running_shares(df, ["a", "b", "c"]).collect()}
+    assert got == {
+        ("train", 0, "a"): (4, 4, 0.8), ("train", 0, "b"): (1, 1, 0.2), ("train", 0, "c"): (0, 0, 0.0),
+        ("train", 1, "a"): (0, 4, 0.4444), ("train", 1, "b"): (4, 5, 0.5556), ("train", 1, "c"): (0, 0, 0.0),
+        ("train", 2, "a"): (2, 6, 0.5455), ("train", 2, "b"): (0, 5, 0.4545), ("train", 2, "c"): (0, 0, 0.0),
+        ("val", 0, "a"): (0, 0, 0.0), ("val", 0, "b"): (5, 5, 1.0), ("val", 0, "c"): (0, 0, 0.0)}
+
+
+def test_sources_of_unlike_schemas(spark, tmp_path):
+    """Nested fields, missing and several scores, ids of other types; a missing field is named."""
+    spark.createDataFrame([(1, "aa", 3, 0.5), (2, "bb", None, 0.25)], "doc_id int, text string, int_score int, score double").write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([((7, ("cc",)),)], "blob struct<id:long,file:struct<body:string>>").write.parquet(str(tmp_path / "b"))
+    own = mixes.Mix((mixes.Source("a", 1.0, path=str(tmp_path / "a"), min_score=2),
+                     mixes.Source("b", 1.0, path=str(tmp_path / "b"), text_field="blob.file.body", id_field="blob.id")), 1, 0)
+    rows = mixes.read_sources(spark, own)
+    assert dict(rows.dtypes)["doc_id"] == "bigint"
+    assert sorted(map(tuple, rows.collect()), key=str) == [("a", 1, "aa", 3.0, 2.0), ("a", 2, "bb", None, 2.0), ("b", 7, "cc", None, None)]
+    spark.createDataFrame([("x9", "dd")], "doc_id string, text string").write.parquet(str(tmp_path / "c"))
+    three = mixes.Mix((*own.sources, mixes.Source("c", 1.0, path=str(tmp_path / "c"))), 1, 0)
+    assert sorted(r["doc_id"] for r in mixes.read_sources(spark, three).collect()) == ["1", "2", "7", "x9"]
+    with pytest.raises(ValueError, match="lacks 'content'"):
+        mixes.read_sources(spark, mixes.Mix((mixes.Source("c", 1.0, path=str(tmp_path / "c"), text_field="content"),), 1, 0))

@@ -1,7 +1,10 @@
 import hashlib
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from tokenloom.operators import ordering
 from tokenloom.operators.ordering import epoch_permutations, running_totals, seeded_order, seeded_sample
 
 
@@ -48,3 +51,18 @@ def test_epoch_permutations_differ(spark):
     for e, order in enumerate(orders):
         assert order == sorted(range(50), key=lambda i: (_key(e * 10, i), i))
     assert orders[0] != orders[1] != orders[2]
+
+
+@pytest.mark.parametrize("n,buffer", [(0, 5), (4, 5), (5, 5), (60, 1), (200, 7), (150, 40)])
+def test_buffered_shuffle_equals_the_loop(spark, n, buffer):
+    def draw(key):
+        return hashlib.md5(key.encode()).hexdigest()
+
+    held, out = list(range(min(n, buffer))), []
+    for step, item in enumerate(range(buffer, n)):
+        slot = int(draw(f"3:{step}")[:12], 16) % buffer
+        out.append(held[slot])
+        held[slot] = item
+    out += [held[s] for s in sorted(range(len(held)), key=lambda s: (draw(f"3:end:{s}"), s))]
+    got = ordering.buffered_shuffle(spark.range(n), ["id"], 3, buffer).orderBy("place").collect()
+    assert [r["id"] for r in got] == out and [r["place"] for r in got] == list(range(n))

@@ -1,10 +1,11 @@
+import random
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.functions import models
-from tokenloom.operators import losses, prefs, runs, scores, stepplan
+from tokenloom.operators import lookup, losses, prefs, runs, scores, stepplan
 from tokenloom.sources import manifest, runlogs, scorefiles
 
 
@@ -151,3 +152,19 @@ def test_manifest_latest(spark, tmp_path):
         manifest.append(manifest.progress(stats, mixed, "train"), path)
     last = manifest.latest(spark, path).first()
     assert (last["written"], last["shard_idx"], last["val_done"], last["tokens_by_source"]) == (300, 3, True, {"a": 10, "b": 5})
+
+
+@pytest.mark.parametrize("prefix", [True, False])
+def test_first_match_of_any_table(spark, prefix):
+    """The first entry in order counts, whatever it is as long as it matches."""
+    draw = random.Random(5)
+    keys = list({"".join(draw.choices("abc", k=draw.randint(1, 4))) for _ in range(60)}) + ["zz"]
+    entries = [(i % 20, k, float(i), f"v{i}") for i, k in enumerate(keys)]
+    names = ["".join(draw.choices("abcd", k=draw.randint(0, 9))) for _ in range(80)] + [None, "", "zzz", "dzz"]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)] + [(0, names[0])], "i int, name string")
+    table = spark.createDataFrame(entries, "ord int, key string, peak double, label string")
+    got = lookup.first_match(rows, "name", table, prefix=prefix).collect()
+    assert len(got) == len(names) + 1
+    for r in got:
+        fits = [(o, k, p, v) for o, k, p, v in entries if r["name"] is not None and (r["name"].startswith(k) if prefix else k in r["name"])]
+        assert (r["peak"], r["label"]) == (min(fits)[2:] if fits else (None, None))

@@ -102,6 +102,22 @@ def shard_stats(carved: DataFrame) -> DataFrame:
     )
 
 
+def running_shares(carved: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """What each source makes up of the tokens written so far, at every shard: ``split, shard_idx, source, tokens, upto, share``.
+
+    ``sources`` are the entries of the mix. One without a piece in a shard still has its running
+    share there, so shards are filled up to a row per source before the running totals.
+    """
+    per = carved.groupBy(*SHARD_KEY, "source").agg(F.sum("n_tok").cast("long").alias("tokens"))
+    grid = carved.select(*SHARD_KEY).distinct().withColumn("source", F.explode(F.array(*[F.lit(s) for s in sources])))
+    full = grid.join(per, [*SHARD_KEY, "source"], "left").fillna(0, ["tokens"])
+    totals = running_totals(full, ["shard_idx"], {"tokens": "_before"}, group_by=["split", "source"], label="shares")
+    upto = totals.withColumn("upto", F.col("_before") + F.col("tokens")).drop("_before")
+    whole = upto.groupBy(*SHARD_KEY).agg(F.sum("upto").alias("_all"))
+    return upto.join(whole, list(SHARD_KEY)).select(
+        *SHARD_KEY, "source", "tokens", "upto", (F.col("upto") / F.greatest("_all", F.lit(1))).alias("share"))
+
+
 def unwritten(chunks: DataFrame, written: DataFrame) -> DataFrame:
     """Chunks of shards the manifest does not list yet.
 

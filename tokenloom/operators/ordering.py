@@ -158,3 +158,26 @@ def epoch_permutations(df: DataFrame, ids: Sequence[str], epochs: int, steps_per
     return running_totals(
         keyed, ["_key", *ids], group_by=["epoch"], rank=out, label="epochs"
     ).drop("_key")
+
+
+def buffered_shuffle(df: DataFrame, order_by: Sequence[str], seed: int, buffer: int, out: str = "place") -> DataFrame:
+    """``order_by`` (unique) and each row's position after a shuffle with a buffer, as a reader with bounded memory does it.
+
+    The buffer is filled with the first rows. Then each further row is a step: it takes the place
+    of the row in a drawn slot, which leaves; at the end the rest leaves in a drawn order. The slot
+    drawn at a step is a function of seed and step alone, so a row leaves at the *next* step
+    that draws its slot: a ``lead`` over the draws of a slot, without a loop. A slot sees about
+    rows / buffer rows.
+    """
+    order = list(order_by)
+    read = running_totals(df.select(*order), order, rank="_read", label="buffered")
+    step = F.col("_read") - buffer
+    drawn = F.conv(F.substring(seeded_key(seed, "_step"), 1, 12), 16, 10).cast("long") % buffer
+    held = read.withColumn("_step", F.greatest(step, F.lit(-1))).withColumn(
+        "_slot", F.when(F.col("_step") < 0, F.col("_read")).otherwise(drawn))
+    moved = stage(held.withColumn(out, F.lead("_step").over(Window.partitionBy("_slot").orderBy("_step"))), "leaving")
+    left = moved.where(F.col(out).isNull()).select(*order, "_slot").withColumn("_key", seeded_key(f"{seed}:end", "_slot"))
+    steps = moved.where("_step >= 0").count()
+    rest = running_totals(left, ["_key", "_slot"], rank="_rank", label="buffer-end").select(
+        *order, (F.col("_rank") + steps).alias(out))
+    return moved.where(F.col(out).isNotNull()).select(*order, out).unionByName(rest)

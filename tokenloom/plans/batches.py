@@ -76,6 +76,19 @@ def shard_stats(spark, sf_dir):
     return carving.shard_stats(train_carved(spark, sf_dir)[1])
 
 
+@query("shard_shares_running", sql(
+    "with g as (select * from (select distinct split, shard_idx from carved_train), (select distinct source from carved_train)), "
+    "p as (select split, shard_idx, source, sum(n_tok)::BIGINT as t from carved_train group by split, shard_idx, source), "
+    "u as (select split, shard_idx, source, coalesce(t, 0)::BIGINT as tokens, "
+    "sum(coalesce(t, 0)) over (partition by split, source order by shard_idx)::BIGINT as upto from g left join p using (split, shard_idx, source)) "
+    "select *, round(upto / sum(upto) over (partition by split, shard_idx)::DOUBLE, 6) as share from u", "carved_train"
+).replace("\nwith g as", ",\ng as", 1))
+def shard_shares_running(spark, sf_dir):
+    """The make-up of all that is written, after every shard."""
+    shares = carving.running_shares(train_carved(spark, sf_dir)[1], list(MIXES["train"].order))
+    return shares.withColumn("share", rounded(F.col("share")))
+
+
 @query("shard_stats_anneal", sql(
     "select split, shard_idx, printf('%s_%05d.bin', split, shard_idx) as name, sum(n_tok)::BIGINT as tokens, "
     "count(*)::BIGINT as chunks from carved_anneal group by split, shard_idx", "carved_anneal"))

@@ -12,7 +12,9 @@ from tokenloom.operators.filters import score_at_least
 from tokenloom.plans.registry import artifact, digest, query, rounded, table
 from tokenloom.plans.sqltext import MERGES, PER_BATCH, SHARD, SPLIT, VAL, ids_text, sql
 from tokenloom.session import spread, stage, staging_path
-from tokenloom.sources.mixes import choose_mix, read_spec, table_mixes, tokenizer_mix, with_mix_source, write_spec
+from tokenloom.sources.mixes import (
+    Mix, Source, choose_mix, read_sources, read_spec, table_mixes, tokenizer_mix, with_mix_source, write_spec,
+)
 
 MIXES = table_mixes(SHARD, VAL)
 
@@ -173,6 +175,34 @@ def mix_from_spec(spark, sf_dir):
     return mixing.token_deficit_mix(docs, mix, need).select("source", "epoch", "doc_id", "n_tok", "batch_no", "start")
 
 
+@query("mix_from_paths", sql("select source, epoch::INT as epoch, doc_id, n_tok, batch_no, start from mix_chars", "mix_chars"))
+def mix_from_paths(spark, sf_dir):
+    """The same mix out of four folders that differ in fields, nesting, types and scores, as a specification file lists them."""
+    named = with_mix_source(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), MIXES["train"])
+    named = named.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    shapes = {
+        "edu": named.select("doc_id", "text", F.col("quality").alias("int_score"), F.lit(0.0).alias("score")),
+        "web": named.select(F.col("doc_id").alias("url_id"), F.col("text").alias("content")),
+        "code": named.select(F.struct(F.col("doc_id").alias("id"), F.struct(F.col("text").alias("body")).alias("file")).alias("blob")),
+        "math": named.select("doc_id", F.lit("m").alias("kind"), F.col("quality").cast("double").alias("score"), "text"),
+    }
+    fields = {"web": ("content", "url_id"), "code": ("blob.file.body", "blob.id")}
+    own = []
+    for s in MIXES["train"].sources:
+        path = staging_path(spark, f"source-{s.name}")
+        shapes[s.name].where(named["source"] == s.name).write.parquet(path)
+        text, key = fields.get(s.name, ("text", "doc_id"))
+        own.append(Source(s.name, s.weight, path=path, text_field=text, id_field=key, min_score=s.min_score))
+    spec = staging_path(spark, "path-spec")
+    write_spec(spark, {"train": Mix(tuple(own), SHARD, VAL)}, spec)
+    mix = choose_mix(read_spec(spark, spec), "train")
+    docs = read_sources(spark, mix).where(long_enough(F.col("text")) & score_at_least(F.col("min_score"), F.col("score")))
+    sizes = stage(docs.select("source", "doc_id", (F.char_length("text") + 1).cast("long").alias("n_tok")), "path-tokens")
+    total = sizes.agg(F.sum("n_tok")).first()[0]
+    need = carving.stream_need(total, mix.shard_tokens, mix.val_tokens)
+    return mixing.token_deficit_mix(sizes, mix, need).select("source", "epoch", "doc_id", "n_tok", "batch_no", "start")
+
+
 @query("mix_shares", sql(
     "select source, count(*)::BIGINT as docs, sum(n_tok)::BIGINT as tokens, "
     "round(sum(n_tok) / sum(sum(n_tok)) over (), 6) as share from mix_chars group by source", "mix_chars"))
@@ -196,6 +226,22 @@ def seeded_sample(spark, sf_dir):
     return ordering.seeded_sample(table(spark, sf_dir, "documents").select("doc_id"), 0, ["doc_id"], SAMPLE)
 
 
+BUFFER = 256
+_DRAW = f"('0x' || substr(md5('0:' || (r - {BUFFER})), 1, 12))::BIGINT % {BUFFER}"
+
+
+@query("buffered_shuffle", sql(
+    "with d as (select doc_id, row_number() over (order by doc_id) - 1 as r from documents), "
+    f"h as (select doc_id, greatest(r - {BUFFER}, -1) as step, case when r < {BUFFER} then r else {_DRAW} end as slot from d), "
+    "m as (select doc_id, slot, lead(step) over (partition by slot order by step) as place from h) "
+    "select doc_id, place from m where place is not null union all "
+    f"select doc_id, row_number() over (order by md5('0:end:' || slot), slot) - 1 + (select count(*) from h where step >= 0) "
+    "from m where place is null"))
+def buffered_shuffle(spark, sf_dir):
+    """The order in which a reader with a buffer of 256 documents gives them out."""
+    return ordering.buffered_shuffle(table(spark, sf_dir, "documents"), ["doc_id"], 0, BUFFER)
+
+
 @query("epoch_permutation", sql(
     "select epoch::INT as epoch, doc_id, row_number() over (partition by epoch order by "
     "md5((epoch * 100)::VARCHAR || ':' || doc_id), doc_id) - 1 as place from documents, "

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import models
-from tokenloom.operators import losses, prefs, runs, scores
+from tokenloom.operators import losses, lookup, prefs, runs, scores
 from tokenloom.plans.registry import artifact, query, rounded, table
 from tokenloom.plans.sqltext import case, cte, sql
 from tokenloom.session import stage, staging_path
@@ -204,6 +204,22 @@ def throughput_mfu_tpu(spark, sf_dir):
     return _throughput(spark, sf_dir, _TPUS, models.tpu_peak)
 
 
+def _lookup_sql(form: str, names: list[str], peaks: dict[str, float], prefix: bool) -> str:
+    return f"select event_id, '{form}' as form, device, {_peak_sql(peaks, prefix)} as peak from (select event_id, {_device_sql(names)} as device from events)"
+
+
+@query("throughput_lookup", " union all ".join(
+    [_lookup_sql("substring", _GPUS, models.GPU_PEAKS, False), _lookup_sql("prefix", _TPUS, models.TPU_PEAKS, True)]))
+def throughput_lookup(spark, sf_dir):
+    """Peaks as tables, found by equi-joins on the parts of the device names."""
+    events, found = table(spark, sf_dir, "events").select("event_id"), []
+    for form, names, peaks in (("substring", _GPUS, models.GPU_PEAKS), ("prefix", _TPUS, models.TPU_PEAKS)):
+        entries = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(peaks.items())], "ord int, key string, peak double")
+        found.append(lookup.first_match(events.select("event_id", F.lit(form).alias("form"), _device(names).alias("device")),
+                                        "device", entries, prefix=form == "prefix"))
+    return found[0].unionByName(found[1])
+
+
 # -- scores: a model per user, a raw metric per event -------------------------
 
 TASKS = list(scores.TASKS)

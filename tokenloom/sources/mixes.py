@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 @dataclass(frozen=True)
@@ -20,6 +23,7 @@ class Source:
     path: str | None = None
     text_field: str = "text"
     min_score: float | None = None
+    id_field: str = "doc_id"
 
 
 @dataclass(frozen=True)
@@ -75,7 +79,7 @@ def parse_spec(text: str) -> dict[str, Mix]:
     """Mixes from a JSON (or YAML, where its parser is installed) text.
 
     ``shard_tokens``, ``val_tokens`` and ``mixes``: per mix a list of sources with
-    ``name``, ``weight`` and optionally ``path``, ``members``, ``text_field``, ``min_score``.
+    ``name``, ``weight`` and optionally ``path``, ``members``, ``text_field``, ``id_field``, ``min_score``.
     Only the mix "train" has a validation part, unless a mix says otherwise.
     """
     try:
@@ -88,7 +92,7 @@ def parse_spec(text: str) -> dict[str, Mix]:
     for name, body in spec["mixes"].items():
         sources = body["sources"] if isinstance(body, dict) else body
         own = body if isinstance(body, dict) else {}
-        unknown = {k for s in sources for k in s} - {"name", "weight", "path", "members", "text_field", "min_score"}
+        unknown = {k for s in sources for k in s} - {"name", "weight", "path", "members", "text_field", "min_score", "id_field"}
         if unknown:
             raise ValueError(f"mix {name!r} has unknown entries {sorted(unknown)}")
         out[name] = Mix(
@@ -149,25 +153,31 @@ def with_mix_source(docs: DataFrame, mix: Mix, member: str = "source") -> DataFr
     )
 
 
-def read_sources(spark: SparkSession, mix: Mix, ids: Sequence[str] = ("doc_id",),
+def read_sources(spark: SparkSession, mix: Mix, id_name: str = "doc_id",
                  scores: Sequence[str] = ("int_score", "score")) -> DataFrame:
-    """Union of one projected parquet scan per source path.
+    """Union of one projected parquet scan per source path: ``source, <id>, text, score, min_score``.
 
-    The text field is renamed to ``text``; score columns a source lacks are null.
+    Schemas are looked at path by path. Text and id fields may lie inside structs (``a.b``) and are
+    renamed; of the score columns the first counts that a source has, whatever its values (a null is no
+    score), and a source without any has no score. Ids of unlike types become strings, whole numbers of unlike
+    widths the wider ones.
     """
     parts = []
     for s in mix.sources:
         raw = spark.read.parquet(s.path)
         present = [c for c in scores if c in raw.columns]
-        score = F.coalesce(*[F.col(c).cast("double") for c in present]) if present else F.lit(None).cast("double")
-        parts.append(raw.select(
-            F.lit(s.name).alias("source"), *ids, F.col(s.text_field).alias("text"), score.alias("score"),
-            F.lit(s.min_score).cast("double").alias("min_score"),
-        ))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+        score = (F.col(present[0]) if present else F.lit(None)).cast("double")
+        try:
+            parts.append(raw.select(
+                F.lit(s.name).alias("source"), F.col(s.id_field).alias(id_name), F.col(s.text_field).cast("string").alias("text"),
+                score.alias("score"), F.lit(s.min_score).cast("double").alias("min_score")))
+        except AnalysisException as missing:
+            raise ValueError(f"source {s.name!r} at {s.path!r} lacks {s.text_field!r} or {s.id_field!r}") from missing
+    kinds = {p.schema[id_name].dataType for p in parts}
+    if len(kinds) > 1:
+        kind = "long" if all(isinstance(k, IntegralType) for k in kinds) else "string"
+        parts = [p.withColumn(id_name, F.col(id_name).cast(kind)) for p in parts]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def tokenizer_mix(code_frac: float = 0.1) -> Mix:
