@@ -56,3 +56,13 @@ def test_odd_rows(spark, edge, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
     lines = spark.createDataFrame([r for r in edge_rows() if r[1] is None], SCHEMA)
     assert line_dedup.delete_copies(lines).count() == 2
+
+
+def test_columns_of_any_name_and_words_of_odd_spaces(spark):
+    """Own columns keep their values, and a no-break space or a separator alone is still a word."""
+    run = "one line of twelve words that will be there again and again here"
+    rows = [(i, run + end, f"a{i}", f"b{i}", i, f"d{i}", f"e{i}") for i, end in enumerate(["", "\n ", "\n\x1c", "\n \t", ""])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __doc string, __key string, __worded int, __runs string, c1 string")
+    left = {r["doc_id"]: tuple(r)[1:] for r in line_dedup.delete_copies(docs).collect()}
+    assert left == {0: (run, *rows[0][2:]), 1: (" ", *rows[1][2:]), 2: ("\x1c", *rows[2][2:])}
+    assert line_dedup.dedup_lines(docs).count() == 5

@@ -87,3 +87,12 @@ def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, i) for i in range(501, 560)] + [(7, 7), (900, 901), (901, 900)]
     found = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert found == {**dict.fromkeys(range(101), 0), **dict.fromkeys(range(500, 560), 500), 900: 900, 901: 900}
+
+
+def test_columns_of_any_name(spark):
+    texts = ["the same five words here", "the same five words here", "", "other words that differ much"]
+    rows = [(i, t, f"a{i}", f"b{i}", i, f"c{i}", f"d{i}") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __doc string, __key string, __worded int, __copy string, c0 string")
+    kept = ngram_join.keep_one_of_each(docs)
+    assert kept.schema == docs.schema
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2], rows[3]]

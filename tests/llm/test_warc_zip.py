@@ -85,3 +85,14 @@ def test_directories_are_read_with_and_without_zip64(monkeypatch):
 def test_not_an_archive():
     with pytest.raises(ValueError):
         list(warc_zip.members(pa.BufferReader(b"no archive at all")))
+
+
+def test_records_are_read_by_many_tasks(spark, monkeypatch):
+    """As many tasks as the records' bytes ask for, however narrow their index rows are."""
+    monkeypatch.setattr(warc_zip, "READ_BYTES", 2000)
+    monkeypatch.setattr(warc_zip, "TASK_BYTES", 20_000)
+    pages = spark.range(600).selectExpr("id as page_id", "concat('u', id) as url", "repeat(sha2(cast(id as string), 512), 6) as html")
+    read = warc_zip.archive_round_trip(spark, pages)
+    assert read.rdd.getNumPartitions() >= 8
+    rows = {r["page_id"]: (r["payload_bytes"], r["record_type"]) for r in read.collect()}
+    assert rows == {i: (768, "response") for i in range(600)}

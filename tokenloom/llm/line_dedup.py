@@ -34,6 +34,8 @@ from tokenloom.session import stage
 
 MIN_WORDS = 10
 _WORD = r"[^\x20\x09-\x0D]+"
+#: What is no word.
+_BLANK = " \t\n\x0b\x0c\r"
 
 
 def shortest_runs(doc: np.ndarray, line: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,9 +95,12 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "doc", "key", "line", F.xxhash64("content").alias("h1"), F.xxhash64("content", F.lit(1)).alias("h2"),
         F.regexp_count("content", F.lit(_WORD)).alias("words")), "lines")
     twice = stage(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
+    # The most common line is a key of very many rows: stored before rows are made distinct, as Spark
+    # splits the partitions of a join alone, but not of one that an aggregation reads.
+    repeated = stage(lines.join(twice, ["h1", "h2"]), "repeated_lines")
     # Stored in corpus order, so that a place's number tells which comes first.
     places = stage(
-        lines.join(twice, ["h1", "h2"]).distinct().orderBy("doc", "key", "line")
+        repeated.distinct().orderBy("doc", "key", "line")
         .withColumn("pos", F.monotonically_increasing_id()), "places")
     homes = places.groupBy("doc", "key").agg(F.min("pos").alias("d"))
     active = stage(places.join(
@@ -127,24 +132,23 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return copies.join(active, "pos").select("doc", "key", "line", "size")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with the text's later copies deleted, and __n_lines, __n_deleted, __worded."""
+def _rewritten(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """The columns of ``docs`` as c0, c1, … with the text's later copies deleted, and n_lines, n_deleted, worded."""
     ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc"), text_key(text_col).alias("key"),
                        F.col(text_col).cast("string").alias("text"))
     id_text = F.coalesce(F.col("doc").cast("string"), F.lit("\0"))
     deleted = stage(
         later_copies(rows, min_words).groupBy(id_text.alias("__doc"), F.col("key").alias("__key"))
-        .agg(F.collect_set(F.struct("line", "size")).alias("__runs")), "deleted_runs")
-    text = F.col(text_col).cast("string")
-    keyed = docs.withColumns({
-        "__doc": F.coalesce(F.col(id_col).cast("string"), F.lit("\0")),
-        "__key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    joined = keyed.join(deleted, ["__doc", "__key"], "left")
+        .agg(F.collect_set(F.struct("line", "size")).alias("runs")), "deleted_runs")
+    # By position, so that no name of the table can clash with one of these.
     inner = [f"c{i}" for i in range(len(docs.columns))]
-    place = inner[docs.columns.index(text_col)]
-    plain = joined.select(*docs.columns, "__runs").withColumn(text_col, text).toDF(*inner, "runs")
+    own, place = inner[docs.columns.index(id_col)], inner[docs.columns.index(text_col)]
+    renamed = docs.toDF(*inner)
+    keyed = renamed.withColumns({
+        "__doc": F.coalesce(F.col(own).cast("string"), F.lit("\0")),
+        "__key": F.xxhash64(F.coalesce(F.col(place), F.lit("")))})
+    plain = keyed.join(deleted, ["__doc", "__key"], "left").select(*inner, "runs").withColumn(place, F.col(place).cast("string"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,19 +168,24 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
                     texts[i] = "\n".join(kept)
                 n_lines.append(len(own))
                 n_deleted.append(len(own) - len(kept))
-                worded.append(any(x and not x.isspace() for x in kept) if runs else True)
+                worded.append(any(x.strip(_BLANK) for x in kept) if runs else True)
             columns = [pa.array(texts, pa.string()) if n == place else batch.column(names.index(n)) for n in inner]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(n_lines, pa.int64()), pa.array(n_deleted, pa.int64()), pa.array(worded, pa.bool_())],
                 names=[*inner, "n_lines", "n_deleted", "worded"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
-    done = plain.mapInArrow(rewrite, f"{fields}, n_lines long, n_deleted long, worded boolean")
-    return done.toDF(*docs.columns, "__n_lines", "__n_deleted", "__worded")
+    return plain.mapInArrow(rewrite, f"{fields}, n_lines long, n_deleted long, worded boolean")
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``docs`` with the text's later copies deleted, and __n_lines, __n_deleted, __worded."""
+    return _rewritten(docs, min_words, id_col, text_col).toDF(*docs.columns, "__n_lines", "__n_deleted", "__worded")
 
 
 def delete_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """The rows with later copies deleted; a row whose every line with a word was deleted goes."""
-    done = dedup_lines(docs, min_words, id_col, text_col)
-    return done.where("__worded").select(*docs.columns)
+    done = _rewritten(docs, min_words, id_col, text_col)
+    return done.where("worded").drop("n_lines", "n_deleted", "worded").toDF(*docs.columns)

@@ -294,12 +294,17 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: floa
     rows = docs.select(F.col(id_col).alias("doc"), text_key(text_col).alias("key"),
                        F.col(text_col).cast("string").alias("text"))
     _, classes = _join_rows(rows, threshold, recall)
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit("\0"))
+    # By position, so that no name of the table can clash with one of these.
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*inner)
+    own, place = inner[docs.columns.index(id_col)], inner[docs.columns.index(text_col)]
+    name = F.coalesce(F.col(own).cast("string"), F.lit("\0"))
     stays = classes.select(F.coalesce(F.col("class_first.doc").cast("string"), F.lit("\0")).alias("__doc"),
                            F.col("class_first.key").alias("__key")).distinct()
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__doc": name, "__key": F.xxhash64(text), "__worded": text.rlike(r"[^\x20\x09-\x0D]")})
+    text = F.coalesce(F.col(place).cast("string"), F.lit(""))
+    keyed = renamed.withColumns({"__doc": name, "__key": F.xxhash64(text), "__worded": text.rlike(r"[^\x20\x09-\x0D]")})
     chosen = keyed.where("__worded").join(stays, ["__doc", "__key"])
     # Equal rows share id and text; the join has already brought them together.
     one = chosen.withColumn("__copy", F.row_number().over(Window.partitionBy("__doc", "__key").orderBy("__key")))
-    return one.where("__copy = 1").select(*docs.columns).unionByName(keyed.where("NOT __worded").select(*docs.columns))
+    kept = one.where("__copy = 1").select(*inner).unionByName(keyed.where("NOT __worded").select(*inner))
+    return kept.toDF(*docs.columns)

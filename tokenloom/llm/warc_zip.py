@@ -37,11 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tokenloom.llm.common import ready
-from tokenloom.session import file_system, qualified, stage, staging_path
+from tokenloom.session import file_system, qualified, stage, staging_path, wide_partitions
 
 DATA, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 1 << 20
+#: Bytes of records that one task reads, at most on average.
+TASK_BYTES = 128 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 # Fixed values of the ZIP format: signatures, sizes and field layouts.
@@ -306,8 +308,11 @@ def read_records(entries: DataFrame) -> DataFrame:
         if handle is not None:
             handle.close()
 
-    # Runs of neighbouring records stay together, and each archive is spread over many tasks.
-    spread = entries.repartition("archive", F.floor(F.col("begin") / (4 * READ_BYTES)))
+    # Runs of neighbouring records stay together, and each archive is spread over many tasks: as many as
+    # the bytes to read ask for, as index rows are far narrower than what they point to.
+    size = entries.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-size // TASK_BYTES), min(wide_partitions(entries.sparkSession), -(-size // (4 * READ_BYTES))), 1)
+    spread = entries.repartition(tasks, "archive", F.floor(F.col("begin") / (4 * READ_BYTES)))
     return spread.sortWithinPartitions("archive", "begin").mapInArrow(
         read, "page_id long, url string, record_type string, refers_to long, payload_bytes long, "
               "payload_digest string, payload binary")
@@ -317,4 +322,4 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame, least_bytes: int =
     """Write all pages, then read every record back through the indexes."""
     if not isinstance(pages.schema["page_id"].dataType, LongType):
         pages = pages.withColumn("page_id", F.col("page_id").cast("long"))
-    return read_records(index_entries(write_archives(pages, least_bytes=least_bytes)))
+    return read_records(stage(index_entries(write_archives(pages, least_bytes=least_bytes)), "record_index"))
