@@ -5,7 +5,7 @@ shards in parallel; a range of shards or of batches is chosen before files are o
 only its bytes are read. (These ranges are options: filters that Spark pushes into a
 Python source are kept with the loaded relation, so two differently filtered uses of one
 DataFrame would change each other's rows.) ``format("tokensequences")`` gives
-training sequences, as a table or as an endless stream that keeps its place.
+training sequences as a table, ``format("tokenstream")`` as an endless stream that keeps its place.
 
 Shards are committed by task (each has its name as soon as it is whole, and what an
 interrupted job has written can be kept) or by job: then they wait under other names
@@ -21,6 +21,7 @@ import fnmatch
 import json
 import posixpath
 import re
+import sys
 import uuid
 import zlib
 from bisect import bisect_right
@@ -30,6 +31,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -39,7 +41,7 @@ from pyspark.sql.datasource import (
 from tokenloom.session import file_system, folder_entries, qualified, ship_package
 
 FORMAT = "tokenshards"
-SEQUENCES = "tokensequences"
+SEQUENCES, STREAMED = "tokensequences", "tokenstream"
 #: Tokens one task reads: 128 MB at most, and less where that leaves cores without work, down to 512 KB.
 PER_TASK, LEAST_PER_TASK = 1 << 26, 1 << 18
 #: Tokens a task reads and hands on at once.
@@ -373,8 +375,6 @@ class SequenceStream(DataSourceStreamReader):
 class TokenSequences(DataSource):
     """Options: ``batchSeqs`` and ``seqLen``, ``pattern``, ``perTask`` in tokens, ``tasks``,
     ``firstShard`` and ``endShard``, ``firstBatch`` and ``endBatch``.
-
-    A stream, which also takes ``state`` and ``until``, needs the schema :data:`STREAM`.
     """
 
     @classmethod
@@ -387,6 +387,18 @@ class TokenSequences(DataSource):
     def reader(self, schema) -> SequenceReader:
         return SequenceReader({k.lower(): v for k, v in self.options.items()})
 
+
+
+class TokenStream(DataSource):
+    """Options: ``batchSeqs``, ``seqLen`` and ``until``; ``pattern``, ``state`` and ``tasks``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return STREAMED
+
+    def schema(self) -> str:
+        return STREAM
+
     def streamReader(self, schema) -> SequenceStream:
         return SequenceStream({k.lower(): v for k, v in self.options.items()})
 
@@ -395,6 +407,15 @@ def register(spark: SparkSession) -> None:
     ship_package(spark)
     spark.dataSource.register(TokenShards)
     spark.dataSource.register(TokenSequences)
+    # The process that plans a Python stream doesn't see shipped files: its source goes there by value.
+    own = [sys.modules[__name__], sys.modules[file_system.__module__]]
+    for module in own:
+        cloudpickle.register_pickle_by_value(module)
+    try:
+        spark.dataSource.register(TokenStream)
+    finally:
+        for module in own:
+            cloudpickle.unregister_pickle_by_value(module)
 
 
 def write_shards(chunks: DataFrame, path: str, commit: str = "task") -> None:
@@ -440,7 +461,7 @@ def stream_sequences(spark: SparkSession, path: str, batch_seqs: int, seq_len: i
     """The endless loader as a stream: ``read, epoch`` and the columns of :func:`read_sequences`; see :class:`SequenceStream`."""
     register(spark)
     return (
-        spark.readStream.format(SEQUENCES).schema(STREAM).option("pattern", pattern).option("batchSeqs", batch_seqs)
+        spark.readStream.format(STREAMED).option("pattern", pattern).option("batchSeqs", batch_seqs)
         .option("seqLen", seq_len).option("until", until).option("state", json.dumps(state or {}))
         .option("tasks", spark.sparkContext.defaultParallelism).load(qualified(spark, path)))
 
