@@ -78,3 +78,31 @@ def test_levels_grow_with_counts_and_stand_for_them():
     levels = bloom_lm.level_of(counts)
     assert (np.diff(levels) >= 0).all() and levels[0] == 1
     assert (np.abs(np.log(bloom_lm.count_of(levels) / counts)) < np.log(bloom_lm.LEVEL_BASE)).all()
+
+
+def test_scores_match_a_replay_from_exact_counts(spark):
+    """The model's formula over exact counts, as their levels stand for them; a filter errs upwards on a hundredth of its probes."""
+    docs = [(r[0], r[1]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    train = [tokens(t) for i, t in docs if not out(i)]
+    words = Counter(t for own in train for t in own)
+    pairs = Counter(p for own in train for p in zip([None, *own], own))
+    n, v = sum(words.values()), len(words)
+
+    def stands_for(count):
+        return float(bloom_lm.count_of(bloom_lm.level_of(np.array([count])))[0]) if count else 0.0
+
+    want = {}
+    for i, text in docs:
+        own = tokens(text)
+        score = 0.0
+        for before, t in zip([None, *own], own):
+            word, history = stands_for(words[t]), stands_for(words[before])
+            pair = min(stands_for(pairs[before, t]), history)
+            score += math.log10((pair + bloom_lm.MU * (word + 1) / (n + v + 1)) / (history + bloom_lm.MU))
+        want[i, len(own)] = score
+    rows = bloom_lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    off = np.array([(r["score"] - want[r["doc_id"], r["n_tokens"]]) / r["n_tokens"] for r in rows])
+    known = np.array([not r["held_out"] for r in rows])
+    assert len(off) == len(docs) and np.abs(off[known]).mean() < 0.01 and np.abs(off).mean() < 0.03
+    assert np.abs(off)[np.array([r["n_tokens"] > 100 for r in rows])].max() < 0.1
+    assert np.corrcoef([r["score"] for r in rows], [want[r["doc_id"], r["n_tokens"]] for r in rows])[0, 1] > 0.9999
