@@ -68,6 +68,23 @@ def test_many_tasks_are_joined_over_levels(spark, plain_ids, monkeypatch):
     assert count <= -(-sum(r["length"] for r in rows) // 1024) + 3
 
 
+@pytest.mark.parametrize("words", [(5, 60), (300, 460)])
+def test_no_sequence_is_lost_by_what_is_not_passed_on(spark, monkeypatch, words):
+    """As many sequences as with every underfull bin passed on, where tasks hold many of them."""
+    monkeypatch.setattr(best_fit, "FAN_IN", 2)
+    monkeypatch.setattr(best_fit, "LEVELS", 4)
+    low, high = words
+    rows = [(i, prose(i, low + i * 7919 % (high - low))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+
+    def sequences():
+        return best_fit.pack_best_fit(docs).select("sequence_id").distinct().count()
+
+    found = sequences()
+    monkeypatch.setattr(best_fit, "passed_at", lambda level: 1 << 30)
+    assert found == sequences()
+
+
 def test_odd_rows(edge, no_docs, plain_ids):
     rows = best_fit.pack_best_fit(edge).collect()
     assert sum(r["length"] for r in rows) == sum(len(plain_ids(t)) for _, t, *_ in edge_rows())

@@ -2,13 +2,17 @@
 
 1. Every scan task tokenises its rows, cuts long documents, and best-fits the
    pieces it has by falling length. A full piece is a sequence of its own.
-2. A bin that is nearly full is final. Of the others a task passes on the ones
-   that later rounds can use: at most one bin is half full or less (two such
-   bins would have been joined), and the emptiest of the rest.
+2. A bin that is nearly full is final. Of the others a task passes on all that
+   later rounds can use. At most one bin is half full or less (two such bins
+   would have been joined), and only such a bin can go into another one. So a round
+   over ``FAN_IN`` tasks' bins fills up at most FAN_IN others, whichever they are,
+   and an emptier bin takes whatever a fuller one does: with the FAN_IN emptiest
+   bins of each task for each round to come, every bin that could be spared
+   still can be (tested against passing on all of them).
 3. Rounds of best fit then treat underfull bins as items: groups of
    ``FAN_IN`` tasks' bins are joined in parallel, group by group, level by level,
-   until one group is left. A group holds at most FAN_IN * PASSED bins, so no task
-   grows with the input. A bin that a level doesn't pass on is final as it stands:
+   until one group is left. A group holds at most FAN_IN * passed_at(1) bins, so no
+   task grows with the input. A bin that isn't passed on is final as it stands:
    no piece is lost.
 4. The moves of the levels are narrow rows (bin, place in the bin above), joined
    back to the pieces of unfinished bins only.
@@ -43,9 +47,9 @@ SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
 #: A bin with at most so many free places is final at once.
 SLACK = 8
-#: Bins a task passes to the next level, and tasks whose bins are joined there.
-PASSED = 64
+#: Tasks whose bins are joined in a level, and the most levels there are: FAN_IN ** LEVELS tasks.
 FAN_IN = 64
+LEVELS = 5
 _LEVEL, _TASK = 1 << 58, 1 << 28
 
 
@@ -105,11 +109,16 @@ def best_fit(sizes: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndar
     return bins, offsets, fills
 
 
-def _passed_on(fills: list[int], width: int) -> np.ndarray:
-    """Which bins a later level can still use."""
+def passed_at(level: int) -> int:
+    """How many bins go on to a level: FAN_IN for it and for each level after it, and the half-empty one."""
+    return FAN_IN * max(LEVELS + 1 - level, 1) + 1
+
+
+def _passed_on(fills: list[int], width: int, level: int) -> np.ndarray:
+    """Which bins go on to ``level``."""
     fills = np.array(fills, dtype=np.int64)
     open_bins = np.flatnonzero(fills < width - SLACK)
-    emptiest = open_bins[np.argsort(fills[open_bins], kind="stable")[:PASSED]]
+    emptiest = open_bins[np.argsort(fills[open_bins], kind="stable")[:passed_at(level)]]
     out = np.zeros(len(fills), dtype=bool)
     out[emptiest] = True
     return out
@@ -141,7 +150,7 @@ def pack_pieces(docs: DataFrame, vocabulary: str | None = None, width: int = WID
         task = TaskContext.get().partitionId() * _TASK
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, type=id_type), pa.array(table[:, 0].astype(np.int32)), *(pa.array(table[:, c]) for c in (1, 2, 3)),
-             pa.array(bins + task), pa.array(offsets), pa.array(_passed_on(fills, width)[bins])],
+             pa.array(bins + task), pa.array(offsets), pa.array(_passed_on(fills, width, 1)[bins])],
             names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "open"],
         )
 
@@ -154,7 +163,7 @@ def _join_level(bins: DataFrame, level: int, width: int) -> DataFrame:
     def join(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("bin", ignore_index=True)
         into, shift, fills = best_fit(group["fill"].to_numpy(), width)
-        goes_on = _passed_on(fills, width)
+        goes_on = _passed_on(fills, width, level + 1)
         base = level * _LEVEL + int(group["team"].iloc[0]) * _TASK
         return pd.DataFrame({
             "bin": group["bin"], "into": into + base, "shift": shift,
