@@ -114,11 +114,11 @@ def passed_at(level: int) -> int:
     return FAN_IN * max(LEVELS + 1 - level, 1) + 1
 
 
-def _passed_on(fills: list[int], width: int, level: int) -> np.ndarray:
-    """Which bins go on to ``level``."""
+def _passed_on(fills: list[int], width: int, most: int) -> np.ndarray:
+    """Which bins go on to the next level: the ``most`` emptiest."""
     fills = np.array(fills, dtype=np.int64)
     open_bins = np.flatnonzero(fills < width - SLACK)
-    emptiest = open_bins[np.argsort(fills[open_bins], kind="stable")[:passed_at(level)]]
+    emptiest = open_bins[np.argsort(fills[open_bins], kind="stable")[:most]]
     out = np.zeros(len(fills), dtype=bool)
     out[emptiest] = True
     return out
@@ -131,6 +131,7 @@ def pack_pieces(docs: DataFrame, vocabulary: str | None = None, width: int = WID
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     id_type = to_arrow_type(narrow.schema["doc_id"].dataType)
+    most = passed_at(1)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Narrow rows of one scan task; its texts are gone once they are tokenised.
@@ -150,7 +151,7 @@ def pack_pieces(docs: DataFrame, vocabulary: str | None = None, width: int = WID
         task = TaskContext.get().partitionId() * _TASK
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, type=id_type), pa.array(table[:, 0].astype(np.int32)), *(pa.array(table[:, c]) for c in (1, 2, 3)),
-             pa.array(bins + task), pa.array(offsets), pa.array(_passed_on(fills, width, 1)[bins])],
+             pa.array(bins + task), pa.array(offsets), pa.array(_passed_on(fills, width, most)[bins])],
             names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "open"],
         )
 
@@ -160,10 +161,12 @@ def pack_pieces(docs: DataFrame, vocabulary: str | None = None, width: int = WID
 
 def _join_level(bins: DataFrame, level: int, width: int) -> DataFrame:
     """Best fit of the bins of each group; one row per bin: where it goes and whether that stays open."""
+    most = passed_at(level + 1)
+
     def join(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("bin", ignore_index=True)
         into, shift, fills = best_fit(group["fill"].to_numpy(), width)
-        goes_on = _passed_on(fills, width, level + 1)
+        goes_on = _passed_on(fills, width, most)
         base = level * _LEVEL + int(group["team"].iloc[0]) * _TASK
         return pd.DataFrame({
             "bin": group["bin"], "into": into + base, "shift": shift,
