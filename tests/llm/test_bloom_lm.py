@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tests.llm.conftest import edge_rows
 from tokenloom.llm import bloom_lm
@@ -38,10 +39,24 @@ def test_query_matches_plain_counts_and_beats_the_base(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_slices_give_the_same_scores(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    one = sorted(bloom_lm.score_documents(docs).collect())
-    assert one == sorted(bloom_lm.score_documents(docs, most_bytes=60_000).collect())
+@pytest.mark.parametrize("text_bytes", [bloom_lm.BLOCK_BYTES, 1000])
+def test_probes_sent_to_blocks_give_the_same_scores(spark, edge, no_docs, monkeypatch, text_bytes):
+    """A model too large to broadcast; with a few blocks, and with very many of a few keys each."""
+    monkeypatch.setattr(bloom_lm, "BLOCK_BYTES", text_bytes)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
+    one, other = bloom_lm.score_documents(docs), bloom_lm.score_documents(docs, most_bytes=1)
+    assert other.schema == one.schema
+    assert sorted(other.collect()) == sorted(one.collect())
+    rows = bloom_lm.score_documents(edge, most_bytes=1).collect()
+    check(rows, [(i, t) for i, t, *_ in edge_rows()])
+    assert bloom_lm.score_documents(no_docs, most_bytes=-1).count() == 0
+
+
+def test_blocks_grow_in_number_with_the_text():
+    assert bloom_lm._block_count(0) == 64
+    for size in (10 ** 9, 10 ** 12, 10 ** 14):
+        count = bloom_lm._block_count(size)
+        assert size / count <= bloom_lm.BLOCK_BYTES and count & (count - 1) == 0
 
 
 def test_odd_rows(edge, no_docs):

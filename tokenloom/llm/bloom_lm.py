@@ -2,15 +2,16 @@
 
 Training counts words and word pairs (by 64-bit hashes). Every task adds up its own
 part of the corpus and cuts the sums by the key's leading bits into blocks; a
-reducer per block adds the tasks' sums and builds the block's filter. A count c is
+reducer per block adds the tasks' sums and builds the block's filter. There is a block for
+each ``BLOCK_BYTES`` of training text, so none grows with the corpus. A count c is
 stored as the level 1 + floor(log c): the key goes in once for each level up to
 that, so a probe asks for level 1, 2, ... until one is missing. Filter bits grow
 with the number of stored levels (``BITS`` each).
 
 The blocks, with the exact word counts of the base score beside them, are broadcast
-to the workers if they fit ``most_bytes``. Else they go out in slices of that size: each
-pass over the documents fills in the levels of the slice's keys, and the scores
-follow once all slices have been through. Both ways give the same scores.
+to the workers if they fit ``most_bytes``. Else probes go to the blocks: chunks of
+documents send each of their different words and pairs once to its block and get levels
+and counts back, two shuffles whatever the size of the model. Both ways give the same scores.
 
 Model: pair counts smoothed with word probabilities,
 p(w | v) = (c(v, w) + MU p(w)) / (c(v) + MU); a text begins behind an end token.
@@ -18,6 +19,7 @@ p(w | v) = (c(v, w) + MU p(w)) / (c(v) + MU); a text begins behind an end token.
 Cases: a null text is an empty text (the end token alone). Null ids count as the
 empty id text when rows are held out. Rows are scored one by one, so repeated rows
 get equal scores. Empty tables give no rows; without a training text every count is 0.
+A text of any length is scored whole, as one row of one task. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tokenloom.llm.common import byte_texts, ready
 from tokenloom.llm.wordhash import U64, Hashed, hashed_groups, mix
@@ -36,8 +40,12 @@ from tokenloom.session import stage
 BITS, PROBES = 10, 5
 LEVEL_BASE = 1.5
 MU = 4.0
-#: Largest broadcast; a model above it is used in slices.
+#: Largest broadcast; a larger model stays where it is and probes go to it.
 MOST_BYTES = 256 << 20
+#: Training text to a block; its sums take some three times as much at most.
+BLOCK_BYTES = 8 << 20
+#: Tokens of a chunk of documents whose probes go out together (a longer text is a chunk of its own).
+CHUNK_TOKENS = 500_000
 #: Tokens a task holds before it hands on its sums.
 HELD_TOKENS = 1_500_000
 #: Blocks whose sums leave a task in one Arrow batch.
@@ -78,9 +86,9 @@ def pair_keys(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return mix(before * U64(0x9E3779B97F4A7C15) + mix(tokens) + U64(1))
 
 
-def _block_count(partitions: int) -> int:
-    """A power of two, a few blocks per shuffle partition."""
-    return 1 << max(6, (2 * partitions - 1).bit_length())
+def _block_count(text_bytes: int) -> int:
+    """A power of two: a block for each BLOCK_BYTES of training text, at least 64."""
+    return 1 << max(6, (max(text_bytes, 1) // BLOCK_BYTES).bit_length())
 
 
 def _add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,17 +112,24 @@ def _partial_sums(kind: int, parts: list[np.ndarray], shift: int) -> Iterator[pa
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     counts = np.diff(np.append(first, len(keys))).astype("<u4")
     keys = keys[first]
-    cuts = np.searchsorted(keys >> U64(shift), np.arange((1 << 64 - shift) + 1, dtype=U64))
-    blocks = np.flatnonzero(np.diff(cuts))
-    for at in range(0, len(blocks), SENT_BLOCKS):
-        own = blocks[at:at + SENT_BLOCKS].tolist()
+    for blocks, own in _by_block(keys, shift):
         yield pa.RecordBatch.from_arrays(
-            [pa.array(own, pa.int32()), pa.array([kind] * len(own), pa.int32()),
-             pa.array([keys[cuts[b]:cuts[b + 1]].tobytes() for b in own], pa.binary()),
-             pa.array([counts[cuts[b]:cuts[b + 1]].tobytes() for b in own], pa.binary())],
+            [pa.array(blocks, pa.int64()), pa.array([kind] * len(own), pa.int32()),
+             pa.array([keys[o].tobytes() for o in own], pa.binary()),
+             pa.array([counts[o].tobytes() for o in own], pa.binary())],
             names=["block", "kind", "keys", "counts"])
 
 
+def _by_block(keys: np.ndarray, shift: int) -> Iterator[tuple[list[int], list[slice]]]:
+    """The blocks of sorted keys and where each one's keys are, some blocks at a time."""
+    blocks = keys >> U64(shift)
+    begins = np.flatnonzero(np.concatenate([[len(keys) > 0], blocks[1:] != blocks[:-1]]))
+    ends = np.append(begins[1:], len(keys))
+    for at in range(0, len(begins), SENT_BLOCKS):
+        here = slice(at, at + SENT_BLOCKS)
+        yield blocks[begins[here]].tolist(), [slice(a, b) for a, b in zip(begins[here], ends[here], strict=True)]
+
+
 def _places(keys: np.ndarray, level: int, probe: int, bits: np.ndarray | int) -> np.ndarray:
     """Bit of a key's probe for a level, among ``bits`` places (below 2**32)."""
     h = mix(keys + U64((level * 0xA0761D6478BD642F + probe * 0xE7037ED1A0B428DB) & 0xFFFFFFFFFFFFFFFF))
@@ -126,7 +141,7 @@ def build_filter(keys: np.ndarray, counts: np.ndarray, bits_per_level: int = BIT
     levels = level_of(counts) if len(counts) else np.zeros(0, np.int64)
     size = max(64, int(levels.sum()) * bits_per_level)
     if size >= 1 << 32:
-        raise ValueError("a block has too many keys: raise spark.sql.shuffle.partitions")
+        raise ValueError("too many keys for one filter: BLOCK_BYTES is too large")
     bits = np.zeros((size + 7) // 8 * 8, dtype=bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         keys, levels = keys[levels >= level], levels[levels >= level]
@@ -146,7 +161,7 @@ def _build_block(table: pa.Table) -> pa.Table:
     (words, word_counts), (pairs, pair_counts) = sums[1], sums[2]
     bits, size = build_filter(np.concatenate([words, pairs]), np.concatenate([word_counts, pair_counts]))
     return pa.table({
-        "block": pa.array([table["block"][0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary()),
+        "block": pa.array([table["block"][0].as_py()], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary()),
         "n_bits": pa.array([size], pa.int64()), "words": pa.array([words.tobytes()], pa.binary()),
         "counts": pa.array([word_counts.astype("<i8").tobytes()], pa.binary()),
         "tokens": pa.array([int(word_counts.sum())], pa.int64()), "types": pa.array([len(words)], pa.int64()),
@@ -173,9 +188,9 @@ def train_blocks(texts: DataFrame, blocks: int) -> DataFrame:
             yield from _partial_sums(1, words, shift)
             yield from _partial_sums(2, pairs, shift)
 
-    sums = texts.mapInArrow(count, "block int, kind int, keys binary, counts binary")
+    sums = texts.mapInArrow(count, "block long, kind int, keys binary, counts binary")
     return sums.groupBy("block").applyInArrow(
-        _build_block, "block int, bits binary, n_bits long, words binary, counts binary, tokens long, types long")
+        _build_block, "block long, bits binary, n_bits long, words binary, counts binary, tokens long, types long")
 
 
 class Slice:
@@ -268,79 +283,153 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
+RESULT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORES = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _sums(state: np.ndarray, owner: np.ndarray, texts: int, n_train: int, n_types: int) -> list[np.ndarray]:
+    """The columns of ``SCORES`` for some texts, all of whose tokens' states are known."""
+    base, model = _token_scores(state, owner, n_train, n_types)
+    return [np.bincount(owner, minlength=texts), np.bincount(owner[state[0] > 0], minlength=texts),
+            np.full(texts, n_train, dtype=np.int64),
+            np.bincount(owner, weights=base, minlength=texts), np.bincount(owner, weights=model, minlength=texts)]
+
+
+def _score_by_broadcast(rows: DataFrame, blocks: DataFrame, shift: int, n_train: int, n_types: int) -> DataFrame:
+    """Scores by a model small enough for every worker; ``rows``: doc_id, held_out, text."""
+    spark = rows.sparkSession
+    sizes = blocks.select("block", "n_bits", "types").collect()  # as many as make up a broadcast at most
+    part = Slice(0, 1 << (64 - shift), shift, {r["block"]: r["n_bits"] for r in sizes}, {r["block"]: r["types"] for r in sizes})
+    for row in blocks.toLocalIterator():
+        part.put(row)
+    sent = spark.sparkContext.broadcast(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            parts = []
+            for group in hashed_groups(byte_texts(batch), lower=True):
+                tokens, before, owner = tokens_of(group)
+                state = np.zeros((3, len(tokens)), dtype=np.int64)
+                _look_up(known, tokens, pair_keys(before, tokens), state)
+                parts.append(_sums(state, owner, len(group.offsets) - 1, n_train, n_types))
+            if parts:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), *(pa.array(np.concatenate(c)) for c in zip(*parts, strict=True))],
+                    names=["doc_id", "held_out", *SCORES])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, {RESULT}")
+
+
+def _chunks(rows: DataFrame) -> DataFrame:
+    """Some rows each, as the hashes of their tokens: chunk, ids, held_out, sizes (tokens of each row), tokens."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    id_type = to_arrow_type(rows.schema["doc_id"].dataType)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made = TaskContext.get().partitionId() << 32, 0
+        ids, outs, sizes, parts, held = [], [], [], [], 0
+
+        def chunk() -> pa.RecordBatch:
+            columns = [pa.array([first + made], pa.int64()), pa.array([ids], pa.list_(id_type)),
+                       pa.array([outs], pa.list_(pa.bool_())), pa.array([np.concatenate(sizes).astype("<i8").tobytes()], pa.binary()),
+                       pa.array([np.concatenate(parts).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "held_out", "sizes", "tokens"])
+
+        for batch in batches:
+            own_ids, own_outs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for group in hashed_groups(byte_texts(batch), lower=True):
+                here = slice(group.first, group.first + len(group.offsets) - 1)
+                ids += own_ids[here]
+                outs += own_outs[here]
+                sizes.append(np.diff(group.offsets) + 1)
+                parts.append(tokens_of(group)[0])
+                held += len(parts[-1])
+                if held >= CHUNK_TOKENS:
+                    yield chunk()
+                    ids, outs, sizes, parts, held = [], [], [], [], 0
+                    made += 1
+        if ids:
+            yield chunk()
+
+    return rows.mapInArrow(cut, f"chunk long, ids array<{kind}>, held_out array<boolean>, sizes binary, tokens binary")
+
+
+def _chunk_keys(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and pairs of a chunk's tokens; its texts end with the end token, as the one before the first does."""
+    return tokens, pair_keys(np.concatenate([[END], tokens[:-1]]), tokens)
+
+
+def _score_by_shuffle(rows: DataFrame, blocks: DataFrame, shift: int, n_train: int, n_types: int) -> DataFrame:
+    """Scores by a model of any size: different words and pairs of a chunk meet their block, answers their chunk."""
+    chunks = stage(_chunks(rows), "chunks")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for kind, keys in enumerate(_chunk_keys(np.frombuffer(tokens, dtype="<u8")), 1):
+                    keys = np.unique(keys)
+                    for own_blocks, own in _by_block(keys, shift):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(own_blocks, pa.int64()), pa.array([chunk] * len(own), pa.int64()),
+                             pa.array([kind] * len(own), pa.int32()), pa.array([keys[o].tobytes() for o in own], pa.binary())],
+                            names=["block", "chunk", "kind", "keys"])
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        part = None
+        for row in known.to_pylist():
+            part = Slice(row["block"], row["block"] + 1, shift, {row["block"]: row["n_bits"]}, {row["block"]: row["types"]})
+            part.put(row)
+        counts, levels = [], []
+        for kind, keys in zip(asked["kind"].to_pylist(), asked["keys"].to_pylist(), strict=True):
+            keys = np.frombuffer(keys, dtype="<u8")
+            nothing = np.zeros(len(keys), dtype=np.int64)
+            counts.append((part.exact(keys) if part and kind == 1 else nothing).astype("<i8").tobytes())
+            levels.append((part.levels(keys) if part else nothing).astype(np.uint8).tobytes())
+        return pa.table({"chunk": asked["chunk"], "kind": asked["kind"], "keys": asked["keys"],
+                         "counts": pa.array(counts, pa.binary()), "levels": pa.array(levels, pa.binary())})
+
+    def score(own: pa.Table, answers: pa.Table) -> pa.Table:
+        told = {1: ([], [], []), 2: ([], [], [])}
+        for kind, *values in zip(*(answers[c].to_pylist() for c in ("kind", "keys", "counts", "levels")), strict=True):
+            for held, value, dtype in zip(told[kind], values, ("<u8", "<i8", np.uint8), strict=True):
+                held.append(np.frombuffer(value, dtype=dtype))
+        row = own.to_pylist()[0]
+        tokens, pairs = _chunk_keys(np.frombuffer(row["tokens"], dtype="<u8"))
+        state = np.zeros((3, len(tokens)), dtype=np.int64)
+        for kind, asked in ((1, tokens), (2, pairs)):
+            keys, counts, levels = (np.concatenate(v) for v in told[kind])
+            order = np.argsort(keys, kind="stable")
+            at = order[np.searchsorted(keys[order], asked)]
+            if kind == 1:
+                state[0] = counts[at]
+            state[kind] = levels[at]
+        sizes = np.frombuffer(row["sizes"], dtype="<i8")
+        sums = _sums(state, np.repeat(np.arange(len(sizes)), sizes), len(sizes), n_train, n_types)
+        return pa.table([pa.array(row["ids"], own.schema.field("ids").type.value_type), pa.array(row["held_out"], pa.bool_()),
+                         *(pa.array(v) for v in sums)], names=["doc_id", "held_out", *SCORES])
+
+    probes = chunks.select("chunk", "tokens").mapInArrow(ask, "block long, chunk long, kind int, keys binary")
+    answers = stage(probes.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(
+        answer, "chunk long, kind int, keys binary, counts binary, levels binary"), "answers")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        score, f"doc_id {kind}, held_out boolean, {RESULT}")
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: every row, by a model of the rest."""
-    spark = docs.sparkSession
-    ready(spark)
+    ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"),
                        F.col(text_col).cast("string").alias("text"))
-    count = _block_count(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    training = rows.where(~F.col("held_out")).select("text")
+    # A first pass inside the JVM, for the number of blocks.
+    count = _block_count(training.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     shift = 64 - (count.bit_length() - 1)
-    blocks = stage(train_blocks(rows.where(~F.col("held_out")).select("text"), count), "blocks")
-    facts = blocks.select("block", "n_bits", "tokens", "types", (F.length("bits") + 12 * F.col("types")).alias("size"))
-    sizes = {r["block"]: r for r in facts.collect()}  # one narrow row per block
-    n_train, n_types = sum(r["tokens"] for r in sizes.values()), sum(r["types"] for r in sizes.values())
-    cuts, held = [0], 0
-    for b in range(count):
-        size = sizes[b]["size"] if b in sizes else 0
-        if held and held + size > most_bytes:
-            cuts.append(b)
-            held = 0
-        held += size
-    cuts.append(count)
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    result = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    def one_pass(part, is_first: bool, is_last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = part.value
-            for batch in batches:
-                texts = byte_texts(batch)
-                earlier = None if is_first else batch.column(3).to_pylist()
-                kept: list[bytes] = []
-                scores = {c: np.zeros(len(texts), dtype=float if "score" in c else np.int64)
-                          for c in ("n_tokens", "n_known", "train_tokens", "base_score", "score")}
-                for group in hashed_groups(texts, lower=True):
-                    tokens, before, owner = tokens_of(group)
-                    size = len(group.offsets) - 1
-                    bounds = np.cumsum([0, *(np.diff(group.offsets) + 1)])
-                    if earlier is None:
-                        state = np.zeros((3, len(tokens)), dtype=np.int64)
-                    else:
-                        state = np.concatenate(
-                            [np.frombuffer(s, dtype="<i8").reshape(3, -1) for s in earlier[group.first:group.first + size]],
-                            axis=1).copy()
-                    _look_up(known, tokens, pair_keys(before, tokens), state)
-                    if is_last:
-                        here = slice(group.first, group.first + size)
-                        base, model = _token_scores(state, owner, n_train, n_types)
-                        scores["n_tokens"][here] = np.diff(bounds)
-                        scores["n_known"][here] = np.bincount(owner[state[0] > 0], minlength=size)
-                        scores["base_score"][here] = np.bincount(owner, weights=base, minlength=size)
-                        scores["score"][here] = np.bincount(owner, weights=model, minlength=size)
-                    else:
-                        kept += [state[:, a:b].astype("<i8").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
-                scores["train_tokens"][:] = n_train
-                if is_last:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0), batch.column(1), *(pa.array(v) for v in scores.values())],
-                        names=["doc_id", "held_out", *scores])
-                else:
-                    yield pa.RecordBatch.from_arrays(
-                        [*batch.columns[:3], pa.array(kept, pa.binary())], names=["doc_id", "held_out", "text", "state"])
-        return run
-
-    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        own = [x for x in range(a, b) if x in sizes]
-        part = Slice(a, b, shift, {x: sizes[x]["n_bits"] for x in own}, {x: sizes[x]["types"] for x in own})
-        for row in blocks.where(F.col("block").between(a, b - 1)).toLocalIterator():  # at most most_bytes in all
-            part.put(row)
-        last = i == len(cuts) - 2
-        sent = spark.sparkContext.broadcast(part)
-        schema = f"doc_id {kind}, held_out boolean, " + (result if last else "text string, state binary")
-        rows = rows.mapInArrow(one_pass(sent, i == 0, last), schema)
-        if not last:
-            rows = stage(rows, "levels")
-    return rows
+    blocks = stage(train_blocks(training, count), "blocks")
+    size, n_train, n_types = (x or 0 for x in blocks.agg(
+        F.sum(F.length("bits") + 12 * F.col("types")), F.sum("tokens"), F.sum("types")).first())
+    way = _score_by_broadcast if size <= most_bytes else _score_by_shuffle
+    return way(rows, blocks, shift, n_train, n_types)
