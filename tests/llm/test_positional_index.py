@@ -54,6 +54,32 @@ def test_hits_match_plain_search(spark, items):
     assert kept.count() == sum(not plain(t, items)[3] for _, t, *_ in rows)
 
 
+def test_very_long_texts_match_a_dictionary_of_windows(spark, items):
+    """40,000 words, with windows at both ends, in the middle and overlapping, against a look-up of every place."""
+    long = next(t for _, t, *_ in edge_rows() if len(words(t)) >= 40_000).split()
+    passage = items[0][1].split()
+    bench = [*items[:1], (7, " ".join(long[:10])), (8, " ".join(long[20_000:20_025])), (9, " ".join(long[-10:]))]
+    rows = [(1, " ".join(long), "", 0, "", 0), (2, " ".join(passage[:12] + long + passage[-11:]), "", 0, "", 0),
+            (3, " ".join(reversed(long)), "", 0, "", 0)]
+    windows = {}
+    for item, text in bench:
+        w = words(text)
+        for s in range(len(w) - 9):
+            windows.setdefault(tuple(w[s:s + 10]), set()).add(str(item))
+    want = {}
+    for i, text, *_ in rows:
+        own, hit, found = words(text), set(), set()
+        for p in range(len(own) - 9):
+            if (who := windows.get(tuple(own[p:p + 10]))):
+                hit.update(range(p, p + 10))
+                found |= who
+        want[i] = (len(own), len(hit), sorted(found))
+    docs, bench_table = both(spark, rows, bench)
+    got = positional_index.contamination(docs, bench_table).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in got} == want
+    assert [len(want[i][2]) for i in (1, 2, 3)] == [3, 4, 0]
+
+
 def test_empty_tables(spark, items):
     docs, bench = both(spark, [(1, "just three words", "", 0, "", 0)], items)
     assert positional_index.contamination(docs.limit(0), bench).count() == 0

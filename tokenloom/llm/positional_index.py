@@ -16,7 +16,8 @@ broadcasts them only below its threshold; above it, it shuffles.
 Cases: a null text has no words. A window is ``width`` words; an item with fewer, but
 at least one, is one window. Rows with equal ids and texts each give a row; equal ids
 with other texts stay apart. Items that share an id count as one; a null item id is the
-empty string. Empty tables give no rows, or documents without hits.
+empty string. Empty tables give no rows, or documents without hits. A text of any length is
+searched whole. Other columns aren't read, whatever their names; ``drop_contaminated`` keeps them.
 """
 
 from __future__ import annotations
