@@ -28,7 +28,7 @@ def passing_tokens(spark, sf_dir, docs):
     "select source, count(*)::BIGINT as docs, sum(n_tok)::BIGINT as tokens from tokens_train group by source", "tokens_train"))
 def stream_token_totals(spark, sf_dir):
     """Running token totals per source, kept as streaming state."""
-    docs = ingest.read_documents(spark, sf_dir, "documents.parquet")
+    docs = ingest.read_table(spark, f"{sf_dir}/documents.parquet")
     table = staging_path(spark, "totals")
     ingest.running_source_totals(
         passing_tokens(spark, sf_dir, docs).select("source", F.size("ids").alias("n_tok")), table,
@@ -41,7 +41,7 @@ def ingested(spark, sf_dir):
     """The table a stream appends to: filtered, encoded documents."""
     table = staging_path(spark, "ingest")
     ingest.append_batches(
-        ingest.read_documents(spark, sf_dir, "documents.parquet"), lambda b: passing_tokens(spark, sf_dir, spread(b)), table,
+        ingest.read_table(spark, f"{sf_dir}/documents.parquet"), lambda b: passing_tokens(spark, sf_dir, spread(b)), table,
         staging_path(spark, "ingest-ckpt")).awaitTermination()
     return spark.read.parquet(table)
 

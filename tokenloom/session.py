@@ -79,6 +79,11 @@ def folder_entries(spark: SparkSession, path: str) -> list[tuple[str, int, int]]
     return sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in system.listStatus(where))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    system, where = _hadoop(spark, path)
+    return system.getFileStatus(where).isDirectory()
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     system, where = _hadoop(spark, path)
     system.delete(where, True)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tokenloom.session import folder_entries, remove_folder
+from tokenloom.session import folder_entries, is_folder, remove_folder
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -26,6 +26,14 @@ def read_documents(spark: SparkSession, folder: str, pattern: str = "*.parquet",
     return reader.parquet(folder)
 
 
+def read_table(spark: SparkSession, path: str, schema: str = DOCUMENTS) -> DataFrame:
+    """A stored table as a stream, be it one file or a folder of files."""
+    if is_folder(spark, path):
+        return read_documents(spark, path, schema=schema)
+    folder, _, name = path.rpartition("/")
+    return read_documents(spark, folder, name, schema)
+
+
 def append_batches(stream: DataFrame, prepare: Callable[[DataFrame], DataFrame], table: str,
                    checkpoint: str) -> StreamingQuery:
     """Apply a stateless step to each micro-batch and append the result to ``table``.
