@@ -3,6 +3,7 @@ import heapq
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -198,6 +199,50 @@ def test_drafted_training_is_exact_whatever_the_draft_is_worth(spark, head, kept
     assert got == _train(counts, 40)
 
 
+@pytest.mark.parametrize("flat", [0, 256])
+def test_steps_of_a_draft_may_trade_places(spark, monkeypatch, flat):
+    """The rare pieces turn the order of two pairs that never meet: one round still settles both, with final numbers."""
+    monkeypatch.setattr(bpe_draft, "FLAT", flat)
+    counts = [("abx", 20), ("cdy", 19), ("efz", 7), ("gh", 6), *((f"q{c}cd", 1) for c in "ijkl")]
+    df = spark.createDataFrame(counts, "piece string, n long")
+    rounds, verified = [], bpe_draft.verified_changes
+    monkeypatch.setattr(bpe_draft, "draft", _swapped(bpe_draft.draft))
+    monkeypatch.setattr(bpe_draft, "verified_changes", lambda *a: rounds.append(1) or verified(*a))
+    got = bpe.merge_list(bpe_draft.train_drafted(spark, df, FIRST_MERGE + 8, head_size=4))
+    assert got == _train(counts, 8)
+    assert len(rounds) == 1
+
+
+def test_flat_steps_change_what_steps_on_strings_change():
+    rng = random.Random(5)
+    words = [[rng.choice([260, 261, 262]) for _ in range(rng.randint(2, 9))] for _ in range(300)]
+    counts = [rng.randint(1, 9) for _ in words]
+    steps = [(260, 260), (261, 263), (263, 260), (262, 262), (266, 266), (999, 260), (260, 261)]
+    held = bpe_draft.Pieces(["".join(map(bpe_draft._char, w)) for w in words], list(counts))
+    want = {(step, p, n) for step, (a, b) in enumerate(steps)
+            for p, n in held.merge(bpe_draft._pair(a, b), bpe_draft._char(263 + step)).items() if n}
+    parts = []
+    for some in (slice(0, 120), slice(120, 300)):
+        sizes = [len(w) for w in words[some]]
+        parts.append((np.concatenate(words[some]), np.repeat(np.arange(len(sizes)), sizes), np.array(counts[some])))
+    got = [tuple(r.values()) for b in bpe_draft._flat_changes(parts, steps, 263) for r in b.to_pylist()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def _swapped(draft):
+    """A draft that has its first two steps the wrong way round."""
+    def run(head, exact, first, steps):
+        pairs, undos = draft(head, exact, first, steps)
+        head.restore([u for undo in undos for u in undo])
+        swap = {bpe_draft._char(first): bpe_draft._char(first + 1), bpe_draft._char(first + 1): bpe_draft._char(first)}
+        pairs = ["".join(swap.get(c, c) for c in p) for p in [pairs[1], pairs[0], *pairs[2:]]]
+        undos = [[] for _ in pairs]
+        for i, pair in enumerate(pairs):
+            head.merge(pair, bpe_draft._char(first + i), undos[i])
+        return pairs, undos
+    return run
+
+
 def test_drafted_training_of_repeats_and_nothing(spark):
     counts = [("a" * 9, 5), ("b" * 4, 5), ("ab" * 3, 2), ("x", 9), ("é" * 3, 2)]
     df = spark.createDataFrame(counts, "piece string, n long")

@@ -16,6 +16,8 @@ from tokenloom.functions.text import BYTE_BASE, END_OF_TEXT, FIRST_MERGE, pieces
 
 _NONE = np.iinfo(np.int64).max
 _REMEMBER = 400_000
+# Pieces of a batch that are worked on at once.
+_AT_ONCE = 1 << 18
 
 
 class PieceEncoder:
@@ -103,7 +105,20 @@ class PieceEncoder:
         return np.split(ids.astype(np.int32), cuts) if words else []
 
     def encode_batch(self, lists: pa.ListArray) -> pa.ListArray:
-        """Ids of a batch of piece lists, one id list per row."""
+        """Ids of a batch of piece lists, one id list per row.
+
+        Some rows at a time, as the arrays it takes are many times the size of the ids.
+        """
+        ends = np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+        parts, at = [], 0
+        while at < len(ends):
+            below = (ends[at - 1] if at else 0) + _AT_ONCE
+            end = max(at + 1, int(np.searchsorted(ends, below, side="right")))
+            parts.append(self._encode_rows(lists.slice(at, end - at)))
+            at = end
+        return pa.concat_arrays(parts) if parts else self._encode_rows(lists)
+
+    def _encode_rows(self, lists: pa.ListArray) -> pa.ListArray:
         counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         distinct = [s.encode() for s in coded.dictionary.to_pylist()]

@@ -5,8 +5,10 @@ of merges take hours. Here a job fixes thousands. The driver holds the most freq
 pieces (at most ``HEAD``) and drafts the next merges from them and from the exact
 counts of all pairs. Tasks then carry out the drafted merges, in order, on all
 pieces, and report what each step changes in the pair counts. With these exact
-changes the driver replays the draft: as long as each step was the most frequent
-pair, it stands; at the first that was not, the rest of the draft is undone. The
+changes the driver replays the draft: it takes the most frequent pair each time, as long
+as that is a drafted step which no step it has passed over touches in any piece. Such a
+step changes the same with or without them, so what the tasks reported holds, but for
+the number of its token. The rest of the draft is undone. The
 first step always stands, so the result is that of the one-at-a-time rule whatever the
 draft was worth. If the pieces are no more than ``HEAD``, drafts are right to the end.
 
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +41,8 @@ from tokenloom.session import stage, wide_partitions
 
 #: Pieces the driver drafts from, and pieces a verifying task holds, at most on average.
 HEAD, PER_TASK = 1_000_000, 100_000
-#: Steps of a first and of the longest draft.
-SHORT, LONG = 64, 8192
+#: Steps of a first and of the longest draft, and of the longest that tasks carry out on flat arrays of ids.
+SHORT, LONG, FLAT = 64, 8192, 256
 #: Pairs whose counts the driver keeps; twice as many are cut back to these.
 KEPT = 1 << 20
 #: Merges after which the stored pieces are written anew.
@@ -183,11 +186,13 @@ def draft(head: Pieces, exact: PairCounts, first: int, steps: int) -> tuple[list
 def _verify(before: PieceEncoder, pairs: list[str], first: int):
     """What each drafted step changes in the pair counts over the pieces of a task."""
     only = set(pairs)
-    old = np.array([(a << 20) | b for a, b in map(_ids, pairs) if a < first and b < first], dtype=np.int64)
+    steps = list(map(_ids, pairs))
+    old = np.array([(a << 20) | b for a, b in steps if a < first and b < first], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[str] = []
         counts: list[int] = []
+        flat: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             ids, word, n = _layout(batch)
             ids, word = before.merge(ids, word)
@@ -196,8 +201,14 @@ def _verify(before: PieceEncoder, pairs: list[str], first: int):
             busy = np.zeros(len(n), dtype=bool)
             busy[word[hit]] = True
             own = busy[word]
+            if len(steps) <= FLAT:
+                flat.append((ids[own], np.cumsum(busy)[word[own]] - 1, n[busy]))
+                continue
             words += _words(ids[own], np.bincount(word[own], minlength=len(n))[busy])
             counts += n[busy].tolist()
+        if len(steps) <= FLAT:
+            yield from _flat_changes(flat, steps, first)
+            return
         held = Pieces(words, counts, only)
         out: list[tuple[int, str, int]] = []
         for step, pair in enumerate(pairs):
@@ -209,6 +220,48 @@ def _verify(before: PieceEncoder, pairs: list[str], first: int):
     return run
 
 
+def _pairs_at(ids: np.ndarray, word: np.ndarray, n: np.ndarray, *places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that begin at any of the places, each place once, and the counts of their pieces."""
+    mark = np.zeros(len(ids) + 1, dtype=bool)  # the last entry takes place -1
+    for at in places:
+        mark[at] = True
+    at = np.flatnonzero(mark[:max(len(ids) - 1, 0)])
+    at = at[word[at] == word[at + 1]]
+    return (ids[at].astype(np.int64) << 20) | ids[at + 1], n[word[at]]
+
+
+def _flat_changes(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], steps: list[tuple[int, int]], first: int):
+    """As carrying out the steps on :class:`Pieces`: each looks through all ids at once, which is faster for few steps."""
+    if not parts:
+        return
+    n = np.concatenate([p[2] for p in parts])
+    base = np.cumsum([0, *(len(p[2]) for p in parts)])
+    ids = np.concatenate([p[0] for p in parts]).astype(np.int32)
+    word = np.concatenate([p[1] + at for p, at in zip(parts, base)]).astype(np.int32)
+    for step, (a, b) in enumerate(steps):
+        hit = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b))
+        hit = hit[word[hit] == word[hit + 1]]
+        if not len(hit):
+            continue
+        if a == b:  # from the left: only even places of a run of hits, which ends with the piece
+            begins = np.r_[True, (np.diff(hit) != 1) | (np.diff(word[hit]) != 0)]
+            hit = hit[(hit - hit[begins][np.cumsum(begins) - 1]) % 2 == 0]
+        keys, amounts = _pairs_at(ids, word, n, hit - 1, hit, hit + 1)
+        ids[hit] = first + step
+        keep = np.ones(len(ids), dtype=bool)
+        keep[hit + 1] = False
+        ids, word, hit = ids[keep], word[keep], hit - np.arange(len(hit))
+        new_keys, new_amounts = _pairs_at(ids, word, n, hit - 1, hit)
+        group, pair = pd.factorize(np.concatenate([keys, new_keys]))
+        total = np.zeros(len(pair), dtype=np.int64)
+        np.add.at(total, group, np.concatenate([-amounts, new_amounts]))
+        pair, total = pair[total != 0], total[total != 0]
+        both = np.stack([pair >> 20, pair & 0xFFFFF], axis=1).ravel()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(pair), step, np.int32)), pa.array(_words(both, np.full(len(pair), 2)), pa.string()),
+             pa.array(total, pa.int64())], ["step", "pair", "n"])
+
+
 def _rows(out: list[tuple[int, str, int]]) -> pa.RecordBatch:
     step, pair, n = zip(*out, strict=True) if out else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(step, pa.int32()), pa.array(pair, pa.string()), pa.array(n, pa.int64())],
@@ -227,6 +280,41 @@ def verified_changes(words: DataFrame, pending: list[tuple[int, int]], staged: i
     return changes
 
 
+def replay(exact: PairCounts, pairs: list[str], changes: list[dict[str, int]], first: int) -> tuple[list[str], int]:
+    """The next merges that the verified steps of a draft give, and how many of them are the draft's own beginning.
+
+    The most frequent pair is taken, in whatever place the draft has it. A step holds without
+    those before it that were passed over if it meets none of their tokens, and none of them takes
+    its pair away. Its token gets the number of its turn; ties are decided by these numbers.
+    """
+    place = {pair: j for j, pair in enumerate(pairs)}
+    drafted: dict[str, str] = {}  # by the token's final number
+    final: dict[str, str] = {}
+    merged: list[str] = []
+    passed: set[int] = set()
+    straight = reach = 0
+    while (pair := exact.top()) is not None:
+        known = "".join(drafted.get(c, c) for c in pair)
+        j = place.get(known)
+        if j is None:
+            break
+        before = {i for i in passed if i < j} | set(range(reach, j))
+        if before:
+            tokens = {_char(first + i) for i in before}
+            if any(not tokens.isdisjoint(p) for p in changes[j]) or any(known in changes[i] for i in before):
+                break
+        if j == straight == len(merged):
+            straight += 1
+        passed |= set(range(reach, j))
+        passed.discard(j)
+        reach = max(reach, j + 1)
+        token = _char(first + len(merged))
+        drafted[token], final[_char(first + j)] = _char(first + j), token
+        exact.apply(pair, {"".join(final.get(c, c) for c in p): n for p, n in changes[j].items()})
+        merged.append(pair)
+    return merged, straight
+
+
 def _least_count(words: DataFrame, most: int) -> int:
     """The least power of two such that at most ``most`` pieces occur that often."""
     log = F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("log")
@@ -267,15 +355,13 @@ def train_drafted(spark: SparkSession, counts: DataFrame, vocab_size: int, min_f
         first = FIRST_MERGE + len(merges)
         pairs, undos = draft(head, exact, first, min(steps, room - len(merges)))
         changes = verified_changes(words, merges[staged:], staged, pairs, first, exact.floor)
-        good = 0
-        for pair, change in zip(pairs, changes, strict=True):
-            if exact.top() != pair:
-                break
-            exact.apply(pair, change)
-            good += 1
-        for undo in reversed(undos[good:]):
+        found, straight = replay(exact, pairs, changes, first)
+        good = len(found)
+        for undo in reversed(undos[straight:]):
             head.restore(undo)
-        merges += [_ids(p) for p in pairs[:good]]
+        for turn in range(straight, good):
+            head.merge(found[turn], _char(first + turn))
+        merges += [_ids(p) for p in found]
         exact.forget(kept)
         steps = min(longest, 2 * steps) if good == len(pairs) else max(16, min(longest, 2 * good))
         if len(merges) - staged >= STALE and len(merges) < room:

@@ -74,9 +74,13 @@ def byte_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 LARGE = 512
 
 
+#: Pieces that the smaller vocabularies are drafted from.
+SMALL_HEAD = 100_000
+
+
 def train_vocabulary(spark: SparkSession, sf_dir: str, size: int = MERGES) -> DataFrame:
     texts = mixing.taken_rows(byte_sources(spark, sf_dir), byte_mix(spark, sf_dir), "doc_id")
-    return bpe.train_bpe(spark, bpe.piece_counts(texts), FIRST_MERGE + size)
+    return bpe_draft.train_drafted(spark, bpe.piece_counts(texts), FIRST_MERGE + size, head_size=SMALL_HEAD)
 
 
 @artifact
