@@ -37,7 +37,7 @@ from tokenloom.functions.encode import PieceEncoder
 from tokenloom.functions.text import FIRST_MERGE, byte_ids
 from tokenloom.operators.bpe import MERGES_SCHEMA, _apply, _layout, pair_counts
 from tokenloom.operators.filters import check_vocabulary
-from tokenloom.session import stage, wide_partitions
+from tokenloom.session import stage
 
 #: Pieces the driver drafts from, and pieces a verifying task holds, at most on average.
 HEAD, PER_TASK = 1_000_000, 100_000
@@ -335,7 +335,8 @@ def train_drafted(spark: SparkSession, counts: DataFrame, vocab_size: int, min_f
     words = counts.select(byte_ids(F.col("piece")).alias("ids"), F.col("n").cast("long").alias("n")).where(F.size("ids") > 1)
     words = stage(words, "bpe-pieces")
     total = words.count()
-    parts = max(wide_partitions(spark), -(-total // PER_TASK))
+    # A task per core at least; small ones cost more than their work.
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // PER_TASK))
     frequent = words.where(F.col("n") >= _least_count(words, head_size)).toArrow()
     lists = frequent.column("ids").combine_chunks()
     head = Pieces(_words(lists.flatten().to_numpy(), lists.value_lengths().to_numpy()), frequent.column("n").to_pylist())
