@@ -4,10 +4,12 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
 
+from tokenloom.functions import encode
 from tokenloom.functions.encode import PieceEncoder, decoder, encoder, with_end_of_text
 from tokenloom.functions.text import BYTE_BASE, FIRST_MERGE, SPECIAL_TOKENS, SPLIT_PATTERN, byte_ids, pieces
 from tokenloom.operators import bpe, bpe_draft
@@ -297,3 +299,16 @@ def test_cut_inside_a_character_decodes(spark):
 def test_large_vocabulary_of_rare_pairs_stops(spark):
     counts = spark.createDataFrame([("abc", 1), ("xyz", 1)], "piece string, n long")
     assert bpe.merge_list(bpe.train_bpe(spark, counts, FIRST_MERGE + 10)) == []
+
+
+def test_a_batch_is_encoded_some_rows_at_a_time(monkeypatch):
+    """Rows of any size, empty and null ones among them, give the same ids, and no part takes more than its share."""
+    rows = [["ab", "abc"], [], None, ["abab"] * 9, ["c"], ["ab", "c", "ab"]]
+    merges = [(101, 102), (260, 103)]
+    whole = PieceEncoder(merges).encode_batch(pa.array(rows, pa.list_(pa.string()))).to_pylist()
+    assert whole[0] == [260, 261] and whole[5] == [260, 103, 260] and [len(w) for w in whole] == [2, 0, 0, 18, 1, 3]
+    sizes, part = [], PieceEncoder._encode_rows
+    monkeypatch.setattr(encode, "_AT_ONCE", 4)
+    monkeypatch.setattr(PieceEncoder, "_encode_rows", lambda self, some: sizes.append(len(some.flatten())) or part(self, some))
+    assert PieceEncoder(merges).encode_batch(pa.array(rows, pa.list_(pa.string()))).to_pylist() == whole
+    assert sizes == [2, 9, 4]
