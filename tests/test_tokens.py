@@ -312,3 +312,12 @@ def test_a_batch_is_encoded_some_rows_at_a_time(monkeypatch):
     monkeypatch.setattr(PieceEncoder, "_encode_rows", lambda self, some: sizes.append(len(some.flatten())) or part(self, some))
     assert PieceEncoder(merges).encode_batch(pa.array(rows, pa.list_(pa.string()))).to_pylist() == whole
     assert sizes == [2, 9, 4]
+
+
+def test_pieces_are_counted_in_batches(spark):
+    """No row per piece: batches are counted where they are. Null and empty texts have none."""
+    texts = ["so it is", None, "", "it is, it is", " \n"] * 40
+    found = bpe.piece_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    pattern = regex.compile(SPLIT_PATTERN)
+    assert {r["piece"]: r["n"] for r in found.collect()} == Counter(m.group(0) for t in texts for m in pattern.finditer(t or ""))
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()

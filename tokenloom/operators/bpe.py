@@ -33,13 +33,19 @@ CANDIDATES = 1024
 WATCHED = 16_384
 
 
+def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = batch.column(0).flatten().value_counts()
+        yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["piece", "n"])
+
+
 def piece_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct pre-tokens of the corpus with their counts (pre-aggregated per task)."""
-    return (
-        texts.select(F.explode(pieces(F.col(text))).alias("piece"))
-        .groupBy("piece")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Distinct pre-tokens of the corpus with their counts.
+
+    Each Arrow batch is counted where it is, so no piece is ever a row of its own.
+    """
+    found = texts.select(pieces(F.col(text)).alias("pieces")).mapInArrow(_count_pieces, "piece string, n long")
+    return found.groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def _layout(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
