@@ -314,6 +314,18 @@ def test_a_batch_is_encoded_some_rows_at_a_time(monkeypatch):
     assert sizes == [2, 9, 4]
 
 
+def test_new_pieces_are_merged_some_bytes_at_a_time(monkeypatch):
+    """However long a row, merging (which takes many times the bytes) gets few of its pieces at once, and each piece once."""
+    row = [c * 3 for c in "abcdefghi"] + ["aaaaaaa", "bc"] * 3
+    sizes, merge = [], PieceEncoder.merge
+    monkeypatch.setattr(encode, "_AT_ONCE", 6)
+    monkeypatch.setattr(PieceEncoder, "merge", lambda self, ids, word: sizes.append(len(ids)) or merge(self, ids, word))
+    coder, a = PieceEncoder([(101, 101), (102, 103)]), 101
+    coded = coder.encode_batch(pa.array([row, ["bc"]], pa.list_(pa.string()))).to_pylist()
+    assert coded == [[260, a] + [x + i for i in range(1, 9) for x in [a] * 3] + [260, 260, 260, a, 261] * 3, [261]]
+    assert sum(sizes) == 36 and max(sizes) <= 7
+
+
 def test_pieces_are_counted_in_batches(spark):
     """No row per piece: batches are counted where they are. Null and empty texts have none."""
     texts = ["so it is", None, "", "it is, it is", " \n"] * 40

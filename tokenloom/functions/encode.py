@@ -16,7 +16,7 @@ from tokenloom.functions.text import BYTE_BASE, END_OF_TEXT, FIRST_MERGE, pieces
 
 _NONE = np.iinfo(np.int64).max
 _REMEMBER = 400_000
-# Pieces of a batch that are worked on at once.
+# Pieces of a batch, and bytes of new pieces, that are worked on at once.
 _AT_ONCE = 1 << 18
 
 
@@ -29,7 +29,9 @@ class PieceEncoder:
         keys = (pairs[:, 0] << 20) | pairs[:, 1]
         self._rank_of = np.argsort(keys, kind="stable")
         self._keys = keys[self._rank_of]
-        self._known: dict[bytes, np.ndarray] = {}
+        # Pieces seen so far by number; their ids are one after the other.
+        self._known: dict[str, int] = {}
+        self._flat, self._size = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _ranks(self, ids: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Rank of the merge starting at each position, or a huge number."""
@@ -97,12 +99,43 @@ class PieceEncoder:
         busy[word[hits]] = True
         return busy[word]
 
-    def encode_many(self, words: list[bytes]) -> list[np.ndarray]:
+    def _encode_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in one array, and how many each word has."""
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         ids = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int64) + BYTE_BASE
         ids, word = self.merge(ids, np.repeat(np.arange(len(words)), sizes))
-        cuts = np.cumsum(np.bincount(word, minlength=len(words)))[:-1]
-        return np.split(ids.astype(np.int32), cuts) if words else []
+        return ids.astype(np.int32), np.bincount(word, minlength=len(words)).astype(np.int32)
+
+    def encode_many(self, words: list[bytes]) -> list[np.ndarray]:
+        ids, sizes = self._encode_flat(words)
+        return np.split(ids, np.cumsum(sizes)[:-1]) if words else []
+
+    def _look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words in one array; where each word begins there, and its size."""
+        known = self._known
+        at = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+        fresh = np.flatnonzero(at < 0)
+        flat, size = self._flat, self._size
+        if len(fresh):
+            new = [words[i] for i in fresh.tolist()]
+            coded = [w.encode() for w in new]
+            # Merging takes many times the bytes of the words: some of them at a time.
+            ends = np.cumsum([len(w) for w in coded])
+            parts, done = [], 0
+            while done < len(coded):
+                below = (ends[done - 1] if done else 0) + _AT_ONCE
+                end = max(done + 1, int(np.searchsorted(ends, below, side="right")))
+                parts.append(self._encode_flat(coded[done:end]))
+                done = end
+            at[fresh] = np.arange(len(size), len(size) + len(fresh))
+            flat = np.concatenate([flat, *(p[0] for p in parts)])
+            size = np.concatenate([size, *(p[1] for p in parts)])
+            # The frequent words come early; later ones are encoded batch by batch.
+            if len(known) < _REMEMBER:
+                known.update(zip(new, at[fresh].tolist()))
+                self._flat, self._size = flat, size
+        begin = np.cumsum(size, dtype=np.int32) - size
+        return flat, begin[at], size[at]
 
     def encode_batch(self, lists: pa.ListArray) -> pa.ListArray:
         """Ids of a batch of piece lists, one id list per row.
@@ -121,22 +154,14 @@ class PieceEncoder:
     def _encode_rows(self, lists: pa.ListArray) -> pa.ListArray:
         counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        distinct = [s.encode() for s in coded.dictionary.to_pylist()]
-        new = [w for w in distinct if w not in self._known]
-        own = dict(zip(new, self.encode_many(new)))
-        table = [self._known[w] if w in self._known else own[w] for w in distinct]
-        # The frequent words come early; later ones are encoded batch by batch.
-        if len(self._known) < _REMEMBER:
-            self._known.update(own)
-        size = np.array([len(t) for t in table], dtype=np.int64)
-        begin = np.cumsum(size) - size
-        flat = np.concatenate(table) if table else np.zeros(0, np.int32)
-        use = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, begin, size = self._look_up(coded.dictionary.to_pylist())
+        use = coded.indices.to_numpy(zero_copy_only=False)
         n = size[use]
-        ends = np.cumsum(n)
-        spots = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(begin[use], n)
+        ends = np.cumsum(n, dtype=np.int32)
+        spots = np.repeat(begin[use] - ends + n, n)
+        spots += np.arange(len(spots), dtype=np.int32)
         offsets = np.r_[0, np.cumsum(counts)]
-        tok = np.r_[0, ends][offsets]
+        tok = np.r_[np.int32(0), ends][offsets]
         return pa.ListArray.from_arrays(pa.array(tok, pa.int32()), pa.array(flat[spots], pa.int32()))
 
 
