@@ -40,6 +40,16 @@ def test_token_deficit_equals_the_loop(spark, many_ranges, seed, need, per_batch
     assert sorted((r["start"], r["source"], r["epoch"], r["doc_id"]) for r in got.collect()) == _greedy(sizes, mix, need, per_batch)
 
 
+def test_epochs_of_a_source_may_pass_32_bits_together(spark):
+    """Each source has fewer tokens than 2**31, what the mix reads of one has more."""
+    mix = _mix({"a": 0.8, "b": 0.2})
+    sizes = {"a": [700_000_000, 650_000_001], "b": [600_000_000, 1_000_000_007]}
+    need = 9_000_000_000
+    got = mixing.token_deficit_mix(_docs(spark, sizes), mix, need, 2).collect()
+    assert sorted((r["start"], r["source"], r["epoch"], r["doc_id"]) for r in got) == _greedy(sizes, mix, need, 2)
+    assert max(r["epoch"] for r in got) > 3
+
+
 def test_empty_source_is_an_error(spark):
     with pytest.raises(mixing.EmptySource):
         mixing.token_deficit_mix(_docs(spark, {"a": [5]}), _mix({"a": 1, "b": 1}), 10)

@@ -77,8 +77,10 @@ def token_deficit_mix(
     limit = {s: int(need * share[s]) + 1 + per_batch * top for s, (_, _, top) in totals.items()}
     size = _lookup(mix, {s: t for s, (_, t, _) in totals.items()})
     last = F.floor((_lookup(mix, limit) - 1 - F.col("before")) / size).cast("int")
-    place = F.col("epoch") * _lookup(mix, {s: n for s, (n, _, _) in totals.items()}) + F.col("place")
-    before = F.col("epoch") * size + F.col("before")
+    # A source may fit 32 bits while its epochs together don't.
+    epoch = F.col("epoch").cast("long")
+    place = epoch * _lookup(mix, {s: n for s, (n, _, _) in totals.items()}) + F.col("place")
+    before = epoch * size + F.col("before")
     uses = (
         ranked.where(F.col("before") < _lookup(mix, limit))
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
