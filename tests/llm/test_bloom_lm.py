@@ -1,9 +1,12 @@
 import math
+import pickle
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import edge_rows
@@ -59,6 +62,55 @@ def test_blocks_grow_in_number_with_the_text():
         assert size / count <= bloom_lm.BLOCK_BYTES and count & (count - 1) == 0
 
 
+def test_blocks_are_stored_in_few_files(spark, many_ranges, monkeypatch):
+    """However many reducers make them: creating a file costs an executor a copy of its process."""
+    stored, stage = [], bloom_lm.stage
+    monkeypatch.setattr(bloom_lm, "stage", lambda df, label: stored.append(stage(df, label)) or stored[-1])
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        bloom_lm.score_documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert stored[0].count() == 64 and len(stored[0].inputFiles()) <= 8
+
+
+def test_a_model_travels_without_its_arrays(spark):
+    """Workers map the file their executor got instead of holding a model each."""
+    part = bloom_lm.MappedSlice(0, 2, 63, {0: 40_000_000, 1: 8}, {0: 3, 1: 0})
+    words = np.array([3, 8, 9], dtype="<u8")
+    part.put({"block": 0, "bits": b"\xff" * 5_000_000, "words": words.tobytes(),
+              "counts": np.array([5, 1 << 40, 2], dtype="<i8").tobytes()})
+    part.send(spark)
+    sent = pickle.dumps(part)
+    assert len(sent) < 5_000
+
+    def look(batches):
+        known = pickle.loads(sent).here()
+        assert not known.bits.flags.writeable and len(known.bits) == 5_000_001
+        for batch in batches:
+            keys = batch.column(0).to_numpy().astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(known.exact(keys))], ["n"])
+
+    found = spark.createDataFrame([(8,), (3,), (4,)], "k long").coalesce(1).mapInArrow(look, "n long").collect()
+    assert [r["n"] for r in found] == [1 << 40, 5, 0]
+
+
+def test_hashing_takes_little_memory_at_once():
+    texts = [b"some words of a text that is not long, again and again " * 20] * 4000
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.binary())})
+    tracemalloc.start()
+    try:
+        total = 0
+        for group in bloom_lm._groups(batch):
+            tokens, before, _ = bloom_lm.tokens_of(group)
+            total += len(bloom_lm.pair_keys(before, tokens))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == 4000 * (20 * 12 + 1)
+    assert peak < 30 << 20
+
+
 def test_odd_rows(edge, no_docs):
     rows = bloom_lm.score_documents(edge).collect()
     check(rows, [(i, t) for i, t, *_ in edge_rows()])

@@ -8,8 +8,9 @@ stored as the level 1 + floor(log c): the key goes in once for each level up to
 that, so a probe asks for level 1, 2, ... until one is missing. Filter bits grow
 with the number of stored levels (``BITS`` each).
 
-The blocks, with the exact word counts of the base score beside them, are broadcast
-to the workers if they fit ``most_bytes``. Else probes go to the blocks: chunks of
+The blocks, with the exact word counts of the base score beside them, are written to one
+file if they fit ``most_bytes``. Each executor gets a copy, which its workers map: they share
+it, and no process holds a model of its own. Else probes go to the blocks: chunks of
 documents send each of their different words and pairs once to its block and get levels
 and counts back, two shuffles whatever the size of the model. Both ways give the same scores.
 
@@ -24,12 +25,14 @@ A text of any length is scored whole, as one row of one task. Other columns aren
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -40,16 +43,18 @@ from tokenloom.session import stage
 BITS, PROBES = 10, 5
 LEVEL_BASE = 1.5
 MU = 4.0
-#: Largest broadcast; a larger model stays where it is and probes go to it.
-MOST_BYTES = 256 << 20
+#: Largest model that is copied to every machine; a larger one stays where it is and probes go to it.
+MOST_BYTES = 4 << 30
 #: Training text to a block; its sums take some three times as much at most.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Tokens of a chunk of documents whose probes go out together (a longer text is a chunk of its own).
 CHUNK_TOKENS = 500_000
 #: Tokens a task holds before it hands on its sums.
 HELD_TOKENS = 1_500_000
-#: Blocks whose sums leave a task in one Arrow batch.
-SENT_BLOCKS = 16
+#: Blocks whose sums leave a task in one Arrow batch, and blocks to a stored file.
+SENT_BLOCKS = STORED_BLOCKS = 16
+#: Text that is hashed at once; its arrays take some hundred times as much.
+HASHED_BYTES = 256 << 10
 END = U64(0x5851F42D4C957F2D)
 
 
@@ -68,6 +73,10 @@ def count_of(levels: np.ndarray) -> np.ndarray:
     return table[levels]
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[Hashed]:
+    return hashed_groups(byte_texts(batch), lower=True, group_bytes=HASHED_BYTES)
+
+
 def tokens_of(group: Hashed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes with an end behind each text, the tokens before them, and each token's text."""
     count = len(group.offsets) - 1
@@ -156,8 +165,8 @@ def _build_block(table: pa.Table) -> pa.Table:
     kinds = table["kind"].to_pylist()
     for kind in (1, 2):
         own = [i for i, k in enumerate(kinds) if k == kind]
-        sums[kind] = _add_up([np.frombuffer(table["keys"][i].as_py(), dtype="<u8") for i in own],
-                             [np.frombuffer(table["counts"][i].as_py(), dtype="<u4") for i in own])
+        sums[kind] = _add_up([np.frombuffer(table["keys"][i].as_buffer(), dtype="<u8") for i in own],
+                             [np.frombuffer(table["counts"][i].as_buffer(), dtype="<u4") for i in own])
     (words, word_counts), (pairs, pair_counts) = sums[1], sums[2]
     bits, size = build_filter(np.concatenate([words, pairs]), np.concatenate([word_counts, pair_counts]))
     return pa.table({
@@ -175,7 +184,7 @@ def train_blocks(texts: DataFrame, blocks: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs, held = [], [], 0
         for batch in batches:
-            for group in hashed_groups(byte_texts(batch), lower=True):
+            for group in _groups(batch):
                 tokens, before, _ = tokens_of(group)
                 words.append(tokens)
                 pairs.append(pair_keys(before, tokens))
@@ -204,10 +213,17 @@ class Slice:
             self.sizes[b - first], n_bytes[b - first], n_types[b - first] = bits[b], (bits[b] + 7) // 8, types[b]
         self.begins = np.cumsum(n_bytes) - n_bytes
         self.word_begins = np.cumsum(n_types) - n_types
-        self.bits = np.empty(n_bytes.sum(), dtype=np.uint8)
-        self.words = np.empty(n_types.sum(), dtype=U64)
-        self.counts = np.empty(n_types.sum(), dtype=np.uint32)
+        self.n_types, self.n_bytes = int(n_types.sum()), int(n_bytes.sum())
         self.large: dict[int, int] = {}  # counts that need more than 32 bits
+        self._lay_out(self._memory())
+
+    def _memory(self) -> np.ndarray:
+        return np.empty(12 * self.n_types + self.n_bytes, dtype=np.uint8)
+
+    def _lay_out(self, memory: np.ndarray) -> None:
+        a, b = 8 * self.n_types, 12 * self.n_types
+        self.words, self.counts = memory[:a].view(U64), memory[a:b].view(np.uint32)
+        self.bits = memory[b:b + self.n_bytes]
 
     def put(self, row) -> None:
         """Copy one block's row to its place."""
@@ -253,6 +269,26 @@ class Slice:
         return found
 
 
+class MappedSlice(Slice):
+    """A slice in a file of which every executor gets one copy; its workers map it and so share its memory."""
+
+    def _memory(self) -> np.ndarray:
+        # Spark's own folder for such files: no second copy here, and gone when the session ends.
+        self.path = os.path.join(SparkFiles.getRootDirectory(), f"model-{uuid.uuid4().hex}.bin")
+        return np.asarray(np.memmap(self.path, np.uint8, "w+", shape=max(1, 12 * self.n_types + self.n_bytes)))
+
+    def send(self, spark: SparkSession) -> None:
+        """Write out what was put in, for the tasks that begin from now on."""
+        del self.words, self.counts, self.bits  # unmaps the file
+        spark.sparkContext.addFile(self.path)
+
+    def here(self) -> MappedSlice:
+        """The slice as a worker sees it."""
+        if not hasattr(self, "bits"):
+            self._lay_out(np.asarray(np.memmap(SparkFiles.get(os.path.basename(self.path)), np.uint8, "r")))
+        return self
+
+
 def _look_up(part: Slice, tokens: np.ndarray, pairs: np.ndarray, state: np.ndarray) -> None:
     """Fill in what the slice knows: rows of ``state`` are exact count, word level, pair level."""
     here = part.holds(tokens)
@@ -295,20 +331,21 @@ def _sums(state: np.ndarray, owner: np.ndarray, texts: int, n_train: int, n_type
             np.bincount(owner, weights=base, minlength=texts), np.bincount(owner, weights=model, minlength=texts)]
 
 
-def _score_by_broadcast(rows: DataFrame, blocks: DataFrame, shift: int, n_train: int, n_types: int) -> DataFrame:
-    """Scores by a model small enough for every worker; ``rows``: doc_id, held_out, text."""
+def _score_by_copies(rows: DataFrame, blocks: DataFrame, shift: int, n_train: int, n_types: int) -> DataFrame:
+    """Scores by a model of which every machine holds a copy; ``rows``: doc_id, held_out, text."""
     spark = rows.sparkSession
-    sizes = blocks.select("block", "n_bits", "types").collect()  # as many as make up a broadcast at most
-    part = Slice(0, 1 << (64 - shift), shift, {r["block"]: r["n_bits"] for r in sizes}, {r["block"]: r["types"] for r in sizes})
+    sizes = blocks.select("block", "n_bits", "types").collect()  # a row for each BLOCK_BYTES of training text
+    part = MappedSlice(0, 1 << (64 - shift), shift, {r["block"]: r["n_bits"] for r in sizes}, {r["block"]: r["types"] for r in sizes})
     for row in blocks.toLocalIterator():
         part.put(row)
-    sent = spark.sparkContext.broadcast(part)
+    part.send(spark)
+    sent = spark.sparkContext.broadcast(part)  # all but the arrays
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known = sent.value.here()
         for batch in batches:
             parts = []
-            for group in hashed_groups(byte_texts(batch), lower=True):
+            for group in _groups(batch):
                 tokens, before, owner = tokens_of(group)
                 state = np.zeros((3, len(tokens)), dtype=np.int64)
                 _look_up(known, tokens, pair_keys(before, tokens), state)
@@ -339,7 +376,7 @@ def _chunks(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             own_ids, own_outs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for group in hashed_groups(byte_texts(batch), lower=True):
+            for group in _groups(batch):
                 here = slice(group.first, group.first + len(group.offsets) - 1)
                 ids += own_ids[here]
                 outs += own_outs[here]
@@ -428,8 +465,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A first pass inside the JVM, for the number of blocks.
     count = _block_count(training.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     shift = 64 - (count.bit_length() - 1)
-    blocks = stage(train_blocks(training, count), "blocks")
+    # Some reducers to a file, which would else hold a few hundred KB, or nothing.
+    files = max(docs.sparkSession.sparkContext.defaultParallelism, count // STORED_BLOCKS)
+    blocks = stage(train_blocks(training, count).coalesce(files), "blocks")
     size, n_train, n_types = (x or 0 for x in blocks.agg(
         F.sum(F.length("bits") + 12 * F.col("types")), F.sum("tokens"), F.sum("types")).first())
-    way = _score_by_broadcast if size <= most_bytes else _score_by_shuffle
+    way = _score_by_copies if size <= most_bytes else _score_by_shuffle
     return way(rows, blocks, shift, n_train, n_types)

@@ -99,11 +99,11 @@ def _hash_bytes(buf: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, n
     return starts, mix(raw + (ends - starts).astype(U64)), heads[ends] - heads[starts]
 
 
-def _hash_long(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _hash_long(data: bytes, lower: bool, group_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     """A text above the group size, cut after white space; only words are cut out whole."""
     words, chars, at = [], [], 0
     while at < len(data):
-        cut = min(at + GROUP_BYTES, len(data))
+        cut = min(at + group_bytes, len(data))
         while cut < len(data) and not _SPACE[data[cut]]:
             cut += 1
         _, w, c = _hash_bytes(np.frombuffer(data[at:cut], dtype=np.uint8), lower)
@@ -113,16 +113,16 @@ def _hash_long(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(words), np.concatenate(chars)
 
 
-def hashed_groups(texts: Sequence[bytes], lower: bool) -> Iterator[Hashed]:
-    """Words of all texts, in groups of about GROUP_BYTES (a longer text is its own group)."""
+def hashed_groups(texts: Sequence[bytes], lower: bool, group_bytes: int = GROUP_BYTES) -> Iterator[Hashed]:
+    """Words of all texts, in groups of about ``group_bytes`` (a longer text is its own group)."""
     at = 0
     while at < len(texts):
         size, end = len(texts[at]) + 1, at + 1
-        if size > GROUP_BYTES:
-            words, chars = _hash_long(texts[at], lower)
+        if size > group_bytes:
+            words, chars = _hash_long(texts[at], lower, group_bytes)
             yield Hashed(at, np.array([0, len(words)]), words, chars)
         else:
-            while end < len(texts) and size + len(texts[end]) + 1 <= GROUP_BYTES:
+            while end < len(texts) and size + len(texts[end]) + 1 <= group_bytes:
                 size += len(texts[end]) + 1
                 end += 1
             buf = np.frombuffer(b" ".join(texts[at:end]), dtype=np.uint8)
