@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions import encode
 from tokenloom.functions.encode import PieceEncoder, decoder, encoder, with_end_of_text
 from tokenloom.functions.text import BYTE_BASE, FIRST_MERGE, SPECIAL_TOKENS, SPLIT_PATTERN, byte_ids, pieces
-from tokenloom.operators import bpe, bpe_draft
+from tokenloom.operators import bpe, bpe_draft, bpe_ranges
 from tokenloom.plans import QUERIES, corpus
 
 SAMPLES = [
@@ -254,6 +254,37 @@ def test_drafted_training_of_repeats_and_nothing(spark):
     assert bpe.merge_list(bpe_draft.train_drafted(spark, rare.limit(0), FIRST_MERGE + 10)) == []
 
 
+@pytest.mark.parametrize("most,told", [(1000, 1 << 20), (60, 1 << 20), (12, 40), (0, 7)])
+def test_training_by_ranges_is_exact_whatever_fits(spark, most, told):
+    """All pieces at once, some segments a round, and none: more rounds, the same merges."""
+    rng = random.Random(most)
+    counts = list({"".join(rng.choices("abcd", k=rng.randint(1, 9))): rng.randint(1, 30) for _ in range(60)}.items())
+    counts += [("a" * 9, 5), ("b" * 11, 5), ("ab" * 3, 2), ("é" * 3, 2)]
+    df = spark.createDataFrame(dict(counts).items(), "piece string, n long")
+    size = 40 if most else 12
+    got = bpe.merge_list(bpe_ranges.train_by_ranges(spark, df, FIRST_MERGE + size, most=most, told=told))
+    assert got == _train(list(dict(counts).items()), size)
+
+
+def test_training_by_ranges_ends_with_the_pairs(spark):
+    counts = [("a" * 9, 5), ("b" * 4, 5), ("ab" * 3, 2), ("x", 9), ("é" * 3, 2)]
+    df = spark.createDataFrame(counts, "piece string, n long")
+    assert bpe.merge_list(bpe_ranges.train_by_ranges(spark, df, FIRST_MERGE + 50)) == _train(counts, 50)
+    rare = spark.createDataFrame([("abc", 1), ("xyz", 1)], "piece string, n long")
+    assert bpe.merge_list(bpe_ranges.train_by_ranges(spark, rare, FIRST_MERGE + 10)) == []
+    assert bpe.merge_list(bpe_ranges.train_by_ranges(spark, rare.limit(0), FIRST_MERGE + 10)) == []
+
+
+def test_segments_end_where_a_pair_is_rare():
+    """Neighbouring words don't touch, and equal segments of a task come as one row."""
+    words = [[300, 301, 302], [301, 302], [302, 300, 301, 300], [5000, 70_000 - 2_000], [300, 301]]
+    batch = pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.int32())), pa.array([2, 3, 5, 7, 11], pa.int64())], ["ids", "n"])
+    kept = np.sort(np.array([(a << 20) | b for a, b in [(300, 301), (301, 302), (5000, 68_000)]]))
+    got = {s: n for b in bpe_ranges._cut(kept)(iter([batch])) for s, n in zip(*(c.to_pylist() for c in b.columns))}
+    text = lambda *ids: "".join(map(bpe_draft._char, ids))
+    assert got == {text(300, 301, 302): 2, text(301, 302): 3, text(300, 301): 16, text(5000, 68_000): 7}
+
+
 def test_vocabulary_file_with_gaps_is_refused(spark, tmp_path):
     merges = spark.createDataFrame([(0, 101, 102, 260), (1, 260, 101, 261)], bpe.MERGES_SCHEMA)
     bpe.write_vocabulary(merges, str(tmp_path / "v"))

@@ -7,6 +7,8 @@ needed, and the cost follows distinct words rather than corpus size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -20,6 +22,17 @@ _REMEMBER = 400_000
 _AT_ONCE = 1 << 18
 
 
+def _some_rows(lists: pa.ListArray) -> Iterator[pa.ListArray]:
+    """The rows of a batch, as many at a time as have ``_AT_ONCE`` values, at least one."""
+    ends = np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        below = (ends[at - 1] if at else 0) + _AT_ONCE
+        end = max(at + 1, int(np.searchsorted(ends, below, side="right")))
+        yield lists.slice(at, end - at)
+        at = end
+
+
 class PieceEncoder:
     """Lowest-rank-first merging of many byte strings at once."""
 
@@ -142,13 +155,7 @@ class PieceEncoder:
 
         Some rows at a time, as the arrays it takes are many times the size of the ids.
         """
-        ends = np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
-        parts, at = [], 0
-        while at < len(ends):
-            below = (ends[at - 1] if at else 0) + _AT_ONCE
-            end = max(at + 1, int(np.searchsorted(ends, below, side="right")))
-            parts.append(self._encode_rows(lists.slice(at, end - at)))
-            at = end
+        parts = [self._encode_rows(some) for some in _some_rows(lists)]
         return pa.concat_arrays(parts) if parts else self._encode_rows(lists)
 
     def _encode_rows(self, lists: pa.ListArray) -> pa.ListArray:
@@ -190,8 +197,7 @@ def decoder(tokens: list[bytes | None]):
     begin = np.cumsum(size) - size
     flat = np.frombuffer(b"".join(t or b"" for t in tokens), dtype=np.uint8)
 
-    @F.arrow_udf("string")
-    def decode_lists(lists: pa.Array) -> pa.Array:
+    def decode_rows(lists: pa.Array) -> list[str]:
         counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
         ids = lists.flatten().to_numpy(zero_copy_only=False)
         n = size[ids]
@@ -199,8 +205,10 @@ def decoder(tokens: list[bytes | None]):
         spots = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(begin[ids], n)
         data = flat[spots].tobytes()
         at = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
-        return pa.array(
-            [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])], pa.string()
-        )
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
+
+    @F.arrow_udf("string")
+    def decode_lists(lists: pa.Array) -> pa.Array:
+        return pa.array([text for some in _some_rows(lists) for text in decode_rows(some)], pa.string())
 
     return decode_lists

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.encode import decoder, encoder, with_end_of_text
 from tokenloom.functions.text import FIRST_MERGE, long_enough
-from tokenloom.operators import bpe, bpe_draft, carving, mixing, ordering
+from tokenloom.operators import bpe, bpe_draft, bpe_ranges, carving, mixing, ordering
 from tokenloom.operators.filters import score_at_least
 from tokenloom.plans.registry import artifact, digest, query, rounded, table
 from tokenloom.plans.sqltext import MERGES, PER_BATCH, SHARD, SPLIT, VAL, ids_text, sql
-from tokenloom.session import spread, stage, staging_path
+from tokenloom.session import bound_batches, spread, stage, staging_path
 from tokenloom.sources.mixes import (
     Mix, Source, choose_mix, read_sources, read_spec, table_mixes, tokenizer_mix, with_mix_source, write_spec,
 )
@@ -108,9 +108,10 @@ FULL = 32_768
 @artifact
 def full_vocabulary_file(spark: SparkSession, sf_dir: str) -> str:
     """Where the whole vocabulary is stored: as many merges as fit, or as there are pairs that occur twice."""
+    bound_batches(spark)
     texts = mixing.taken_rows(byte_sources(spark, sf_dir), byte_mix(spark, sf_dir), "doc_id")
     path = staging_path(spark, "full-vocabulary")
-    bpe.write_vocabulary(bpe_draft.train_drafted(spark, bpe.piece_counts(texts), FULL), path)
+    bpe.write_vocabulary(bpe_ranges.train_by_ranges(spark, bpe.piece_counts(texts), FULL), path)
     return path
 
 

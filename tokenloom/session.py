@@ -124,6 +124,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(parts)) if parts else df
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches near 8 MB whatever the rows' lengths; the setting stays on in the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def wide_partitions(spark: SparkSession) -> int:
     """Partitions for CPU-heavy rounds over a stored table: at least one per core."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
