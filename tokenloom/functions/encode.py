@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from tokenloom.functions.text import BYTE_BASE, END_OF_TEXT, FIRST_MERGE, pieces
 
 _NONE = np.iinfo(np.int64).max
-_REMEMBER = 400_000
+_REMEMBER = 100_000
 # Pieces of a batch, and bytes of new pieces, that are worked on at once.
-_AT_ONCE = 1 << 18
+_AT_ONCE = 1 << 17
 
 
 def _some_rows(lists: pa.ListArray) -> Iterator[pa.ListArray]:

@@ -125,8 +125,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches near 8 MB whatever the rows' lengths; the setting stays on in the session."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Keep Arrow batches near 4 MB whatever the rows' lengths; the setting stays on in the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def wide_partitions(spark: SparkSession) -> int:
